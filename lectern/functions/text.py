@@ -20,6 +20,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column | str, body) -> Column:
+    """``body`` of a value computed once. A lambda would otherwise compute it again for every element."""
+    return F.get(F.transform(F.array(col(value)), body), 0)
+
+
 def strip(value: Column | str) -> Column:
     return F.regexp_replace(col(value), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
@@ -75,14 +80,12 @@ def string_array(values: Iterable[str]) -> Column:
 
 def contains_any(value: Column | str, keys: Sequence[str]) -> Column:
     """True when any key is a substring."""
-    text = col(value)
-    return F.exists(string_array(keys), lambda k: F.contains(text, k))
+    return let(value, lambda text: F.exists(string_array(keys), lambda k: F.contains(text, k)))
 
 
 def hits(value: Column | str, keys: Sequence[str]) -> Column:
     """The keys that are substrings, in key order."""
-    text = col(value)
-    return F.filter(string_array(keys), lambda k: F.contains(text, k))
+    return let(value, lambda text: F.filter(string_array(keys), lambda k: F.contains(text, k)))
 
 
 def slug(value: Column | str) -> Column:
@@ -101,9 +104,13 @@ def token_estimate(value: Column | str) -> Column:
 
 def fixed_width_slices(value: Column | str, width: int) -> Column:
     """Slices of ``width`` characters; an empty text gives one empty slice."""
-    text = col(value)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(width))
-    return F.transform(starts, lambda start: F.substring(text, start + 1, F.lit(width)))
+    return let(
+        value,
+        lambda text: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(width)),
+            lambda start: F.substring(text, start + 1, F.lit(width)),
+        ),
+    )
 
 
 def tail(value: Column | str, chars: int) -> Column:

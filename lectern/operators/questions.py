@@ -34,8 +34,13 @@ def needs_rewrite(question: Column | str) -> Column:
 def distinct_queries(queries: Column, limit: int | None = None) -> Column:
     """Stripped, non-blank, first spelling of each query regardless of case, in order."""
     cleaned = F.filter(F.transform(queries, tx.strip), lambda q: q != "")
-    lowered = F.transform(cleaned, F.lower)
-    kept = F.filter(cleaned, lambda q, i: F.array_position(lowered, F.lower(q)) == i + 1)
+    kept = tx.let(
+        cleaned,
+        lambda all_: tx.let(
+            F.transform(all_, F.lower),
+            lambda lowered: F.filter(all_, lambda q, i: F.array_position(lowered, F.lower(q)) == i + 1),
+        ),
+    )
     return kept if limit is None else F.slice(kept, 1, limit)
 
 

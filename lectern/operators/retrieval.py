@@ -47,10 +47,9 @@ def score_chunk(
     content: Column | str, title: Column | str, article: Column | str, phrases: Column, keywords: Column, sections: Column
 ) -> Column:
     """Heuristic score of one chunk for one question, both in the row."""
-    lowered, lowered_title, lowered_article = (F.lower(tx.col(c)) for c in (content, title, article))
-    keyword_hits = F.size(F.filter(keywords, lambda k: F.contains(lowered, k)))
-    article_hit = F.coalesce(F.exists(keywords, lambda k: F.contains(lowered_article, k)), F.lit(False))
-    title_sections = F.size(F.filter(sections, lambda s: F.contains(lowered_title, F.lower(s))))
+    keyword_hits = search.count_contained(F.lower(tx.col(content)), keywords)
+    article_hit = F.coalesce(search.count_contained(F.lower(tx.col(article)), keywords) > 0, F.lit(False))
+    title_sections = search.count_contained(F.lower(tx.col(title)), F.transform(sections, F.lower))
     return search.heuristic_score(keyword_hits, search.phrase_matches(content, phrases), article_hit, title_sections)
 
 

@@ -19,16 +19,21 @@ GRAM = tx.MIN_TERM_CHARS
 
 def token_postings(corpus: DataFrame) -> DataFrame:
     """Inverted index: term frequency of every ASCII token in every chunk."""
-    exploded = corpus.select("chunk_id", F.explode(tx.tokens("content")).alias("token"))
+    exploded = elements(corpus, ["chunk_id"], tx.tokens("content"), "token")
     return exploded.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def chunk_lengths(corpus: DataFrame) -> DataFrame:
-    return corpus.select("chunk_id", F.size(tx.tokens("content")).cast("long").alias("length"))
+def elements(df: DataFrame, keys: list[str], array: Column | str, name: str) -> DataFrame:
+    """One row per non-null array element.
+
+    The outer form keeps the optimizer from testing the array for emptiness first, which would compute
+    a derived array twice.
+    """
+    return df.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def question_keywords(parsed: DataFrame) -> DataFrame:
-    return parsed.select("query_id", F.explode("keywords").alias("keyword"))
+    return elements(parsed, ["query_id"], "keywords", "keyword")
 
 
 def words_containing(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def words_containing(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     Keywords have at least three characters, so each occurrence starts with the keyword's first three;
     joining on those three replaces the comparison of every word with every keyword.
     """
-    grams = vocabulary.filter(F.length("word") >= GRAM).select(
+    grams = vocabulary.select(
         "word",
         F.posexplode(
             F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substring("word", i, F.lit(GRAM)))
@@ -57,9 +62,13 @@ def contained_keywords(corpus: DataFrame, keywords: DataFrame, column: str = "co
 
     A keyword holds no whitespace, so a text contains it exactly when one of its words does.
     """
-    postings = corpus.select("chunk_id", F.explode(F.array_distinct(tx.words(F.lower(column)))).alias("word"))
+    postings = elements(corpus, ["chunk_id"], F.array_distinct(tx.words(F.lower(column))), "word").filter(
+        F.length("word") >= GRAM
+    )
     matches = words_containing(postings.select("word").distinct(), keywords)
-    return postings.join(matches, "word").select("chunk_id", "keyword").distinct()
+    pairs = postings.join(matches, "word").select("chunk_id", "keyword").distinct()
+    # Stated here so that every reader of the pairs has the same plan and the exchange is shared.
+    return pairs.filter(F.col("chunk_id").isNotNull() & F.col("keyword").isNotNull())
 
 
 def inverse_frequency(documents: Column, matches: Column) -> Column:
@@ -87,10 +96,13 @@ def bm25_term(idf: Column, tf: Column, length: Column) -> Column:
 
 def matches_section(title: Column | str, section: Column | str, preferred: Column) -> Column:
     """The title contains a preferred section, or the chunk's own section is one."""
-    lowered = F.lower(tx.col(title))
-    own = F.lower(tx.col(section))
-    return F.exists(
-        preferred, lambda p: F.contains(lowered, F.lower(p)) | F.coalesce(F.lower(p) == own, F.lit(False))
+    place = F.struct(F.lower(tx.col(title)).alias("title"), F.lower(tx.col(section)).alias("own"))
+    return tx.let(
+        place,
+        lambda at: F.exists(
+            F.transform(preferred, F.lower),
+            lambda p: F.contains(at["title"], p) | F.coalesce(p == at["own"], F.lit(False)),
+        ),
     )
 
 
@@ -103,8 +115,11 @@ def chunk_section(section: Column | str, title: Column | str) -> Column:
 
 
 def phrase_matches(content: Column | str, phrases: Column) -> Column:
-    lowered = F.lower(tx.col(content))
-    return F.size(F.filter(phrases, lambda p: F.contains(lowered, p))).cast("long")
+    return count_contained(F.lower(tx.col(content)), phrases)
+
+
+def count_contained(text: Column, keys: Column) -> Column:
+    return tx.let(text, lambda t: F.size(F.filter(keys, lambda k: F.contains(t, k)))).cast("long")
 
 
 def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES) -> DataFrame:
@@ -117,15 +132,15 @@ def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PH
     keywords = asked.select("keyword").distinct()
     contained = contained_keywords(corpus, keywords)
     idf = keyword_idf(contained, corpus, keywords)
+    tokenized = corpus.select("chunk_id", tx.tokens("content").alias("_tokens"))
     frequencies = (
-        corpus.select("chunk_id", F.explode(tx.tokens("content")).alias("keyword"))
+        elements(tokenized.withColumn("length", F.size("_tokens")), ["chunk_id", "length"], "_tokens", "keyword")
         .join(keywords, "keyword", "left_semi")
-        .groupBy("chunk_id", "keyword")
+        .groupBy("chunk_id", "length", "keyword")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     weighted = (
         frequencies.join(idf, "keyword")
-        .join(chunk_lengths(corpus), "chunk_id")
         .select("chunk_id", "keyword", bm25_term(F.col("idf"), F.col("tf"), F.col("length")).alias("weight"))
     )
     postings = contained.join(weighted, ["chunk_id", "keyword"], "left").select(
@@ -138,9 +153,9 @@ def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PH
     )
     lowered = F.lower("content")
     phrase_names = list(dict.fromkeys(phrase for _, phrase in phrase_rules))
-    in_chunk = corpus.select("chunk_id", F.explode(tx.hits(lowered, phrase_names)).alias("phrase"))
+    in_chunk = elements(corpus, ["chunk_id"], tx.hits(lowered, phrase_names), "phrase")
     by_phrase = (
-        parsed.select("query_id", F.explode("phrases").alias("phrase"))
+        elements(parsed, ["query_id"], "phrases", "phrase")
         .join(in_chunk, "phrase")
         .select("query_id", "chunk_id", F.lit(0.0).alias("weight"), zero.alias("keyword_hits"),
                 F.lit(1).cast("long").alias("phrase_hits"), zero.alias("article_hits"))
@@ -178,8 +193,7 @@ def keyword_scores(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRA
     chunks = corpus.select(
         "chunk_id", "ord", "document_title", chunk_section("section", "document_title").alias("section")
     )
-    title = F.lower("document_title")
-    title_sections = F.size(F.filter("sections", lambda s: F.contains(title, F.lower(s))))
+    title_sections = count_contained(F.lower("document_title"), F.transform("sections", F.lower))
     return (
         evidence.join(chunks, "chunk_id")
         .join(parsed.select("query_id", "sections"), "query_id")
@@ -217,10 +231,10 @@ def bm25_for_terms(corpus: DataFrame, terms: list[str], limit: int) -> DataFrame
     """
     lowered = F.lower("content")
     tokens = tx.tokens("content")
-    scored = corpus.select(
+    scored = corpus.select("chunk_id", tokens.alias("_tokens")).select(
         "chunk_id",
-        F.size(tokens).alias("length"),
-        *[occurrences(tokens, k).alias(f"tf{i}") for i, k in enumerate(terms)],
+        F.size("_tokens").alias("length"),
+        *[occurrences(F.col("_tokens"), k).alias(f"tf{i}") for i, k in enumerate(terms)],
     )
     stats = corpus.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.contains(lowered, F.lit(k))).alias(f"df{i}") for i, k in enumerate(terms)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import table
+from lectern.sources.tables import spread, table
 
 LETTERS = "ABCDEF"
 
@@ -87,7 +87,7 @@ INTEREST_MARKERS = ["that ", "que ", "und "]
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents")
+    return spread(table(spark, root, "documents"), "doc_id")
 
 
 def pages_of_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -149,7 +149,7 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     """Benchmark texts as questions; a third of them also name a section."""
     item = F.col("item_id")
     letter = F.expr("substring('abcdef', CAST(item_id % 6 AS INT) + 1, 1)")
-    return table(spark, root, "benchmark").select(
+    return spread(table(spark, root, "benchmark"), "item_id").select(
         item.alias("query_id"),
         F.when(item % 3 == 0, F.concat("text", F.lit(" section "), letter)).otherwise(F.col("text")).alias("question"),
     )
