@@ -16,6 +16,8 @@ def normalize_question(question: Column | str, synonyms: Mapping[str, str] = voc
     text = tx.col(question)
     for letter in vocab.SECTION_LETTERS:
         text = F.regexp_replace(text, f"(?i)(?<![a-z])section\\s*{letter}(?![a-z])", f"Section {letter}")
+    if not synonyms:
+        return text
     table = F.array(*[F.struct(F.lit(k).alias("source"), F.lit(v).alias("target")) for k, v in synonyms.items()])
     return F.aggregate(
         table,

@@ -183,3 +183,65 @@ def sql_values(rows) -> str:
 def sql_any(column: str, keys) -> str:
     """SQL for: any key is a substring of the column."""
     return "(" + " OR ".join(f"contains({column}, '" + k.replace("'", "''") + "')" for k in keys) + ")"
+
+
+def page_articles(spark: SparkSession, root: str) -> DataFrame:
+    """Web pages as stored articles."""
+    page = F.col("page_id")
+    tail = F.regexp_extract("url", "([^/]+)/*$", 1)
+    return spread(table(spark, root, "pages"), "page_id").select(
+        (page + 1).alias("id"),
+        F.concat(F.lit("site"), (page % 4).cast("string")).alias("source_name"),
+        F.concat_ws("-", tail, page.cast("string")).alias("source_article_id"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.when(page % 3 == 0, F.regexp_extract("html", "<div class=\"ad\">([^<]*)</div>", 1)).alias("summary"),
+        F.when(page % 5 != 0, F.regexp_extract("html", "<footer>([^<]*)</footer>", 1)).alias("content"),
+        F.col("url").alias("article_url"),
+        F.when(page % 2 == 0, F.concat(F.lit("author"), (page % 13).cast("string"))).alias("author"),
+        F.when(
+            page % 11 != 0,
+            F.timestamp_seconds(F.lit(1704067200) + (page * 7919 % 1000) * 3600),
+        ).alias("published_at"),
+        F.split(F.regexp_extract("html", "<html lang=\"([^\"]*)\"", 1), ",").alias("tags"),
+        F.lit("{}").alias("raw_payload"),
+        F.timestamp_seconds(F.lit(1704067200)).alias("fetched_at"),
+        (page % 7 == 0).alias("is_deleted"),
+    )
+
+
+PAGE_ARTICLES_SQL = """page_articles AS (
+  SELECT page_id + 1 AS id, 'site' || (page_id % 4) AS source_name,
+         regexp_extract(url, '([^/]+)/*$', 1) || '-' || page_id AS source_article_id,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+         CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) END AS summary,
+         CASE WHEN page_id % 5 <> 0 THEN regexp_extract(html, '<footer>([^<]*)</footer>', 1) END AS content,
+         url AS article_url, CASE WHEN page_id % 2 = 0 THEN 'author' || (page_id % 13) END AS author,
+         CASE WHEN page_id % 11 <> 0 THEN make_timestamp((1704067200 + (page_id * 7919 % 1000) * 3600) * 1000000) END
+           AS published_at,
+         regexp_extract(html, '<html lang="([^"]*)"', 1) AS tag, page_id % 7 = 0 AS is_deleted, page_id, html, url
+  FROM pages
+)"""
+
+
+def text_articles(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as articles: the first line is the title, some have a summary, some no content."""
+    doc = F.col("doc_id")
+    return documents(spark, root).select(
+        doc.alias("article_id"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.when(doc % 3 == 0, F.get(F.split("text", "\n"), 1)).alias("summary"),
+        F.when(doc % 10 != 9, F.col("text")).alias("content"),
+        F.array("lang", "source").alias("tags"),
+    )
+
+
+TEXT_ARTICLES_SQL = """text_articles AS (
+  SELECT doc_id AS article_id, string_split(text, chr(10))[1] AS title,
+         CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[2] END AS summary,
+         CASE WHEN doc_id % 10 <> 9 THEN text END AS content, lang || ' ' || source AS tag_text
+  FROM documents
+),
+article_corpus AS (
+  SELECT *, lower(title || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '') || ' ' || tag_text) AS corpus_text
+  FROM text_articles
+)"""

@@ -446,6 +446,7 @@ CJK_SECTION_PATTERN = r"(?i)第\s*([a-f])\s*(?:部分|章|节)"
 # --- Fixed values: answer formatting ----------------------------------------------------------
 DISPLAY_ZONE = "Asia/Shanghai"
 DISPLAY_ZONE_LABEL = "CST"
+UNKNOWN_TIME = "时间未知"
 FULL_LIST_WORDS = ["完整", "全部", "所有", "全体", "full", "complete", "entire", "whole"]
 STANDINGS_WORDS = ["积分榜", "排名", "standings"]
 SCHEDULE_WORDS = ["赛历", "赛程", "calendar", "schedule"]
