@@ -36,11 +36,12 @@ def fuse(vector: DataFrame, keyword: DataFrame, limit: int = vocab.HYBRID_CANDID
 def keep_matching_or_all(rows: DataFrame, key: str, match: Column) -> DataFrame:
     """Rows that match; every row of a key none of whose rows does.
 
-    The keys' verdicts are partial aggregates joined back, so no key is gathered in a window.
+    For candidate lists: a key has at most ``HYBRID_CANDIDATES`` rows, so its verdict is a window over them.
     """
-    flagged = rows.withColumn("_match", F.coalesce(match, F.lit(False)))
-    verdict = flagged.groupBy(key).agg(F.bool_or("_match").alias("_any"))
-    return flagged.join(verdict, key).filter(F.col("_match") | ~F.col("_any")).drop("_match", "_any")
+    flagged = rows.withColumn("_match", F.coalesce(match, F.lit(False))).withColumn(
+        "_any", F.bool_or("_match").over(Window.partitionBy(key))
+    )
+    return flagged.filter(F.col("_match") | ~F.col("_any")).drop("_match", "_any")
 
 
 def score_chunk(
@@ -124,7 +125,11 @@ def retrieve(
     limit: int = 3,
     phrase_rules=vocab.PHRASE_RULES,
 ) -> dict[str, DataFrame]:
-    """All retrieval stages by name, each lazy; without vectors the vector list is empty."""
+    """All retrieval stages by name; without vectors the vector list is empty.
+
+    Every stage reads the parsed questions. Callers write them out first (``cut_lineage``), which parses
+    them once and keeps their long expressions out of the stages' plans.
+    """
     keyword = search.keyword_candidates(search.keyword_scores(corpus, parsed, phrase_rules))
     if embeddings is None or query_vectors is None:
         vector = keyword.limit(0).select("query_id", "chunk_id", F.col("keyword_rank").alias("vector_rank"))

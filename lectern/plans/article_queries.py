@@ -9,6 +9,7 @@ from lectern.functions import text as tx
 from lectern.operators import articles, merge, questions, retrieval
 from lectern.plans import fixtures as fx
 from lectern.plans.text_queries import WS
+from lectern.session import cut_lineage
 from lectern.sources.tables import spread, table
 
 RELEVANCE = {"direct": "terms: ", "possible": "maybe: ", "category": "by category", "none": "no relation"}
@@ -455,6 +456,7 @@ def topic_to_chunks(spark, root):
     parsed = questions.parse_questions(
         distinct.select(F.col("question").alias("query_id"), "question"), {}, fx.PHRASE_RULES, fx.EXPANSIONS, fx.SECTION_WORDS
     )
+    parsed = cut_lineage(parsed, "questions")
     found = retrieval.retrieve(parsed, fx.corpus(spark, root), None, None, 3, fx.PHRASE_RULES)["retrieved"]
     linked = articles.linked_chunks(
         asked.select("article_id", "questions"), found.select(F.col("query_id").alias("question"), "chunk_id", "rank")

@@ -9,6 +9,7 @@ from lectern.functions import text as tx
 from lectern.operators import questions, retrieval, search, vectors
 from lectern.plans import fixtures as fx
 from lectern.plans.text_queries import WS
+from lectern.session import cut_lineage
 from lectern.sources.tables import table
 
 TERMS = ["the", "thatin", "eauouon"]
@@ -131,7 +132,8 @@ FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) A
 
 def idf_table(spark, root):
     corpus = fx.corpus(spark, root)
-    keywords = search.question_keywords(parsed_questions(spark, root)).select("keyword").distinct()
+    parsed = cut_lineage(parsed_questions(spark, root), "questions")
+    keywords = search.question_keywords(parsed).select("keyword").distinct()
     idf = search.keyword_idf(search.contained_keywords(corpus, keywords), corpus, keywords)
     return idf.select("keyword", "matches", F.round("idf", 6).alias("idf"))
 
@@ -204,7 +206,8 @@ FROM p"""
 
 
 def keyword_topk(spark, root):
-    scores = search.keyword_scores(fx.corpus(spark, root), parsed_questions(spark, root), fx.PHRASE_RULES)
+    parsed = cut_lineage(parsed_questions(spark, root), "questions")
+    scores = search.keyword_scores(fx.corpus(spark, root), parsed, fx.PHRASE_RULES)
     return search.keyword_candidates(scores).select(
         "query_id", F.col("keyword_rank").cast("long").alias("keyword_rank"), "chunk_id",
         "bm25", "heuristic", "preferred",
@@ -268,11 +271,9 @@ def chunk_vectors(spark, root):
     return table(spark, root, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-def query_vectors(spark, root):
+def query_vectors(spark, root, parsed):
     """A stored vector for each query of each question, again by position only."""
-    parsed = parsed_questions(spark, root).select(
-        "query_id", F.posexplode("retrieval_queries").alias("query_no", "query")
-    )
+    parsed = parsed.select("query_id", F.posexplode_outer("retrieval_queries").alias("query_no", "query"))
     stored = table(spark, root, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("probe"))
     return parsed.join(stored, F.col("query_id") * 2 + F.col("query_no") == F.col("_v")).select(
         "query_id", "query_no", "probe"
@@ -295,7 +296,8 @@ SELECT vec_id, round(sim, 5) AS similarity FROM (
 
 
 def vector_multi_query(spark, root):
-    leg = retrieval.vector_leg(parsed_questions(spark, root), chunk_vectors(spark, root), query_vectors(spark, root))
+    parsed = cut_lineage(parsed_questions(spark, root), "questions")
+    leg = retrieval.vector_leg(parsed, chunk_vectors(spark, root), query_vectors(spark, root, parsed))
     return leg.select("query_id", F.col("vector_rank").cast("long").alias("vector_rank"), "chunk_id")
 
 
@@ -326,8 +328,9 @@ SELECT query_id, vector_rank, chunk_id FROM vector"""
 
 
 def stages(spark, root):
+    parsed = cut_lineage(parsed_questions(spark, root), "questions")
     return retrieval.retrieve(
-        parsed_questions(spark, root), fx.corpus(spark, root), chunk_vectors(spark, root), query_vectors(spark, root),
+        parsed, fx.corpus(spark, root), chunk_vectors(spark, root), query_vectors(spark, root, parsed),
         phrase_rules=fx.PHRASE_RULES,
     )
 
