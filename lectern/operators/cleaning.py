@@ -42,7 +42,7 @@ def is_index_line(
     token_prefix: str = vocab.INDEX_TOKEN_PREFIX,
 ) -> Column:
     """Lines of a table of contents: they end in a digit and open with a numbered label."""
-    ends_in_digit = line.rlike(r"\p{Nd}$")
+    ends_in_digit = F.right(line, F.lit(1)).rlike(r"\p{Nd}")
     first_token = F.element_at(F.split(line, f"{tx.WHITESPACE}+"), 1)
     labelled = F.exists(tx.string_array(prefixes), lambda p: F.startswith(line, p))
     numbered = F.startswith(first_token, F.lit(token_prefix)) & first_token.rlike(r"\p{Nd}")
@@ -60,19 +60,27 @@ def page_profile(
 ) -> Column:
     """Struct of line counts and whether the page holds no running text worth indexing."""
     page = tx.col(value)
-    page_lines = tx.lines(page)
-    index_lines = F.size(F.filter(page_lines, lambda x: is_index_line(x, index_prefixes, index_token_prefix)))
-    sentence_lines = F.size(
-        F.filter(page_lines, lambda x: F.endswith(x, F.lit(".")) & (F.length(x) > sentence_chars))
-    )
-    skip = (
-        tx.contains_any(F.upper(page), markers_upper)
-        | (F.size(page_lines) == 0)
-        | ((index_lines >= min_index_lines) & (sentence_lines <= max_sentence_lines))
-    )
-    return F.struct(
-        F.size(page_lines).cast("long").alias("line_count"),
-        index_lines.cast("long").alias("index_lines"),
-        sentence_lines.cast("long").alias("sentence_lines"),
-        F.coalesce(skip, F.lit(True)).alias("skip"),
-    )
+
+    def counts(page_lines: Column) -> Column:
+        index = F.filter(page_lines, lambda x: is_index_line(x, index_prefixes, index_token_prefix))
+        running = F.filter(page_lines, lambda x: F.endswith(x, F.lit(".")) & (F.length(x) > sentence_chars))
+        return F.struct(
+            F.size(page_lines).cast("long").alias("line_count"),
+            F.size(index).cast("long").alias("index_lines"),
+            F.size(running).cast("long").alias("sentence_lines"),
+        )
+
+    def profile(c: Column) -> Column:
+        skip = (
+            (c["line_count"] == 0)
+            | ((c["index_lines"] >= min_index_lines) & (c["sentence_lines"] <= max_sentence_lines))
+            | tx.contains_any(F.upper(page), markers_upper)
+        )
+        return F.struct(
+            c["line_count"].alias("line_count"),
+            c["index_lines"].alias("index_lines"),
+            c["sentence_lines"].alias("sentence_lines"),
+            F.coalesce(skip, F.lit(True)).alias("skip"),
+        )
+
+    return tx.let(tx.let(tx.lines(page), counts), profile)

@@ -15,6 +15,9 @@ from lectern.functions import text as tx
 from lectern.operators.chunking import section_code
 
 GRAM = tx.MIN_TERM_CHARS
+# Characters of a keyword that its lookup key keeps.
+KEY_CHARS = 6
+KEYWORD, PHRASE = "keyword", "phrase"
 
 
 def token_postings(corpus: DataFrame) -> DataFrame:
@@ -39,19 +42,21 @@ def question_keywords(parsed: DataFrame) -> DataFrame:
 def words_containing(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     """``(word, keyword)`` for every keyword that is a substring of a word.
 
-    Keywords have at least three characters, so each occurrence starts with the keyword's first three;
-    joining on those three replaces the comparison of every word with every keyword.
+    Keywords have at least three characters. Each is looked up by its first six, or by itself when it is
+    shorter, among the pieces of three to six characters at every place of a word. This equi-join
+    replaces the comparison of every word with every keyword.
     """
-    grams = vocabulary.select(
-        "word",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substring("word", i, F.lit(GRAM)))
-        ).alias("_at", "_gram"),
+    places = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - GRAM + 1)).alias("_at"))
+    sizes = F.array(*[F.lit(n) for n in range(GRAM, KEY_CHARS + 1)])
+    pieces = (
+        places.select("word", "_at", F.explode(sizes).alias("_size"))
+        .filter(F.col("_at") + F.col("_size") - 1 <= F.length("word"))
+        .select("word", "_at", F.substring("word", F.col("_at"), F.col("_size")).alias("_key"))
     )
-    keyed = keywords.select("keyword", F.left("keyword", F.lit(GRAM)).alias("_gram"))
+    keyed = keywords.select("keyword", F.left("keyword", F.lit(KEY_CHARS)).alias("_key"))
     return (
-        grams.join(keyed, "_gram")
-        .filter(F.substring(F.col("word"), F.col("_at") + 1, F.length("keyword")) == F.col("keyword"))
+        pieces.join(keyed, "_key")
+        .filter(F.substring(F.col("word"), F.col("_at"), F.length("keyword")) == F.col("keyword"))
         .select("word", "keyword")
         .distinct()
     )
@@ -62,13 +67,16 @@ def contained_keywords(corpus: DataFrame, keywords: DataFrame, column: str = "co
 
     A keyword holds no whitespace, so a text contains it exactly when one of its words does.
     """
+    return _keyword_hits(corpus, keywords, column).distinct()
+
+
+def _keyword_hits(corpus: DataFrame, keywords: DataFrame, column: str) -> DataFrame:
+    """As ``contained_keywords``, but a pair comes once per word that gives it."""
     postings = elements(corpus, ["chunk_id"], F.array_distinct(tx.words(F.lower(column))), "word").filter(
         F.length("word") >= GRAM
     )
     matches = words_containing(postings.select("word").distinct(), keywords)
-    pairs = postings.join(matches, "word").select("chunk_id", "keyword").distinct()
-    # Stated here so that every reader of the pairs has the same plan and the exchange is shared.
-    return pairs.filter(F.col("chunk_id").isNotNull() & F.col("keyword").isNotNull())
+    return postings.join(matches, "word").select("chunk_id", "keyword")
 
 
 def inverse_frequency(documents: Column, matches: Column) -> Column:
@@ -122,57 +130,77 @@ def count_contained(text: Column, keys: Column) -> Column:
     return tx.let(text, lambda t: F.size(F.filter(keys, lambda k: F.contains(t, k)))).cast("long")
 
 
-def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES) -> DataFrame:
-    """``(query_id, chunk_id)`` with BM25 and the parts of the heuristic score, where any part is not zero.
+def chunk_terms(corpus: DataFrame, keywords: DataFrame, phrases: list[str]) -> DataFrame:
+    """What each chunk holds of the keywords and phrases: one row per ``(chunk_id, kind, term)``.
 
-    Each kind of evidence arrives as long rows that are summed per pair, so a common keyword is spread
-    over the pairs' hash partitions instead of being gathered anywhere.
+    Hits, token counts, article hits and phrase hits arrive as long rows and meet in one shuffle by
+    chunk. Later aggregates per question and chunk run on the same partitioning.
     """
-    asked = question_keywords(parsed)
-    keywords = asked.select("keyword").distinct()
-    contained = contained_keywords(corpus, keywords)
-    idf = keyword_idf(contained, corpus, keywords)
+    zero = F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
+
+    def rows(df: DataFrame, kind: str, term: str, in_content=zero, in_article=zero, tf=zero, length=zero) -> DataFrame:
+        return df.select(
+            "chunk_id", F.lit(kind).alias("kind"), F.col(term).alias("term"), in_content.alias("in_content"),
+            in_article.alias("in_article"), tf.alias("tf"), length.alias("length"),
+        )
+
     tokenized = corpus.select("chunk_id", tx.tokens("content").alias("_tokens"))
-    frequencies = (
-        elements(tokenized.withColumn("length", F.size("_tokens")), ["chunk_id", "length"], "_tokens", "keyword")
+    counted = (
+        elements(tokenized.withColumn("length", F.size("_tokens").cast("long")), ["chunk_id", "length"], "_tokens", "keyword")
         .join(keywords, "keyword", "left_semi")
-        .groupBy("chunk_id", "length", "keyword")
-        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    weighted = (
-        frequencies.join(idf, "keyword")
-        .select("chunk_id", "keyword", bm25_term(F.col("idf"), F.col("tf"), F.col("length")).alias("weight"))
+    with_article = corpus.filter(F.col("article").isNotNull())
+    in_chunk = elements(corpus, ["chunk_id"], tx.hits(F.lower("content"), phrases), "phrase")
+    return (
+        rows(_keyword_hits(corpus, keywords, "content"), KEYWORD, "keyword", in_content=one)
+        .unionByName(rows(counted, KEYWORD, "keyword", tf=one, length=F.col("length")))
+        .unionByName(rows(_keyword_hits(with_article, keywords, "article"), KEYWORD, "keyword", in_article=one))
+        .unionByName(rows(in_chunk, PHRASE, "phrase", in_content=one))
+        .repartition("chunk_id")
+        .groupBy("chunk_id", "kind", "term")
+        .agg(
+            F.max("in_content").alias("in_content"),
+            F.max("in_article").alias("in_article"),
+            F.sum("tf").alias("tf"),
+            F.max("length").alias("length"),
+        )
     )
-    postings = contained.join(weighted, ["chunk_id", "keyword"], "left").select(
-        "chunk_id", "keyword", F.coalesce("weight", F.lit(0.0)).alias("weight")
+
+
+def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES) -> DataFrame:
+    """``(query_id, chunk_id)`` with BM25 and the parts of the heuristic score, where any part is not zero.
+
+    Parts are summed per pair, so a common keyword is spread over the chunks' hash partitions instead of
+    being gathered anywhere.
+    """
+    keywords = question_keywords(parsed).select("keyword").distinct()
+    held = chunk_terms(corpus, keywords, list(dict.fromkeys(phrase for _, phrase in phrase_rules)))
+    total = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
+    frequency = held.filter((F.col("kind") == KEYWORD) & (F.col("in_content") > 0)).groupBy("term").agg(
+        F.count(F.lit(1)).alias("matches")
     )
-    zero = F.lit(0).cast("long")
-    by_keyword = asked.join(postings, "keyword").select(
-        "query_id", "chunk_id", "weight", F.lit(1).cast("long").alias("keyword_hits"), zero.alias("phrase_hits"),
-        zero.alias("article_hits"),
+    asked = (
+        question_keywords(parsed)
+        .select("query_id", F.lit(KEYWORD).alias("kind"), F.col("keyword").alias("term"))
+        .unionByName(
+            elements(parsed, ["query_id"], "phrases", "term").select("query_id", F.lit(PHRASE).alias("kind"), "term")
+        )
     )
-    lowered = F.lower("content")
-    phrase_names = list(dict.fromkeys(phrase for _, phrase in phrase_rules))
-    in_chunk = elements(corpus, ["chunk_id"], tx.hits(lowered, phrase_names), "phrase")
-    by_phrase = (
-        elements(parsed, ["query_id"], "phrases", "phrase")
-        .join(in_chunk, "phrase")
-        .select("query_id", "chunk_id", F.lit(0.0).alias("weight"), zero.alias("keyword_hits"),
-                F.lit(1).cast("long").alias("phrase_hits"), zero.alias("article_hits"))
+    # A question term's weight rides along with it, so the long side is joined once.
+    weighted = asked.join(frequency, "term", "left").select(
+        "query_id", "kind", "term", F.coalesce(inverse_frequency(total, F.col("matches")), F.lit(0.0)).alias("idf")
     )
-    by_article = asked.join(
-        contained_keywords(corpus.filter(F.col("article").isNotNull()), keywords, "article"), "keyword"
-    ).select("query_id", "chunk_id", F.lit(0.0).alias("weight"), zero.alias("keyword_hits"), zero.alias("phrase_hits"),
-             F.lit(1).cast("long").alias("article_hits"))
+    is_keyword = F.col("kind") == KEYWORD
+    weight = F.when(is_keyword & (F.col("tf") > 0), bm25_term(F.col("idf"), F.col("tf"), F.col("length"))).otherwise(0.0)
     return (
-        by_keyword.unionByName(by_phrase)
-        .unionByName(by_article)
+        held.join(weighted, ["kind", "term"])
         .groupBy("query_id", "chunk_id")
         .agg(
-            F.round(F.sum("weight"), 4).alias("bm25"),
-            F.sum("keyword_hits").alias("keyword_hits"),
-            F.sum("phrase_hits").alias("phrase_hits"),
-            (F.max("article_hits") > 0).alias("article_hit"),
+            F.round(F.sum(weight), 4).alias("bm25"),
+            F.sum(F.when(is_keyword, F.col("in_content")).otherwise(0)).alias("keyword_hits"),
+            F.sum(F.when(is_keyword, 0).otherwise(F.col("in_content"))).alias("phrase_hits"),
+            (F.max("in_article") > 0).alias("article_hit"),
         )
     )
 
@@ -219,8 +247,8 @@ def keyword_candidates(scores: DataFrame, limit: int = vocab.KEYWORD_CANDIDATES)
     return ranked(scores, "query_id", order, limit, "keyword_rank")
 
 
-def occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term))
+def whole_token(term: str) -> str:
+    return f"(?<![a-z0-9]){term}(?![a-z0-9])"
 
 
 def bm25_for_terms(corpus: DataFrame, terms: list[str], limit: int) -> DataFrame:
@@ -230,14 +258,13 @@ def bm25_for_terms(corpus: DataFrame, terms: list[str], limit: int) -> DataFrame
     shuffles are one partial count per term and the final ``limit`` rows of each task.
     """
     lowered = F.lower("content")
-    tokens = tx.tokens("content")
-    scored = corpus.select("chunk_id", tokens.alias("_tokens")).select(
+    scored = corpus.select(
         "chunk_id",
-        F.size("_tokens").alias("length"),
-        *[occurrences(F.col("_tokens"), k).alias(f"tf{i}") for i, k in enumerate(terms)],
+        F.regexp_count(lowered, F.lit("[a-z0-9]+")).alias("length"),
+        *[F.regexp_count(lowered, F.lit(whole_token(k))).alias(f"tf{i}") for i, k in enumerate(terms)],
     )
-    stats = corpus.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.contains(lowered, F.lit(k))).alias(f"df{i}") for i, k in enumerate(terms)]
+    stats = corpus.select(lowered.alias("lowered")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.contains("lowered", F.lit(k))).alias(f"df{i}") for i, k in enumerate(terms)]
     )
     facts = stats.select(F.struct("*").alias("s")).scalar()
     score = sum(
@@ -251,9 +278,10 @@ def bm25_for_terms(corpus: DataFrame, terms: list[str], limit: int) -> DataFrame
         ),
         F.lit(0.0),
     )
+    # Zero scores sort last, so dropping them after the limit loses nothing and scores are computed once.
     return (
         scored.select("chunk_id", F.round(score, 4).alias("bm25"))
-        .filter(F.col("bm25") > 0)
         .orderBy(F.desc("bm25"), F.asc("chunk_id"))
         .limit(limit)
+        .filter(F.col("bm25") > 0)
     )
