@@ -8,12 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import vocab
 from lectern.functions import text as tx
 
-PACKED = "array<struct<chunk_index: int, article: string, content: string>>"
-
 
 def section_of_title(title: Column | str) -> Column:
     """``Section X`` named in a title, else null."""
@@ -123,15 +122,30 @@ def pack_page(text: str | None, cap: int, heading: re.Pattern) -> list[dict]:
     ]
 
 
-def pack(value: Column | str, cap: int = vocab.CHUNK_CHARS, pattern: str = vocab.HEADING_PATTERN) -> Column:
-    """Chunks of a page as an array. The fold depends on its own output, hence an Arrow function."""
-    heading = re.compile(pattern)
-
-    @F.pandas_udf(PACKED)
-    def packed(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: pack_page(page, cap, heading))
+def pack_pages(pages: DataFrame, cap: int, pattern: str) -> DataFrame:
+    """Rows ``(…, chunk_index, article, content)`` per page of ``(…, text)``; a null text gives none.
 
-    return packed(tx.col(value))
+    The fold depends on its own output, hence an Arrow function over the partition's batches.
+    """
+    heading = re.compile(pattern)
+    carried = [c for c in pages.columns if c != "text"]
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            chunks = frame["text"].map(lambda page: pack_page(page, cap, heading))
+            rows = frame[carried].assign(_chunk=chunks).explode("_chunk").dropna(subset=["_chunk"])
+            parts = pd.DataFrame(list(rows["_chunk"]), columns=["chunk_index", "article", "content"], index=rows.index)
+            yield pd.concat([rows[carried], parts], axis=1)
+
+    schema = T.StructType(
+        [pages.schema[c] for c in carried]
+        + [
+            T.StructField("chunk_index", T.IntegerType()),
+            T.StructField("article", T.StringType()),
+            T.StructField("content", T.StringType()),
+        ]
+    )
+    return pages.mapInPandas(packed, schema)
 
 
 def chunk_pages(
@@ -143,24 +157,22 @@ def chunk_pages(
     """Chunks of ``(document_title, page_number, text)``; no row leaves its partition."""
     from lectern.operators.cleaning import page_profile
 
-    kept = pages.filter(~page_profile("text", **skip_rules)["skip"])
-    section = section_of_title("document_title")
-    return (
-        kept.select("*", F.explode(pack("text", cap, pattern)).alias("_chunk"))
-        .withColumn("section_code", section)
-        .select(
-            chunk_id("document_title", "page_number", "_chunk.chunk_index").alias("chunk_id"),
-            "document_title",
-            "section_code",
-            F.col("_chunk.article").alias("article"),
-            "page_number",
-            F.col("page_number").alias("page_start"),
-            F.col("page_number").alias("page_end"),
-            F.array_compact(F.array("section_code", "_chunk.article")).alias("heading_path"),
-            F.col("_chunk.chunk_index").alias("chunk_index"),
-            F.col("_chunk.content").alias("content"),
-            *([F.col("source_path")] if "source_path" in pages.columns else []),
-        )
+    # Skipped pages pack to nothing. As a filter the test would move below a repartitioning of the pages.
+    kept = F.when(~page_profile("text", **skip_rules)["skip"], F.col("text"))
+    source = ["source_path"] if "source_path" in pages.columns else []
+    packed = pack_pages(pages.select("document_title", "page_number", *source, kept.alias("text")), cap, pattern)
+    return packed.withColumn("section_code", section_of_title("document_title")).select(
+        chunk_id("document_title", "page_number", "chunk_index").alias("chunk_id"),
+        "document_title",
+        "section_code",
+        "article",
+        "page_number",
+        F.col("page_number").alias("page_start"),
+        F.col("page_number").alias("page_end"),
+        F.array_compact(F.array("section_code", "article")).alias("heading_path"),
+        "chunk_index",
+        "content",
+        *source,
     )
 
 

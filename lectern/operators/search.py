@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern import vocab
 from lectern.functions import text as tx
 from lectern.operators.chunking import section_code
+from lectern.session import cut_lineage
 
 GRAM = tx.MIN_TERM_CHARS
 # Characters of a keyword that its lookup key keeps.
@@ -172,10 +173,13 @@ def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PH
     """``(query_id, chunk_id)`` with BM25 and the parts of the heuristic score, where any part is not zero.
 
     Parts are summed per pair, so a common keyword is spread over the chunks' hash partitions instead of
-    being gathered anywhere.
+    being gathered anywhere. The weights need a pass over all chunk terms before the scores do, so the
+    terms are written out once, whole chunks together, and read twice.
     """
     keywords = question_keywords(parsed).select("keyword").distinct()
-    held = chunk_terms(corpus, keywords, list(dict.fromkeys(phrase for _, phrase in phrase_rules)))
+    held = cut_lineage(
+        chunk_terms(corpus, keywords, list(dict.fromkeys(phrase for _, phrase in phrase_rules))), "chunk-terms"
+    )
     total = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
     frequency = held.filter((F.col("kind") == KEYWORD) & (F.col("in_content") > 0)).groupBy("term").agg(
         F.count(F.lit(1)).alias("matches")
