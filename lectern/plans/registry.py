@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import article_queries, search_queries, state_queries, text_queries
+from lectern.plans import article_queries, search_queries, state_queries, stream_queries, text_queries
 
-MODULES = [text_queries, search_queries, article_queries, state_queries]
+MODULES = [text_queries, search_queries, article_queries, state_queries, stream_queries]
 
 
 def queries() -> dict:
