@@ -22,7 +22,7 @@ def stream_session_state(spark, root):
     turns = _stream(spark, root, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), "role", F.col("text").alias("message")
     )
-    states = sessions.session_states(turns, **st.FOLD)
+    states = sessions.session_states(turns, **st.FOLD, ttl_seconds=None)
     ingest.run_available(states, ingest.batch_writer(folder), "update", os.path.join(folder, "_progress"))
     return sessions.latest_states(spark.read.parquet(folder).drop("batch"))
 

@@ -49,14 +49,15 @@ def session_states(
     recent: int = vocab.RECENT_TURNS,
     max_tokens: int = vocab.COMPACTION_TOKENS,
     summary_tokens: int = vocab.SUMMARY_TOKENS,
-    ttl_seconds: int = vocab.SESSION_TTL_SECONDS,
+    ttl_seconds: int | None = vocab.SESSION_TTL_SECONDS,
 ) -> DataFrame:
     """State rows of the sessions touched in each micro-batch of ``(session_id, ord, role, message)``.
 
     A session's state is its retained turns and summary, both bounded, and is forgotten after the time
     to live without turns. A micro-batch bounds how many turns of a session are sorted at once; set
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on the source. Long histories that are already
-    stored belong in the batch fold.
+    stored belong in the batch fold. A run over what is available now needs ``ttl_seconds=None``: a
+    pending expiry keeps such a run going.
     """
     limits = {"max_turns": max_turns, "recent": recent, "max_tokens": max_tokens, "summary_tokens": summary_tokens}
     id_type = dict(turns.dtypes)["session_id"]
@@ -72,7 +73,8 @@ def session_states(
             current = fold_turn(current, role, message, limits)
         seen += len(batch)
         state.update((*current, seen))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        if ttl_seconds is not None:
+            state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(
             {
                 "session_id": [key[0]],
@@ -88,7 +90,7 @@ def session_states(
         f"session_id {id_type}, turn_count long, retained_turns long, compacted_turns long, summary string",
         STATE,
         "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
