@@ -8,6 +8,7 @@ from lectern.functions import dates, html
 from lectern.functions import text as tx
 from lectern.operators import articles, merge, questions, retrieval
 from lectern.plans import fixtures as fx
+from lectern.plans import search_queries as sq
 from lectern.plans.text_queries import WS
 from lectern.session import cut_lineage
 from lectern.sources.tables import spread, table
@@ -463,6 +464,23 @@ def topic_to_chunks(spark, root):
     )
     return linked.select("article_id", F.col("position").cast("long").alias("position"), "chunk_id")
 
+
+# The retrieval SQL over the topics' questions, without a vector list.
+TOPIC_CHUNKS_SQL = f"""
+WITH {ASKED_SQL},
+{sq.RERANKED_SQL.replace(fx.QUESTIONS_SQL, """questions AS (
+  SELECT DISTINCT q AS query_id, q AS question FROM (SELECT unnest(questions) AS q FROM asked_topics WHERE has_topic)
+)""").replace(sq.VECTOR_SQL, "vector AS (SELECT query_id, 0::BIGINT AS chunk_id, 0::BIGINT AS vector_rank FROM parsed WHERE false)").strip()},
+places AS (
+  SELECT article_id, chunk_id, min(question_no * 100 + rank) AS place
+  FROM (SELECT article_id, unnest(questions[1:3]) AS question, generate_subscripts(questions[1:3], 1) AS question_no FROM asked_topics WHERE has_topic)
+  JOIN reranked ON query_id = question GROUP BY 1, 2
+)
+SELECT article_id, position, chunk_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY place) AS position FROM places) WHERE position <= 3"""
+# The retrieval SQL has a relation of the name ``asked`` of its own.
+TOPIC_CHUNKS_SQL = TOPIC_CHUNKS_SQL.replace(ASKED_SQL, ASKED_SQL.replace("asked AS (", "asked_topics AS ("))
+
 QUERIES = {
     "page_extract": page_extract,
     "url_tail": url_tail,
@@ -505,4 +523,5 @@ ORACLES = {
     "key_points": KEY_POINTS_SQL,
     "topic_match": TOPIC_MATCH_SQL,
     "suggested_questions": SUGGESTED_SQL,
+    "topic_to_chunks": TOPIC_CHUNKS_SQL,
 }

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from lectern.plans import article_queries, search_queries, state_queries, stream_queries, text_queries
 
 MODULES = [text_queries, search_queries, article_queries, state_queries, stream_queries]
 
 
+def in_utc(query):
+    """Times of the tables carry no zone; the queries and their SQL read them as UTC."""
+
+    @wraps(query)
+    def run(spark, root):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, root)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return {name: in_utc(query) for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
