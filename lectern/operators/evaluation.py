@@ -58,12 +58,20 @@ def pass_rate(flag: str) -> Column:
 
 
 def interpolated_percentile(value: str, fraction: float) -> Column:
-    """Linear between neighbours; zero for no values. Values are counted per distinct value before merging."""
+    """Linear between neighbours; zero for no values.
+
+    The aggregate keeps a count per distinct value, so values should come from a bounded range.
+    """
     return F.coalesce(F.percentile(value, fraction), F.lit(0.0))
 
 
 def evaluation_report(verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return verdicts.groupBy(*(keys or [])).agg(
+    """Pass rates and latency percentiles of verdicts, over all or per key.
+
+    Latencies are taken to two decimals, as they are recorded. With the time limit of a request this
+    bounds their distinct values, and so the percentiles' memory, however many cases there are.
+    """
+    return verdicts.withColumn("latency_ms", F.round("latency_ms", 2)).groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("cases"),
         *[pass_rate(f"{part}_ok").alias(f"{part}_rate") for part in ("intent", "tool", "action", "answer", "evidence")],
         F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("p50_latency_ms"),

@@ -145,7 +145,6 @@ grouped AS (
       PARTITION BY page_id % 3, source_name, page_id // 24 ORDER BY page_id) END AS nth
   FROM page_articles
 ),
-by_second AS (SELECT * FROM grouped),
 old AS (
   SELECT source_name, source_article_id, article_url,
          CASE WHEN page_id % 3 <> 2 THEN 'A ' || title ELSE title END AS title,
@@ -158,7 +157,7 @@ new AS (
   SELECT source_name, CASE WHEN nth = 1 THEN 'n' || (page_id // 24) ELSE '' END AS source_article_id,
          article_url || '/new' AS article_url, 'B ' || title AS title, 'second' AS summary, 'second ' || id AS content,
          CAST(NULL AS VARCHAR) AS author, false AS is_deleted, '2024-06-01 00:00:00' AS fetched_at
-  FROM by_second
+  FROM grouped
 )
 SELECT * FROM old UNION ALL SELECT * FROM new"""
 

@@ -8,6 +8,7 @@ from lectern import vocab
 from lectern.functions import html
 from lectern.operators import evaluation, merge, questions, race, retrieval, search, sessions, vectors
 from lectern.sources import feed, fetched, files, seed
+from lectern.streaming import ingest
 from lectern.streaming.sessions import fold_turn
 
 CHUNKS = [
@@ -161,6 +162,21 @@ def test_upsert_follows_arrival_order(spark):
     }
 
 
+def test_article_batches_that_run_again_change_nothing(spark, folder):
+    stored = spark.createDataFrame([(1, "s", "a", "old", None, None, "u1", None, None, [], None, None, False)], ARTICLE)
+    path = ingest.versions(folder)
+    stored.write.parquet(path(0))
+    merge_batch = ingest.article_merger(folder, lambda: F.timestamp_seconds(F.lit(0)))
+    batch = stored.drop("id", "fetched_at", "is_deleted").withColumn("arrival", F.lit(1).cast("long"))
+    batch = batch.withColumn("title", F.lit("new")).unionByName(
+        batch.withColumns({"arrival": F.lit(2).cast("long"), "source_article_id": F.lit("b"), "article_url": F.lit("u2")})
+    )
+    for _ in range(2):
+        merge_batch(batch, 0)
+        rows = spark.read.parquet(path(1)).orderBy("id").collect()
+        assert [(r.id, r.source_article_id, r.title) for r in rows] == [(1, "a", "new"), (3, "b", "old")]
+
+
 PAGE = """<html><head><meta name="description" content=" A  summary "><meta property="article:tag" content="One">
 <meta property="article:tag" content="One"><meta property="og:author" content="Ann"></head>
 <body><main><h1>Headline of this long page</h1>A summary<p>byline is skipped here too</p><p>First paragraph of the body text.</p>
