@@ -166,3 +166,33 @@ def enrich(requests: DataFrame, attachments: Sequence[tuple[str, Column]]) -> Da
     for name, value in attachments:
         requests = requests.withColumn(name, F.coalesce(F.col(name), value) if name in requests.columns else value)
     return requests
+
+
+# The answer to a strategy request that no model has answered.
+STRATEGY = {
+    "recommendation": "Combine live tyre degradation, pit-loss window, and track position before committing to the stop.",
+    "confidence": "low",
+    "analysis": [
+        "The current context does not include enough tyre, traffic, or lap-time data to issue a high-confidence pit instruction.",
+        "A conditional recommendation is safer than a deterministic call when live race variables are incomplete.",
+    ],
+    "assumptions": ["The supplied context reflects the current race state."],
+    "cautions": ["A Safety Car, VSC, red flag, or sudden weather change can invalidate this view immediately."],
+}
+STRATEGY_FACT = "Received %d %s context items."
+AUTHORITY_ANSWER = (
+    "这个问题需要实时或权威资料支持，我不能只凭通用模型知识猜测。"
+    "请改问更具体的查询，例如“最新车手积分榜”“下一站比赛”“最近 F1 新闻”或“某条 FIA 规则如何规定”。"
+)
+
+
+def strategy_answer(race_items: Column, rule_items: Column, news_items: Column) -> Column:
+    """Struct of the deterministic strategy answer; its facts count the context items of each kind."""
+    counts = (("race", race_items), ("regulation", rule_items), ("news", news_items))
+    facts = F.array_compact(F.array(*[F.when(n > 0, F.format_string(STRATEGY_FACT, n, F.lit(kind))) for kind, n in counts]))
+    return F.struct(
+        F.lit(STRATEGY["recommendation"]).alias("recommendation"),
+        F.lit(STRATEGY["confidence"]).alias("confidence"),
+        facts.alias("facts"),
+        *[tx.string_array(STRATEGY[part]).alias(part) for part in ("analysis", "assumptions", "cautions")],
+    )
