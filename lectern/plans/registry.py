@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from lectern.plans import article_queries, search_queries, state_queries, stream_queries, text_queries
+from lectern.session import ship_package
 
 MODULES = [text_queries, search_queries, article_queries, state_queries, stream_queries]
 
@@ -15,6 +16,7 @@ def in_utc(query):
     @wraps(query)
     def run(spark, root):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return query(spark, root)
 
     return run
