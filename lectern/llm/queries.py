@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, token_files
+from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, token_files, warc
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
@@ -30,12 +30,24 @@ def op1_token_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, root: str) -> DataFrame:
+    runs = warc.write_archives(table(spark, root, "pages"))
+    index = warc.captures(warc.merge_runs(runs))
+    return warc.read_archives(index, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, root, "documents"), WORD_BPE, end_id=0)
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place_pieces(narrow)
 
 
+def op5_setsketch(spark: SparkSession, root: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, root, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     """The older half of the documents, by id, is the snapshot; the newer half is the incoming batch."""
     docs = table(spark, root, "documents")
@@ -72,13 +84,56 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_setsketch": op5_setsketch,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_segment_bpe": op9_segment_bpe,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages
+        ), r AS (
+            SELECT html, max(page_id) AS response FROM p WHERE size >= 1000 GROUP BY html
+        )
+        SELECT page_id, size AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               nullif(response, page_id) AS refers_to
+        FROM p LEFT JOIN r ON p.html = r.html
+    """,
+    "op5_setsketch": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(
+                       regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                       lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ')
+                   ELSE array_to_string(words[i:i + 3], ' ') END AS shingle, len(words) < 4 AS short
+            FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i) WHERE len(words) > 0
+        ), n AS (
+            SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS inter
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.short = b.short AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2
+        ), link AS (
+            SELECT p, q FROM shared JOIN n x ON x.doc_id = p JOIN n y ON y.doc_id = q
+            WHERE 100 * inter >= 80 * (x.size + y.size - inter)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT a, q FROM reach JOIN link ON b = p
+        ), c AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM c LEFT JOIN n USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
