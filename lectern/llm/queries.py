@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, token_files, warc
+from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, syncmers, token_files, warc
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
@@ -44,6 +44,18 @@ def op3_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.place_pieces(narrow)
 
 
+def op4_syncmers(spark: SparkSession, root: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, root, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        syncmers.printed("anchors").alias("fingerprint"),
+        syncmers.printed("edited_anchors").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_setsketch(spark: SparkSession, root: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, root, "documents"))
 
@@ -86,6 +98,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_syncmers": op4_syncmers,
     "op5_setsketch": op5_setsketch,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_segment_bpe": op9_segment_bpe,
