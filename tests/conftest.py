@@ -14,7 +14,7 @@ def spark():
 
     session = build_session(
         "tests",
-        "local[8]",
+        f"local[{os.environ.get('LECTERN_TEST_CORES', '8')}]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
     )
