@@ -1,7 +1,72 @@
-"""Placeholder until all four stages exist."""
+"""From raw documents to packed training sequences, in four stages.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read again as the next one's
+documents. Rows without an id pass the filters, which know documents by their ids, and end at the last stage.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import os
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.llm import fuse_dedup, packing, rff_quality, setsketch
+from lectern.session import cut_lineage, ship_package
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+FOLDS = 5
+PASS_SCORE = 0.3
+END_ID = 0
+ORACLE_SQL = None
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id is not among those of ``gone``."""
+    return docs.select(*COLUMNS).join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the labels of the documents at hand."""
+    ship_package(spark)
+    labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
+    scored = rff_quality.score_documents(docs, labels, "quality", fold != 0, fold == 1)
+    return without(docs, scored.filter(F.col("score") < PASS_SCORE))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of equal texts, and one row of a repeated id. The older half by id is the snapshot."""
+    ship_package(spark)
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5).alias("m")).first()["m"]
+    groups = fuse_dedup.deduplicate(docs, F.col("doc_id") <= F.lit(middle))
+    left = without(docs, groups.filter("not kept"))
+    again = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.xxhash64("text"))
+    single = left.filter("doc_id is not null").withColumn("_copy", F.row_number().over(again)).filter("_copy = 1")
+    return single.drop("_copy").unionByName(left.filter("doc_id is null"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    ship_package(spark)
+    return without(docs, setsketch.near_duplicates(docs).filter("not kept"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of tokens."""
+    ship_package(spark)
+    pieces = packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return packing.place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over the whole documents table."""
+    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

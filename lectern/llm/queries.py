@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, syncmers, token_files, warc
+from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
@@ -17,6 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 FOLDS = 5
 PASS_SCORE = 0.3
+SHARDS = 40
 
 
 def fold() -> F.Column:
@@ -60,6 +61,23 @@ def op5_setsketch(spark: SparkSession, root: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, root, "documents"))
 
 
+def op6_sharding(spark: SparkSession, root: str) -> DataFrame:
+    """Row counts are the law: they differ by one at most."""
+    return sharding.shard_documents(table(spark, root, "documents"), SHARDS).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_wrapper_induction(spark: SparkSession, root: str) -> DataFrame:
+    return wrappers.main_text(table(spark, root, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     """The older half of the documents, by id, is the snapshot; the newer half is the incoming batch."""
     docs = table(spark, root, "documents")
@@ -100,9 +118,12 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_syncmers": op4_syncmers,
     "op5_setsketch": op5_setsketch,
+    "op6_sharding": op6_sharding,
+    "op7_wrapper_induction": op7_wrapper_induction,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_segment_bpe": op9_segment_bpe,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
@@ -175,4 +196,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
