@@ -68,10 +68,9 @@ def interpolated_percentile(value: str, fraction: float) -> Column:
 def evaluation_report(verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pass rates and latency percentiles of verdicts, over all or per key.
 
-    Latencies are taken to two decimals, as they are recorded. With the time limit of a request this
-    bounds their distinct values, and so the percentiles' memory, however many cases there are.
+    The percentiles are exact and keep a count per distinct latency.
     """
-    return verdicts.withColumn("latency_ms", F.round("latency_ms", 2)).groupBy(*(keys or [])).agg(
+    return verdicts.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("cases"),
         *[pass_rate(f"{part}_ok").alias(f"{part}_rate") for part in ("intent", "tool", "action", "answer", "evidence")],
         F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("p50_latency_ms"),

@@ -57,8 +57,8 @@ def parse_calendar(rows: DataFrame, column: str, keep: Sequence[str] = ()) -> Da
     race = F.col("_race")
     return races.withColumn("sessions", event_sessions(race)).select(
         *keep,
-        race["season"].cast("int").alias("season"),
-        race["round"].cast("int").alias("round_number"),
+        race["season"].try_cast("int").alias("season"),
+        race["round"].try_cast("int").alias("round_number"),
         race["raceName"].alias("grand_prix_name"),
         race["Circuit"]["circuitName"].alias("circuit_name"),
         race["Circuit"]["Location"]["country"].alias("country"),
@@ -70,12 +70,12 @@ def parse_calendar(rows: DataFrame, column: str, keep: Sequence[str] = ()) -> Da
 
 def whole_points(points: Column) -> Column:
     """Half points are cut off."""
-    return points.cast("double").cast("int")
+    return points.try_cast("double").try_cast("int")
 
 
 def driver_standing(item: Column) -> Column:
     return F.struct(
-        item["position"].cast("int").alias("position"),
+        item["position"].try_cast("int").alias("position"),
         F.concat_ws(" ", item["Driver"]["givenName"], item["Driver"]["familyName"]).alias("driver_name"),
         F.coalesce(F.get(item["Constructors"], 0)["name"], F.lit(vocab.UNKNOWN_TEAM)).alias("team_name"),
         whole_points(item["points"]).alias("points"),
@@ -84,7 +84,7 @@ def driver_standing(item: Column) -> Column:
 
 def team_standing(item: Column) -> Column:
     return F.struct(
-        item["position"].cast("int").alias("position"),
+        item["position"].try_cast("int").alias("position"),
         item["Constructor"]["name"].alias("team_name"),
         whole_points(item["points"]).alias("points"),
     )

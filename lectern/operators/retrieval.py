@@ -130,7 +130,9 @@ def retrieve(
     Every stage reads the parsed questions. Callers write them out first (``cut_lineage``), which parses
     them once and keeps their long expressions out of the stages' plans.
     """
-    keyword = search.keyword_candidates(search.keyword_scores(corpus, parsed, phrase_rules))
+    keyword = search.keyword_candidates(
+        search.keyword_scores(corpus, parsed, phrase_rules, vocab.KEYWORD_CANDIDATES)
+    )
     if embeddings is None or query_vectors is None:
         vector = keyword.limit(0).select("query_id", "chunk_id", F.col("keyword_rank").alias("vector_rank"))
     else:

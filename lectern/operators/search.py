@@ -1,13 +1,18 @@
 """Keyword search over a corpus of chunks, for many questions at once.
 
 A corpus row is ``(chunk_id, ord, document_title, section, article, content)``; ``ord`` is unique and
-breaks ties. Nothing here compares every chunk with every keyword: containment is resolved once per
-distinct word of the vocabulary and joined back through the word postings.
+breaks ties. A chunk is read once for a whole block of questions: an automaton of their keywords finds all that the
+chunk contains in one pass over its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lectern import vocab
@@ -15,10 +20,9 @@ from lectern.functions import text as tx
 from lectern.operators.chunking import section_code
 from lectern.session import cut_lineage
 
-GRAM = tx.MIN_TERM_CHARS
-# Characters of a keyword that its lookup key keeps.
-KEY_CHARS = 6
-KEYWORD, PHRASE = "keyword", "phrase"
+# Questions and keywords that go to the tasks at once.
+QUESTION_BLOCK = 2_048
+KEYWORD_BLOCK = 50_000
 
 
 def token_postings(corpus: DataFrame) -> DataFrame:
@@ -40,58 +44,68 @@ def question_keywords(parsed: DataFrame) -> DataFrame:
     return elements(parsed, ["query_id"], "keywords", "keyword")
 
 
-def words_containing(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``(word, keyword)`` for every keyword that is a substring of a word.
+def inverse_frequency(documents: Column, matches: Column) -> Column:
+    return F.log(F.lit(1.0) + (documents - matches + F.lit(0.5)) / (matches + F.lit(0.5)))
 
-    Keywords have at least three characters. Each is looked up by its first six, or by itself when it is
-    shorter, among the pieces of three to six characters at every place of a word. This equi-join
-    replaces the comparison of every word with every keyword.
-    """
-    places = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - GRAM + 1)).alias("_at"))
-    sizes = F.array(*[F.lit(n) for n in range(GRAM, KEY_CHARS + 1)])
-    pieces = (
-        places.select("word", "_at", F.explode(sizes).alias("_size"))
-        .filter(F.col("_at") + F.col("_size") - 1 <= F.length("word"))
-        .select("word", "_at", F.substring("word", F.col("_at"), F.col("_size")).alias("_key"))
-    )
-    keyed = keywords.select("keyword", F.left("keyword", F.lit(KEY_CHARS)).alias("_key"))
-    return (
-        pieces.join(keyed, "_key")
-        .filter(F.substring(F.col("word"), F.col("_at"), F.length("keyword")) == F.col("keyword"))
-        .select("word", "keyword")
-        .distinct()
-    )
 
+def blocks_of(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """Rows of a table in hashed blocks of about ``size``, one at a time on the driver."""
+    blocks = max(1, -(-df.count() // size))
+    for block in range(blocks):
+        rows = df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).collect()
+        if rows:
+            yield rows
 
-def contained_keywords(corpus: DataFrame, keywords: DataFrame, column: str = "content") -> DataFrame:
-    """Distinct ``(chunk_id, keyword)`` where the lower-cased column contains the keyword.
 
-    A keyword holds no whitespace, so a text contains it exactly when one of its words does.
-    """
-    return _keyword_hits(corpus, keywords, column).distinct()
+class Terms:
+    """The terms of a list that a text contains, anywhere in it."""
 
+    def __init__(self, terms: Sequence[str]):
+        import ahocorasick
 
-def _keyword_hits(corpus: DataFrame, keywords: DataFrame, column: str) -> DataFrame:
-    """As ``contained_keywords``, but a pair comes once per word that gives it."""
-    postings = elements(corpus, ["chunk_id"], F.array_distinct(tx.words(F.lower(column))), "word").filter(
-        F.length("word") >= GRAM
-    )
-    matches = words_containing(postings.select("word").distinct(), keywords)
-    return postings.join(matches, "word").select("chunk_id", "keyword")
+        self.found = ahocorasick.Automaton()
+        for number, term in enumerate(terms):
+            if term:
+                self.found.add_word(term, number)
+        if len(self.found):
+            self.found.make_automaton()
 
+    def within(self, text: str | None) -> list[int]:
+        return sorted({number for _, number in self.found.iter(text)}) if text and len(self.found) else []
 
-def inverse_frequency(documents: Column, matches: Column) -> Column:
-    return F.log(F.lit(1.0) + (documents - matches + F.lit(0.5)) / (matches + F.lit(0.5)))
 
+def term_frequencies(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """``(term, matches)``: chunks whose lower-cased content contains a term, where any does.
+
+    Every task counts over its own chunks, so only a number per term and task is shuffled.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, counts = Terms(terms), np.zeros(len(terms), dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                counts[held.within(text)] += 1
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield pd.DataFrame({"term": [terms[i] for i in some], "matches": counts[some]})
+
+    partial = corpus.select(F.lower("content").alias("text")).mapInPandas(count, "term string, matches long")
+    return partial.groupBy("term").agg(F.sum("matches").alias("matches"))
 
-def keyword_idf(contained: DataFrame, corpus: DataFrame, keywords: DataFrame) -> DataFrame:
+
+def keyword_idf(corpus: DataFrame, keywords: DataFrame) -> DataFrame:
     """Chunks that contain each keyword and the keyword's weight; zero where none does."""
+    asked = cut_lineage(keywords.select("keyword").distinct(), "keywords")
+    found = None
+    for rows in blocks_of(asked, "keyword", KEYWORD_BLOCK):
+        part = term_frequencies(corpus, [row["keyword"] for row in rows])
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = corpus.sparkSession.createDataFrame([], "term string, matches long")
     total = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = contained.groupBy("keyword").agg(F.count(F.lit(1)).alias("matches"))
     weight = F.when(F.col("matches") > 0, inverse_frequency(total, F.col("matches"))).otherwise(0.0)
     return (
-        keywords.select("keyword")
-        .join(frequency, "keyword", "left")
+        asked.join(found.withColumnRenamed("term", "keyword"), "keyword", "left")
         .select("keyword", F.coalesce("matches", F.lit(0)).alias("matches"))
         .select("keyword", "matches", weight.alias("idf"))
     )
@@ -131,84 +145,6 @@ def count_contained(text: Column, keys: Column) -> Column:
     return tx.let(text, lambda t: F.size(F.filter(keys, lambda k: F.contains(t, k)))).cast("long")
 
 
-def chunk_terms(corpus: DataFrame, keywords: DataFrame, phrases: list[str]) -> DataFrame:
-    """What each chunk holds of the keywords and phrases: one row per ``(chunk_id, kind, term)``.
-
-    Hits, token counts, article hits and phrase hits arrive as long rows and meet in one shuffle by
-    chunk. Later aggregates per question and chunk run on the same partitioning.
-    """
-    zero = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-
-    def rows(df: DataFrame, kind: str, term: str, in_content=zero, in_article=zero, tf=zero, length=zero) -> DataFrame:
-        return df.select(
-            "chunk_id", F.lit(kind).alias("kind"), F.col(term).alias("term"), in_content.alias("in_content"),
-            in_article.alias("in_article"), tf.alias("tf"), length.alias("length"),
-        )
-
-    tokenized = corpus.select("chunk_id", tx.tokens("content").alias("_tokens"))
-    counted = (
-        elements(tokenized.withColumn("length", F.size("_tokens").cast("long")), ["chunk_id", "length"], "_tokens", "keyword")
-        .join(keywords, "keyword", "left_semi")
-    )
-    with_article = corpus.filter(F.col("article").isNotNull())
-    in_chunk = elements(corpus, ["chunk_id"], tx.hits(F.lower("content"), phrases), "phrase")
-    return (
-        rows(_keyword_hits(corpus, keywords, "content"), KEYWORD, "keyword", in_content=one)
-        .unionByName(rows(counted, KEYWORD, "keyword", tf=one, length=F.col("length")))
-        .unionByName(rows(_keyword_hits(with_article, keywords, "article"), KEYWORD, "keyword", in_article=one))
-        .unionByName(rows(in_chunk, PHRASE, "phrase", in_content=one))
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "kind", "term")
-        .agg(
-            F.max("in_content").alias("in_content"),
-            F.max("in_article").alias("in_article"),
-            F.sum("tf").alias("tf"),
-            F.max("length").alias("length"),
-        )
-    )
-
-
-def keyword_evidence(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES) -> DataFrame:
-    """``(query_id, chunk_id)`` with BM25 and the parts of the heuristic score, where any part is not zero.
-
-    Parts are summed per pair, so a common keyword is spread over the chunks' hash partitions instead of
-    being gathered anywhere. The weights need a pass over all chunk terms before the scores do, so the
-    terms are written out once, whole chunks together, and read twice.
-    """
-    keywords = question_keywords(parsed).select("keyword").distinct()
-    held = cut_lineage(
-        chunk_terms(corpus, keywords, list(dict.fromkeys(phrase for _, phrase in phrase_rules))), "chunk-terms"
-    )
-    total = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = held.filter((F.col("kind") == KEYWORD) & (F.col("in_content") > 0)).groupBy("term").agg(
-        F.count(F.lit(1)).alias("matches")
-    )
-    asked = (
-        question_keywords(parsed)
-        .select("query_id", F.lit(KEYWORD).alias("kind"), F.col("keyword").alias("term"))
-        .unionByName(
-            elements(parsed, ["query_id"], "phrases", "term").select("query_id", F.lit(PHRASE).alias("kind"), "term")
-        )
-    )
-    # A question term's weight rides along with it, so the long side is joined once.
-    weighted = asked.join(frequency, "term", "left").select(
-        "query_id", "kind", "term", F.coalesce(inverse_frequency(total, F.col("matches")), F.lit(0.0)).alias("idf")
-    )
-    is_keyword = F.col("kind") == KEYWORD
-    weight = F.when(is_keyword & (F.col("tf") > 0), bm25_term(F.col("idf"), F.col("tf"), F.col("length"))).otherwise(0.0)
-    return (
-        held.join(weighted, ["kind", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.round(F.sum(weight), 4).alias("bm25"),
-            F.sum(F.when(is_keyword, F.col("in_content")).otherwise(0)).alias("keyword_hits"),
-            F.sum(F.when(is_keyword, 0).otherwise(F.col("in_content"))).alias("phrase_hits"),
-            (F.max("in_article") > 0).alias("article_hit"),
-        )
-    )
-
-
 def heuristic_score(keyword_hits: Column, phrase_hits: Column, article_hit: Column, title_sections: Column) -> Column:
     """Points for phrases, keywords and the article; section points only when there are any others."""
     content = (
@@ -219,25 +155,151 @@ def heuristic_score(keyword_hits: Column, phrase_hits: Column, article_hit: Colu
     return F.when(content == 0, F.lit(0)).otherwise(content + title_sections * vocab.SECTION_POINTS).cast("long")
 
 
-def keyword_scores(corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES) -> DataFrame:
-    """Every ``(query_id, chunk_id)`` with a positive keyword score."""
-    evidence = keyword_evidence(corpus, parsed, phrase_rules)
+class QuestionBlock:
+    """A bounded block of questions as arrays: who asks for each keyword and phrase, and the sections asked for."""
+
+    def __init__(self, rows: list[Row], phrase_rules):
+        allowed = {phrase for _, phrase in phrase_rules}
+        self.ids = [row["query_id"] for row in rows]
+        self.keywords, self.keyword_askers = self._askers([row["keywords"] or [] for row in rows])
+        phrases = [[p for p in row["phrases"] or [] if p in allowed] for row in rows]
+        self.phrases, self.phrase_askers = self._askers(phrases)
+        sections = [[s.lower() for s in row["sections"] or [] if s is not None] for row in rows]
+        self.sections = sorted({s for own in sections for s in own})
+        self.wanted = np.array([[own.count(s) for s in self.sections] for own in sections], dtype=np.int64)
+        self.wanted = self.wanted.reshape(len(rows), len(self.sections))
+        self.idf = np.zeros(len(self.keywords))
+
+    @staticmethod
+    def _askers(lists: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+        by: dict[str, list[int]] = {}
+        for number, terms in enumerate(lists):
+            for term in terms:
+                if term:
+                    by.setdefault(term, []).append(number)
+        return list(by), [np.array(askers) for askers in by.values()]
+
+    def weigh(self, corpus: DataFrame, chunks: int) -> None:
+        """Weights of the keywords over the whole corpus."""
+        place = {keyword: i for i, keyword in enumerate(self.keywords)}
+        for row in term_frequencies(corpus, self.keywords).collect():
+            matches = row["matches"]
+            self.idf[place[row["term"]]] = np.log(1.0 + (chunks - matches + 0.5) / (matches + 0.5))
+
+    def sums(self, askers: list[np.ndarray], terms: list[int], weights: np.ndarray | None = None) -> np.ndarray:
+        """Per question the sum of the weights, or the number, of the terms it asks for."""
+        if not terms:
+            return np.zeros(len(self.ids), dtype=np.int64 if weights is None else np.float64)
+        lists = [askers[t] for t in terms]
+        spread = None if weights is None else np.repeat(weights, [len(own) for own in lists])
+        return np.bincount(np.concatenate(lists), weights=spread, minlength=len(self.ids))
+
+
+EVIDENCE = ["ord", "bm25", "keyword_hits", "phrase_hits", "article_hit", "heuristic", "preferred", "score"]
+
+
+def _scan(block: QuestionBlock, limit: int | None):
+    """Score a partition's chunks for a block of questions; with a ``limit``, that many a question leave it."""
+    k1, b = vocab.BM25_K1, vocab.BM25_B
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((rows["ord"], -rows["score"], ~rows["preferred"].to_numpy(), rows["question"]))
+        rows = rows.iloc[order]
+        return rows[rows.groupby("question", sort=False).cumcount().to_numpy() < limit]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keywords, phrases = Terms(block.keywords), Terms(block.phrases)
+        place = {keyword: i for i, keyword in enumerate(block.keywords)}
+        token = re.compile("[a-z0-9]+")
+        titles: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            parts = []
+            for chunk in batch.itertuples(index=False):
+                inside = keywords.within(chunk.lowered)
+                tokens = token.findall(chunk.lowered or "")
+                tf = np.zeros(len(block.keywords))
+                for t in tokens:
+                    if t in place:
+                        tf[place[t]] += 1
+                counted = [k for k in inside if tf[k]]
+                own = tf[counted]
+                norm = k1 * (1 - b + b * len(tokens) / vocab.BM25_AVG_LENGTH)
+                weights = block.idf[counted] * (own * (k1 + 1)) / (own + norm)
+                bm25 = np.round(block.sums(block.keyword_askers, counted, weights), 4)
+                hits = block.sums(block.keyword_askers, inside)
+                phrase_hits = block.sums(block.phrase_askers, phrases.within(chunk.lowered))
+                article = block.sums(block.keyword_askers, keywords.within(chunk.lowered_article)) > 0
+                key = (chunk.lowered_title, chunk.lowered_section)
+                if key not in titles:
+                    if len(titles) > 10_000:
+                        titles.clear()
+                    named = np.array([key[0] is not None and s in key[0] for s in block.sections], dtype=np.int64)
+                    same = np.array([s == key[1] for s in block.sections], dtype=np.int64)
+                    titles[key] = (block.wanted @ named, block.wanted @ (named | same) > 0)
+                title_sections, preferred = titles[key]
+                content = phrase_hits * vocab.PHRASE_POINTS + hits * vocab.KEYWORD_POINTS + article * vocab.ARTICLE_POINTS
+                heuristic = np.where(content == 0, 0, content + title_sections * vocab.SECTION_POINTS)
+                score = bm25 + heuristic
+                at = np.flatnonzero(score > 0)
+                if len(at):
+                    values = [bm25, hits, phrase_hits, article, heuristic, preferred, score]
+                    columns = {name: value[at] for name, value in zip(EVIDENCE[1:], values)}
+                    fixed = {"question": at, "chunk_id": chunk.chunk_id, "ord": chunk.ord}
+                    place_of = {"document_title": chunk.document_title, "section": chunk.section}
+                    parts.append(pd.DataFrame(fixed | place_of | columns))
+                    size += len(at)
+            if limit is None:
+                yield from map(named_rows, parts)
+                continue
+            held += parts
+            if size > 4 * limit * len(block.ids):
+                held = [best(pd.concat(held))]
+                size = len(held[0])
+        if held:
+            yield named_rows(best(pd.concat(held)))
+
+    def named_rows(rows: pd.DataFrame) -> pd.DataFrame:
+        named = rows.assign(query_id=[block.ids[i] for i in rows["question"]])
+        names = ["query_id", "chunk_id", "document_title", "section"]
+        # Text columns of joined frames come in several Arrow chunks, which Spark does not take.
+        return named[[*names, *EVIDENCE]].astype(dict.fromkeys(names, object))
+
+    return scan
+
+
+def keyword_scores(
+    corpus: DataFrame, parsed: DataFrame, phrase_rules=vocab.PHRASE_RULES, limit: int | None = None
+) -> DataFrame:
+    """Every ``(query_id, chunk_id)`` with a positive keyword score and the parts of the score.
+
+    Chunks stay where they lie. A block of questions, of a bounded size, goes to all tasks, which find the block's
+    keywords in each chunk at once and sum them per question. With a ``limit`` a task hands on that many chunks a
+    question, so what is shuffled grows with questions and tasks, not with pairs of questions and chunks.
+    """
     chunks = corpus.select(
-        "chunk_id", "ord", "document_title", chunk_section("section", "document_title").alias("section")
-    )
-    title_sections = count_contained(F.lower("document_title"), F.transform("sections", F.lower))
-    return (
-        evidence.join(chunks, "chunk_id")
-        .join(parsed.select("query_id", "sections"), "query_id")
-        .withColumn(
-            "heuristic",
-            heuristic_score(F.col("keyword_hits"), F.col("phrase_hits"), F.col("article_hit"), title_sections),
-        )
-        .withColumn("preferred", matches_section("document_title", "section", F.col("sections")))
-        .withColumn("score", F.col("bm25") + F.col("heuristic"))
-        .filter(F.col("score") > 0)
-        .drop("sections")
+        "chunk_id",
+        F.col("ord").cast("long").alias("ord"),
+        "document_title",
+        chunk_section("section", "document_title").alias("section"),
+        F.lower("content").alias("lowered"),
+        F.lower("article").alias("lowered_article"),
+        F.lower("document_title").alias("lowered_title"),
+    ).withColumn("lowered_section", F.lower("section"))
+    kinds = dict(corpus.dtypes) | {"query_id": dict(parsed.dtypes)["query_id"]}
+    schema = (
+        f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document_title string, section string, ord long, "
+        "bm25 double, keyword_hits long, phrase_hits long, article_hit boolean, heuristic long, preferred boolean, "
+        "score double"
     )
+    total, found = corpus.count(), None
+    for rows in blocks_of(parsed.select("query_id", "keywords", "phrases", "sections"), "query_id", QUESTION_BLOCK):
+        block = QuestionBlock(rows, phrase_rules)
+        block.weigh(corpus, total)
+        part = chunks.mapInPandas(_scan(block, limit), schema)
+        found = part if found is None else found.unionByName(part)
+    return corpus.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column], limit: int, rank: str = "rank") -> DataFrame:

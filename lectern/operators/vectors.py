@@ -1,6 +1,6 @@
 """Exact cosine nearest neighbours."""
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lectern import vocab
 from lectern.operators.search import ranked
+from lectern.session import cut_lineage
 
-VECTOR_BLOCK = 16_384
-PROBE_BLOCK = 1_024
+# Vectors that a task compares at once, and probes of one pass over the vectors.
+VECTOR_BLOCK = 2_048
+PROBE_BLOCK = 4_096
 # Similarities are compared at this precision, so equal vectors tie and the id decides.
 SIMILARITY_DIGITS = 6
 
@@ -26,34 +28,52 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, probe: Column, limit: int = vocab.VECTOR_CANDIDATES) -> DataFrame:
-    """Neighbours of one probe (a literal or a scalar subquery): one pass, ``limit`` rows per task survive."""
+    """Neighbours of one probe (a literal or a scalar subquery): one pass, ``limit`` rows per task survive.
+
+    A vector without direction (all zeros, or none) is near nothing, and a probe without one has no neighbours.
+    """
     return (
-        vectors.filter(F.col("embedding").isNotNull())
-        .withColumn("_probe", probe)
+        vectors.withColumn("_probe", probe)
+        .filter((dot(F.col("embedding"), F.col("embedding")) > 0) & (dot(F.col("_probe"), F.col("_probe")) > 0))
         .select("vec_id", F.round(cosine(F.col("embedding"), F.col("_probe")), SIMILARITY_DIGITS).alias("similarity"))
         .orderBy(F.desc("similarity"), F.asc("vec_id"))
         .limit(limit)
     )
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    rows = np.stack(column.to_numpy()).astype(np.float64)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
-def _block_search(limit: int):
-    def search(vectors: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(vectors) and len(probes):
-            ids = vectors["vec_id"].to_numpy()
-            scores = np.round(_unit(probes["probe"]) @ _unit(vectors["embedding"]).T, SIMILARITY_DIGITS)
-            keep = min(limit, len(ids))
-            floors = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            for query_id, row, floor in zip(probes["query_id"], scores, floors):
-                near = np.flatnonzero(row >= floor)
-                best = near[np.lexsort((ids[near], -row[near]))][:keep]
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "similarity": row[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+def _unit(rows: Iterable) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that have a direction, and which rows those are."""
+    stacked = np.stack([np.asarray(row, dtype=np.float64) for row in rows])
+    norms = np.linalg.norm(stacked, axis=1)
+    kept = np.flatnonzero(norms > 0)
+    return stacked[kept] / norms[kept, None], kept
+
+
+def _block_search(probe_ids: list, probes: np.ndarray, limit: int, block: int):
+    """Search of a partition's vectors for one block of probes; ``limit`` rows a probe leave it."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_scores = np.full((len(probes), limit), -np.inf)
+        best_ids = np.full((len(probes), limit), np.iinfo(np.int64).max)
+        for batch in batches:
+            for start in range(0, len(batch), block):
+                part = batch.iloc[start : start + block]
+                units, kept = _unit(part["embedding"])
+                ids = part["vec_id"].to_numpy()[kept]
+                scores = np.round(probes @ units.T, SIMILARITY_DIGITS)
+                # Only probes for which a vector reaches the worst kept one so far have anything to sort.
+                for row in np.flatnonzero((scores >= best_scores[:, -1:]).any(axis=1)):
+                    near = np.flatnonzero(scores[row] >= best_scores[row, -1])
+                    both = np.append(best_scores[row], scores[row][near])
+                    names = np.append(best_ids[row], ids[near])
+                    order = np.lexsort((names, -both))[:limit]
+                    best_scores[row], best_ids[row] = both[order], names[order]
+        at, place = np.nonzero(best_scores > -np.inf)
+        if len(at):
+            names = [probe_ids[i] for i in at]
+            yield pd.DataFrame(
+                {"query_id": names, "vec_id": best_ids[at, place], "similarity": best_scores[at, place]}
+            )
 
     return search
 
@@ -67,29 +87,24 @@ def nearest_many(
 ) -> DataFrame:
     """Neighbours of every ``(query_id, probe)`` in ``(vec_id, embedding)``.
 
-    Vectors and probes are hashed into blocks whose number follows from the tables' counts, and each
-    pair of blocks is one matrix product. A task holds one block of each, whatever the tables' sizes,
-    and hands on at most ``limit`` rows per probe.
+    The vectors stay where they lie: every block of probes, of a bounded size, goes to the tasks and takes one pass
+    over them, in matrix products. A task hands on at most ``limit`` rows per probe, and those alone are shuffled.
+    Vectors and probes without a direction (zero or null) take no part.
     """
-    filled = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    key_type = dict(probes.dtypes)["query_id"]
-
-    def blocks(df: DataFrame, size: int) -> Column:
-        return df.select(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.lit(1)).cast("int")).scalar()
-
-    vector_blocks, probe_blocks = blocks(filled, vector_block), blocks(probes, probe_block)
-    left = filled.withColumn("vb", F.pmod(F.xxhash64("vec_id"), vector_blocks)).withColumn(
-        "pb", F.explode(F.sequence(F.lit(0).cast("long"), (probe_blocks - 1).cast("long")))
-    )
-    right = probes.withColumn("pb", F.pmod(F.xxhash64("query_id"), probe_blocks)).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0).cast("long"), (vector_blocks - 1).cast("long")))
-    )
-    schema = f"query_id {key_type}, vec_id {dict(filled.dtypes)['vec_id']}, similarity double"
-    partial = (
-        left.groupBy("vb", "pb")
-        .cogroup(right.select("vb", "pb", "query_id", "probe").groupBy("vb", "pb"))
-        .applyInPandas(lambda v, p: _block_search(limit)(v, p), schema)
-    )
+    filled = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = cut_lineage(probes.filter(F.col("probe").isNotNull()).select("query_id", "probe"), "probes")
+    blocks = max(1, -(-asked.count() // probe_block))
+    schema = f"query_id {dict(probes.dtypes)['query_id']}, vec_id long, similarity double"
+    partial = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if rows:
+            units, kept = _unit(row["probe"] for row in rows)
+            names = [rows[i]["query_id"] for i in kept]
+            found = filled.mapInPandas(_block_search(names, units, limit, vector_block), schema)
+            partial = found if partial is None else partial.unionByName(found)
+    if partial is None:
+        partial = filled.sparkSession.createDataFrame([], schema)
     return ranked(partial, "query_id", [F.desc("similarity"), F.asc("vec_id")], limit, "vector_rank")
 
 

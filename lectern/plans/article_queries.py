@@ -69,7 +69,7 @@ FROM orders"""
 
 
 def feed_items(spark, root):
-    """Feed items written from the pages, parsed; the limit comes before the filter, as feeds are read."""
+    """Items of each source's feed, written from the pages; the limit of a feed comes before the filter."""
     from lectern.sources.feed import parse_items
 
     stored = fx.page_articles(spark, root)
@@ -81,7 +81,7 @@ def feed_items(spark, root):
         F.coalesce(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("soon")),
         F.lit("</pubDate></item>"),
     )
-    parsed = parse_items(stored.select("id", xml.alias("xml")), order="id", limit=200)
+    parsed = parse_items(stored.select("source_name", "id", xml.alias("xml")), order="id", limit=200, feed="source_name")
     return parsed.select(
         "title", "summary", "article_url", "source_article_id", F.date_format("published_at", TIME).alias("published_at")
     )
@@ -92,7 +92,8 @@ WITH {fx.PAGE_ARTICLES_SQL}
 SELECT 'Item ' || id AS title, 'About ' || source_name AS summary, article_url,
        nullif(regexp_extract(url, '([^/]*)/*$', 1), '') AS source_article_id,
        strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at
-FROM (SELECT * FROM page_articles ORDER BY id LIMIT 200) WHERE id % 9 <> 0"""
+FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY id) AS nth FROM page_articles)
+WHERE nth <= 200 AND id % 9 <> 0"""
 
 
 def _article_batch(spark, root):
@@ -116,7 +117,7 @@ def _article_batch(spark, root):
         "author", "published_at", "tags", "raw_payload",
     )
     second = old.select(
-        (F.col("id") + 10_000_000).alias("arrival"),
+        (F.col("id") + old.select(F.max("id")).scalar()).alias("arrival"),
         "source_name",
         F.lit("").alias("source_article_id"),
         F.concat("article_url", F.lit("/new")).alias("article_url"),
@@ -450,29 +451,30 @@ SELECT article_id, array_to_string(questions, ' | ') AS questions FROM asked"""
 
 
 def topic_to_chunks(spark, root):
-    """Chunks behind each article's topics. Topic questions come from the topic table, so each is retrieved once."""
-    asked = _asked(spark, root).filter(F.col("topic_count") > 0)
+    """Chunks behind each article's questions, the generic ones included; equal questions are retrieved once."""
+    asked = _asked(spark, root)
     distinct = asked.select(F.explode_outer("questions").alias("question")).distinct()
-    parsed = questions.parse_questions(
-        distinct.select(F.col("question").alias("query_id"), "question"), {}, fx.PHRASE_RULES, fx.EXPANSIONS, fx.SECTION_WORDS
-    )
-    parsed = cut_lineage(parsed, "questions")
-    found = retrieval.retrieve(parsed, fx.corpus(spark, root), None, None, 3, fx.PHRASE_RULES)["retrieved"]
+    parsed = cut_lineage(sq.parse(distinct.select(F.col("question").alias("query_id"), "question")), "questions")
+    number = F.conv(F.substring(F.md5("query_id"), 1, 8), 16, 10).cast("long")
+    probes = sq.query_vectors(spark, root, parsed, number)
+    found = retrieval.retrieve(
+        parsed, fx.corpus(spark, root), sq.chunk_vectors(spark, root), probes, 3, fx.PHRASE_RULES
+    )["retrieved"]
     linked = articles.linked_chunks(
         asked.select("article_id", "questions"), found.select(F.col("query_id").alias("question"), "chunk_id", "rank")
     )
     return linked.select("article_id", F.col("position").cast("long").alias("position"), "chunk_id")
 
 
-# The retrieval SQL over the topics' questions, without a vector list.
+# The retrieval SQL over the articles' questions.
 TOPIC_CHUNKS_SQL = f"""
 WITH {ASKED_SQL},
 {sq.RERANKED_SQL.replace(fx.QUESTIONS_SQL, """questions AS (
-  SELECT DISTINCT q AS query_id, q AS question FROM (SELECT unnest(questions) AS q FROM asked_topics WHERE has_topic)
-)""").replace(sq.VECTOR_SQL, "vector AS (SELECT query_id, 0::BIGINT AS chunk_id, 0::BIGINT AS vector_rank FROM parsed WHERE false)").strip()},
+  SELECT DISTINCT q AS query_id, q AS question FROM (SELECT unnest(questions) AS q FROM asked_topics)
+)""").replace("query_id * 8 + query_no", "CAST('0x' || substr(md5(query_id), 1, 8) AS BIGINT) + query_no").strip()},
 places AS (
   SELECT article_id, chunk_id, min(question_no * 100 + rank) AS place
-  FROM (SELECT article_id, unnest(questions[1:3]) AS question, generate_subscripts(questions[1:3], 1) AS question_no FROM asked_topics WHERE has_topic)
+  FROM (SELECT article_id, unnest(questions[1:3]) AS question, generate_subscripts(questions[1:3], 1) AS question_no FROM asked_topics)
   JOIN reranked ON query_id = question GROUP BY 1, 2
 )
 SELECT article_id, position, chunk_id FROM (

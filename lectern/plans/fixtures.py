@@ -195,7 +195,7 @@ def page_articles(spark: SparkSession, root: str) -> DataFrame:
         F.concat_ws("-", tail, page.cast("string")).alias("source_article_id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.when(page % 3 == 0, F.regexp_extract("html", "<div class=\"ad\">([^<]*)</div>", 1)).alias("summary"),
-        F.when(page % 5 != 0, F.regexp_extract("html", "<footer>([^<]*)</footer>", 1)).alias("content"),
+        F.regexp_extract("html", "<footer>([^<]*)</footer>", 1).alias("content"),
         F.col("url").alias("article_url"),
         F.when(page % 2 == 0, F.concat(F.lit("author"), (page % 13).cast("string"))).alias("author"),
         F.when(
@@ -214,7 +214,7 @@ PAGE_ARTICLES_SQL = """page_articles AS (
          regexp_extract(url, '([^/]+)/*$', 1) || '-' || page_id AS source_article_id,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
          CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) END AS summary,
-         CASE WHEN page_id % 5 <> 0 THEN regexp_extract(html, '<footer>([^<]*)</footer>', 1) END AS content,
+         regexp_extract(html, '<footer>([^<]*)</footer>', 1) AS content,
          url AS article_url, CASE WHEN page_id % 2 = 0 THEN 'author' || (page_id % 13) END AS author,
          CASE WHEN page_id % 11 <> 0 THEN make_timestamp((1704067200 + (page_id * 7919 % 1000) * 3600) * 1000000) END
            AS published_at,
@@ -224,13 +224,13 @@ PAGE_ARTICLES_SQL = """page_articles AS (
 
 
 def text_articles(spark: SparkSession, root: str) -> DataFrame:
-    """Documents as articles: the first line is the title, some have a summary, some no content."""
+    """Documents as articles: the first line is the title, some have a summary."""
     doc = F.col("doc_id")
     return documents(spark, root).select(
         doc.alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(doc % 3 == 0, F.get(F.split("text", "\n"), 1)).alias("summary"),
-        F.when(doc % 10 != 9, F.col("text")).alias("content"),
+        F.col("text").alias("content"),
         F.array("lang", "source").alias("tags"),
     )
 
@@ -238,7 +238,7 @@ def text_articles(spark: SparkSession, root: str) -> DataFrame:
 TEXT_ARTICLES_SQL = """text_articles AS (
   SELECT doc_id AS article_id, string_split(text, chr(10))[1] AS title,
          CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[2] END AS summary,
-         CASE WHEN doc_id % 10 <> 9 THEN text END AS content, lang || ' ' || source AS tag_text
+         text AS content, lang || ' ' || source AS tag_text
   FROM documents
 ),
 article_corpus AS (

@@ -25,9 +25,13 @@ REWRITE_GATE = "thin"
 
 
 def parsed_questions(spark, root):
+    return parse(fx.questions(spark, root))
+
+
+def parse(asked):
     gate = F.contains(F.col("question"), F.lit(REWRITE_GATE))
     return questions.parse_questions(
-        fx.questions(spark, root),
+        asked,
         fx.SYNONYMS,
         fx.PHRASE_RULES,
         fx.EXPANSIONS,
@@ -134,7 +138,7 @@ def idf_table(spark, root):
     corpus = fx.corpus(spark, root)
     parsed = cut_lineage(parsed_questions(spark, root), "questions")
     keywords = search.question_keywords(parsed).select("keyword").distinct()
-    idf = search.keyword_idf(search.contained_keywords(corpus, keywords), corpus, keywords)
+    idf = search.keyword_idf(corpus, keywords)
     return idf.select("keyword", "matches", F.round("idf", 6).alias("idf"))
 
 
@@ -207,7 +211,7 @@ FROM p"""
 
 def keyword_topk(spark, root):
     parsed = cut_lineage(parsed_questions(spark, root), "questions")
-    scores = search.keyword_scores(fx.corpus(spark, root), parsed, fx.PHRASE_RULES)
+    scores = search.keyword_scores(fx.corpus(spark, root), parsed, fx.PHRASE_RULES, vocab.KEYWORD_CANDIDATES)
     return search.keyword_candidates(scores).select(
         "query_id", F.col("keyword_rank").cast("long").alias("keyword_rank"), "chunk_id",
         "bm25", "heuristic", "preferred",
@@ -271,13 +275,18 @@ def chunk_vectors(spark, root):
     return table(spark, root, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-def query_vectors(spark, root, parsed):
-    """A stored vector for each query of each question, again by position only."""
-    parsed = parsed.select("query_id", F.posexplode_outer("retrieval_queries").alias("query_no", "query"))
-    stored = table(spark, root, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("probe"))
-    return parsed.join(stored, F.col("query_id") * 2 + F.col("query_no") == F.col("_v")).select(
-        "query_id", "query_no", "probe"
+def query_vectors(spark, root, parsed, number=None):
+    """A stored vector for each query of each question, again by position only: ``number`` of the question, by
+    default eight times its id, and the query's number in it, modulo the vectors."""
+    number = F.col("query_id") * 8 if number is None else number
+    vecs = table(spark, root, "embeddings")
+    parsed = parsed.select(
+        "query_id", number.alias("_n"), F.posexplode_outer("retrieval_queries").alias("query_no", "query")
     )
+    stored = vecs.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("probe"))
+    total = vecs.select(F.count(F.lit(1))).scalar()
+    placed = parsed.withColumn("_v", F.pmod(F.col("_n") + F.col("query_no"), total))
+    return placed.join(stored, "_v").select("query_id", "query_no", "probe")
 
 
 def vector_knn(spark, root):
@@ -305,7 +314,7 @@ VECTOR_SQL = """
 qv AS (
   SELECT query_id, query_no, CAST(embedding AS DOUBLE[]) AS probe
   FROM (SELECT query_id, generate_subscripts(retrieval_queries, 1) - 1 AS query_no FROM parsed)
-  JOIN embeddings ON vec_id = query_id * 2 + query_no
+  JOIN embeddings ON vec_id = (query_id * 8 + query_no) % (SELECT count(*) FROM embeddings)
 ),
 sims AS (
   SELECT query_id, query_no, vec_id AS chunk_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), probe), 6) AS sim

@@ -752,7 +752,7 @@ def context_enrich(spark, root):
     upcoming = race.next_events(events, now).select("event_id").scalar()
     past = race.previous_events(events, now).select("event_id").scalar()
     headlines = articles.recent(fx.page_articles(spark, root), 3).select(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("published_at")).alias("t"), (-F.col("id")).alias("i"), "title", "summary"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("published_at").isNull().alias("u"), (-F.unix_timestamp("published_at")).alias("t"), (-F.col("id")).alias("i"), "title", "summary"))),
                                  lambda a: F.when(a["summary"] != "", F.concat_ws(": ", a["title"], a["summary"])).otherwise(a["title"])), " / ")
     ).scalar()
     requests = fx.questions(spark, root).select(
@@ -767,7 +767,7 @@ h AS (SELECT * FROM page_articles WHERE NOT is_deleted ORDER BY published_at DES
 SELECT item_id AS query_id,
        CASE WHEN item_id % 3 = 0 THEN -item_id ELSE (SELECT event_id FROM e WHERE end_date >= TIMESTAMP '{NOW}' ORDER BY start_date, event_id LIMIT 1) END AS next_event_id,
        (SELECT event_id FROM e WHERE end_date < TIMESTAMP '{NOW}' ORDER BY end_date DESC, event_id LIMIT 1) AS previous_event_id,
-       (SELECT string_agg(CASE WHEN summary <> '' THEN title || ': ' || summary ELSE title END, ' / ' ORDER BY published_at DESC, id DESC) FROM h) AS headlines
+       (SELECT string_agg(CASE WHEN summary <> '' THEN title || ': ' || summary ELSE title END, ' / ' ORDER BY published_at DESC NULLS LAST, id DESC) FROM h) AS headlines
 FROM benchmark"""
 
 

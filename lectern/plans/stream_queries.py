@@ -12,8 +12,14 @@ from lectern.streaming import ingest, sessions
 
 
 def _stream(spark, root, name):
-    schema = table(spark, root, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    """A table as a stream, one file a micro-batch. It is a folder of files, or one file as in the small tables."""
+    source = table(spark, root, name)
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", "1")
+    files = source.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return reader.parquet(path)
 
 
 def stream_session_state(spark, root):

@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import vocab
 from lectern.operators import answers, articles, questions, race, retrieval, routing
 
 
+#: Articles that a request without a number of its own lists.
+NEWS_LISTED = 10
+
+
 @dataclass
 class Tables:
     """What the tools read; ``now`` is the time the calendar is asked at, as text."""
@@ -34,15 +38,17 @@ def _requested_articles(tables: Tables, requests: DataFrame) -> DataFrame:
 
 
 def list_recent(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Newest articles; a request takes as many of the longest allowed list as it asks for."""
-    newest = articles.recent(tables.articles, 100)
-    entry = F.struct((-F.unix_timestamp("published_at")).alias("_t"), (-F.col("id")).alias("_i"), "id", "title", "summary")
-    listed = newest.select(F.array_sort(F.collect_list(entry))).scalar()
-    limit = F.coalesce(F.col("params")["limit"].try_cast("int"), F.lit(vocab.NEWS_LIMIT))
-    asked = requests.select("query_id", limit.alias("_n"), listed.alias("_all"))
-    return asked.select("query_id", F.explode(F.slice("_all", 1, F.col("_n"))).alias("_a")).select(
-        "query_id", "_a.id", "_a.title", "_a.summary"
-    )
+    """Newest articles, undated ones last; each request takes as many as it asks for, none below one.
+
+    The articles are numbered once, up to the largest number that any request asks for.
+    """
+    limit = F.coalesce(F.col("params")["limit"].try_cast("int"), F.lit(NEWS_LISTED))
+    asked = requests.select("query_id", F.greatest(limit, F.lit(0)).alias("_n"))
+    most = asked.agg(F.max("_n")).first()[0] or 0
+    newest = articles.recent(tables.articles, most)
+    order = [F.desc_nulls_last("published_at"), F.desc("id")]
+    numbered = newest.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return asked.join(numbered, F.col("rank") <= F.col("_n")).select("query_id", "rank", "id", "title", "summary")
 
 
 def get_article(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -55,7 +61,8 @@ def get_insights(tables: Tables, requests: DataFrame) -> DataFrame:
     return judged.select(
         "query_id", "id", "category", articles.entities("_text").alias("entities"), articles.key_points().alias("key_points"),
         articles.relevance("_text", "category.key").alias("relevance"),
-    ).withColumn("summary", F.get("key_points", 0))
+        articles.summary_or_point(articles.key_points()).alias("summary"),
+    )
 
 
 def get_rules_analysis(tables: Tables, requests: DataFrame) -> DataFrame:

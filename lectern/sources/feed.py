@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import dates
@@ -34,12 +34,21 @@ def shape_items(items: DataFrame) -> DataFrame:
     )
 
 
-def latest_items(items: DataFrame, order: str, limit: int = 20) -> DataFrame:
-    """First ``limit`` items of the feed, then only the valid ones, so fewer may remain."""
-    return shape_items(items.orderBy(order).limit(limit))
+def first_items(items: DataFrame, order: str, limit: int, feed: str | None) -> DataFrame:
+    if feed is None:
+        return items.orderBy(order).limit(limit)
+    nth = F.row_number().over(Window.partitionBy(feed).orderBy(order))
+    return items.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")
 
 
-def parse_items(rows: DataFrame, order: str, limit: int = 20, column: str = "xml") -> DataFrame:
+def latest_items(items: DataFrame, order: str, limit: int = 20, feed: str | None = None) -> DataFrame:
+    """First ``limit`` items of the feed, or of each ``feed``, then only the valid ones, so fewer may remain."""
+    return shape_items(first_items(items, order, limit, feed))
+
+
+def parse_items(
+    rows: DataFrame, order: str, limit: int = 20, column: str = "xml", feed: str | None = None
+) -> DataFrame:
     """As ``latest_items`` for item elements held in a text column."""
-    first = rows.orderBy(order).limit(limit)
+    first = first_items(rows, order, limit, feed)
     return shape_items(first.select(order, F.from_xml(F.col(column), F.lit(ITEM)).alias("i")).select("i.*"))
