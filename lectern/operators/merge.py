@@ -6,10 +6,14 @@ that is being read cannot be overwritten safely.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.graph import components
 from lectern.session import cut_lineage
 
 MUTABLE = ("title", "summary", "content", "author", "published_at", "tags", "raw_payload")
@@ -60,35 +64,41 @@ def source_key(df_source: Column | str, article_id: Column | str) -> Column:
     )
 
 
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """New rows among rows sorted by group and arrival; what is kept is the keys of one group's new rows."""
+    group, taken = None, set()
+    for batch in batches:
+        new = []
+        for own, skey, url in zip(batch["group"], batch["skey"], batch["article_url"]):
+            if own != group:
+                group, taken = own, set()
+            keys = {("url", url)} | ({("key", skey)} if skey is not None else set())
+            new.append(not keys & taken)
+            if new[-1]:
+                taken |= keys
+        if any(new):
+            yield batch.loc[new, ["arrival", "skey", "article_url"]].astype({"skey": object, "article_url": object})
+
+
 def _new_articles(batch: DataFrame) -> DataFrame:
     """Keys of the batch rows that become new articles.
 
-    Rows arrive one after another and a row is new when no earlier new row has its source key or URL.
-    In a round, a row that comes first among the open rows of both its keys is new, and the open rows
-    that share a key with a new row are settled. Firsts are partial minima, so a key shared by a third
-    of the batch stays cheap. Each round is written out, which keeps the next one's plan short and
-    spares a lost executor the earlier rounds; a batch takes one round plus one per link of its longest
-    chain of shared keys.
+    Rows arrive one after another and a row is new when no earlier new row has its source key or URL. Only rows
+    that are connected by shared keys can settle each other, so the connected groups are found first, in rounds
+    that are logarithmic in the length of a chain, and each is replayed in order of arrival. Of rows with the same
+    two keys the first settles the rest.
     """
-    open_rows = cut_lineage(batch, "open-articles")
-    inserted = open_rows.limit(0)
-    while not open_rows.isEmpty():
-        by_key = open_rows.filter(F.col("skey").isNotNull()).groupBy("skey").agg(F.min("arrival").alias("_first_key"))
-        by_url = open_rows.groupBy("article_url").agg(F.min("arrival").alias("_first_url"))
-        ranked = open_rows.join(by_key, "skey", "left").join(by_url, "article_url")
-        new = cut_lineage(
-            ranked.filter(
-                (F.col("arrival") == F.col("_first_url")) & (F.col("arrival") == F.coalesce("_first_key", "arrival"))
-            ).select("arrival", "skey", "article_url"),
-            "new-articles",
-        )
-        inserted = inserted.unionByName(new)
-        taken_keys = new.filter(F.col("skey").isNotNull()).select("skey")
-        still_open = open_rows.join(taken_keys, "skey", "left_anti").join(
-            new.select("article_url"), "article_url", "left_anti"
-        )
-        open_rows = cut_lineage(still_open.select("arrival", "skey", "article_url"), "open-articles")
-    return inserted
+    first = batch.groupBy("skey", "article_url").agg(F.min("arrival").alias("arrival"))
+    ends = first.withColumn("_url", F.xxhash64(F.lit("url"), "article_url")).withColumn(
+        "_key", F.when(F.col("skey").isNotNull(), F.xxhash64(F.lit("key"), "skey"))
+    )
+    rows = cut_lineage(ends, "open-articles")
+    groups = components(rows.filter(F.col("_key").isNotNull()), "_url", "_key")
+    grouped = rows.join(groups, F.col("_url") == F.col("node"), "left").select(
+        F.coalesce("component", "_url").alias("group"), "arrival", "skey", "article_url"
+    )
+    ordered = grouped.repartition("group").sortWithinPartitions("group", "arrival")
+    return cut_lineage(ordered.mapInPandas(_replay, "arrival long, skey string, article_url string"), "new-articles")
 
 
 def upsert_articles(stored: DataFrame, incoming: DataFrame, fetched_at: Column) -> DataFrame:

@@ -157,26 +157,24 @@ def retrieve(
 def representative_chunks(chunks: DataFrame, limit: int, pattern: str = vocab.OVERVIEW_ARTICLE_PATTERN) -> DataFrame:
     """Per section: the first chunk of each article in corpus order, then the other chunks, up to ``limit``.
 
-    First chunks come from a partial minimum per article, so an article with a third of all chunks is
-    never gathered.
+    First chunks come from a partial minimum per article, cut to ``limit`` a section before they meet the corpus.
+    The others are among a section's first ``2 * limit`` chunks: either those hold enough of them, or they hold so
+    many first chunks that no other is needed.
     """
     coded = chunks.withColumn("section_code", search.chunk_section("section", "document_title")).withColumn(
         "_article", F.when(F.col("article").rlike(pattern), F.col("article"))
     )
-    first = (
-        coded.filter(F.col("_article").isNotNull())
-        .groupBy("section_code", "_article")
-        .agg(F.min("ord").alias("ord"))
-        .select("ord", F.lit(True).alias("_first"))
-    )
-    # Only the first ``limit`` rows of each kind can be chosen, so each list is cut before they meet.
-    heads = search.ranked(
-        coded.join(first, "ord", "left_semi").withColumn("_kind", F.lit(0)), "section_code", [F.asc("ord")], limit
-    )
-    others = search.ranked(
-        coded.join(first, "ord", "left_anti").withColumn("_kind", F.lit(1)), "section_code", [F.asc("ord")], limit
+    first = coded.filter(F.col("_article").isNotNull()).groupBy("section_code", "_article").agg(F.min("ord").alias("ord"))
+    heads = coded.join(
+        search.ranked(first, "section_code", [F.asc("ord")], limit).select("ord"), "ord", "left_semi"
+    ).withColumn("_kind", F.lit(0))
+    prefix = search.ranked(coded, "section_code", [F.asc("ord")], 2 * limit)
+    of_article = Window.partitionBy("section_code", "_article").orderBy("ord")
+    others = prefix.withColumn("_nth", F.row_number().over(of_article)).filter(
+        F.col("_article").isNull() | (F.col("_nth") > 1)
     )
     spare = search.ranked(
-        heads.drop("rank").unionByName(others.drop("rank")), "section_code", [F.asc("_kind"), F.asc("ord")], limit
-    )
+        heads.unionByName(others.drop("rank", "_nth").withColumn("_kind", F.lit(1))),
+        "section_code", [F.asc("_kind"), F.asc("ord")], limit,
+    )
     return spare.withColumn("score", F.lit(1.0)).drop("_article", "_kind")

@@ -8,6 +8,7 @@ chunk contains in one pass over its text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,9 +27,22 @@ KEYWORD_BLOCK = 50_000
 
 
 def token_postings(corpus: DataFrame) -> DataFrame:
-    """Inverted index: term frequency of every ASCII token in every chunk."""
-    exploded = elements(corpus, ["chunk_id"], tx.tokens("content"), "token")
-    return exploded.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """Inverted index: term frequency of every ASCII token in every chunk, counted where the chunk lies."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (chunk, token, tf)
+                for chunk, tokens in zip(batch["chunk_id"], batch["tokens"])
+                if tokens is not None
+                for token, tf in Counter(tokens).items()
+            ]
+            if rows:
+                yield pd.DataFrame(rows, columns=["chunk_id", "token", "tf"])
+
+    kind = dict(corpus.dtypes)["chunk_id"]
+    tokens = corpus.select("chunk_id", tx.tokens("content").alias("tokens"))
+    return tokens.mapInPandas(count, f"chunk_id {kind}, token string, tf long")
 
 
 def elements(df: DataFrame, keys: list[str], array: Column | str, name: str) -> DataFrame:

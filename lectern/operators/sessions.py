@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lectern import vocab
 from lectern.functions import text as tx
-from lectern.operators.search import elements, ranked
+from lectern.operators.search import blocks_of, ranked
+from lectern.session import cut_lineage
 
+# Queries that go to the tasks at once.
+QUERY_BLOCK = 4_096
 # Turns simulated by one task of the history fold.
 TURN_BLOCK = 1_024
 
@@ -167,33 +170,83 @@ def memory_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[tx.col(p).cast("string") for p in parts]), 256)
 
 
+def _rank_memories(rows: list[Row], limit: int):
+    """Score a partition's memories for a block of queries; ``limit`` rows a query leave it."""
+    owners: dict = {}
+    for number, row in enumerate(rows):
+        asked = owners.setdefault(row["owner_id"], ([], {}))
+        for term in row["terms"] or []:
+            asked[1].setdefault(term, []).append(len(asked[0]))
+        asked[0].append(number)
+    queries = {
+        owner: (np.array(numbers), {term: np.array(at) for term, at in terms.items()})
+        for owner, (numbers, terms) in owners.items()
+    }
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.iloc[np.lexsort((found["memory_id"], -found["at"], -found["score"], found["query"]))]
+        return found[found.groupby("query", sort=False).cumcount().to_numpy() < limit]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor = np.full(len(rows), -np.inf)
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            for memory in batch.itertuples(index=False):
+                if memory.owner_id not in queries:
+                    continue
+                numbers, terms = queries[memory.owner_id]
+                shared = [terms[t] for t in memory.terms if t in terms] if memory.terms is not None else []
+                overlap = np.bincount(np.concatenate(shared), minlength=len(numbers)) if shared else np.zeros(len(numbers))
+                score = overlap + memory.confidence
+                at = np.flatnonzero(score >= floor[numbers])
+                if len(at):
+                    fixed = {"memory_id": memory.memory_id, "at": memory.at}
+                    held.append(pd.DataFrame({"query": numbers[at], "score": score[at], **fixed}))
+                    size += len(at)
+            if size > 8 * limit * len(rows):
+                kept = best(pd.concat(held))
+                held, size = [kept], len(kept)
+                worst = kept.groupby("query")["score"].agg(["min", "size"])
+                full = worst[worst["size"] == limit]
+                floor[full.index] = full["min"]
+        if held:
+            kept = best(pd.concat(held))
+            ids = {name: kept[name].astype(object) for name in ("memory_id",)}
+            yield pd.DataFrame({"query_id": pd.Series([rows[q]["query_id"] for q in kept["query"]], dtype=object,
+                                                      index=kept.index), **ids, "score": kept["score"]})
+
+    return scan
+
+
 def top_memories(memories: DataFrame, queries: DataFrame, limit: int = vocab.MEMORY_TOP_K) -> DataFrame:
     """Best memories of the owner for each ``(query_id, owner_id, message)``.
 
-    The score is shared terms plus confidence, newer first among equals; a memory without shared terms
-    still counts. Memories that share a term come from a join on terms. Of the others only an owner's
-    ``limit`` best by confidence and time can be chosen: as many memories score at least as much as any
-    further one. So no query meets all memories of its owner.
+    The score is shared terms plus confidence, newer first among equals; a memory without shared terms still counts.
+    Memories stay where they lie: a block of queries, of a bounded size, goes to all tasks, and each hands on
+    ``limit`` memories a query. So a term or an owner that a third of the memories have meets in no task.
     """
-    known = memories.select("memory_id", "owner_id", "confidence", "updated_at", "content")
-    asked = elements(
-        queries.select("query_id", "owner_id", tx.memory_terms("message").alias("_t")), ["query_id", "owner_id"],
-        F.array_distinct("_t"), "term",
-    )
-    held = elements(
-        known.select("memory_id", "owner_id", tx.memory_terms("content").alias("_t")), ["memory_id", "owner_id"],
-        F.array_distinct("_t"), "term",
-    )
-    overlaps = (
-        asked.join(held, ["owner_id", "term"]).groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("overlap"))
-    )
-    best = ranked(known, "owner_id", [F.desc("confidence"), F.desc("updated_at"), F.asc("memory_id")], limit)
-    fallback = queries.select("query_id", "owner_id").join(best.select("owner_id", "memory_id"), "owner_id").select(
-        "query_id", "memory_id", F.lit(0).cast("long").alias("overlap")
+    asked = queries.select("query_id", "owner_id", F.array_distinct(tx.memory_terms("message")).alias("terms"))
+    asked = cut_lineage(asked, "memory-queries")
+    when = F.col("updated_at")
+    kind = dict(memories.dtypes)["updated_at"]
+    at = F.unix_micros(when.cast("timestamp")) if kind.startswith("timestamp") else when
+    known = memories.select(
+        "memory_id", "owner_id", "confidence", at.cast("long").alias("at"),
+        F.array_distinct(tx.memory_terms("content")).alias("terms"),
+    )
+    kinds = {name: dict(df.dtypes)[name] for df, name in ((queries, "query_id"), (memories, "memory_id"))}
+    schema = f"query_id {kinds['query_id']}, memory_id {kinds['memory_id']}, score double"
+    found = None
+    for rows in blocks_of(asked, "query_id", QUERY_BLOCK):
+        part = known.mapInPandas(_rank_memories(rows, limit), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = memories.sparkSession.createDataFrame([], schema)
+    columns = memories.select("memory_id", "owner_id", "confidence", "updated_at", "content")
+    return ranked(
+        found.join(columns, "memory_id"), "query_id", [F.desc("score"), F.desc("updated_at"), F.asc("memory_id")], limit
     )
-    pairs = overlaps.unionByName(fallback).groupBy("query_id", "memory_id").agg(F.max("overlap").alias("overlap"))
-    scored = pairs.join(known, "memory_id").withColumn("score", F.col("overlap") + F.col("confidence"))
-    return ranked(scored, "query_id", [F.desc("score"), F.desc("updated_at"), F.asc("memory_id")], limit)
 
 
 def render_context(

@@ -268,3 +268,58 @@ def test_fetch_failures_stay_in_their_row(spark):
     addresses = spark.createDataFrame([("a",), ("b",)], "url string")
     bodies = fetched.fetch_column(addresses, "url", lambda a: {"a": "<p>x</p>"}[a]).orderBy("url").collect()
     assert [r.body for r in bodies] == ["<p>x</p>", None]
+
+
+def test_a_chain_of_articles_settles_in_few_rounds(spark):
+    """Each row shares its id with the one before and its URL with the one after."""
+    stored = spark.createDataFrame([], ARTICLE)
+    links = 300
+    incoming = spark.createDataFrame(
+        [(n, "s", f"a{(n + 1) // 2}", f"u{n // 2}", f"title {n}", None, None, None, None, [], None) for n in range(1, links)],
+        "arrival long, source_name string, source_article_id string, article_url string, title string, summary string, "
+        "content string, author string, published_at timestamp, tags array<string>, raw_payload string",
+    )
+    seen, new = set(), []
+    for n in range(1, links):
+        keys = {("a", (n + 1) // 2), ("u", n // 2)}
+        if not keys & seen:
+            seen |= keys
+            new.append(f"u{n // 2}")
+    result = merge.upsert_articles(stored, incoming, F.timestamp_seconds(F.lit(0))).collect()
+    assert sorted(r.article_url for r in result) == sorted(new)
+
+
+def test_vectors_without_direction_are_near_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.9, 0.1]), (4, None), (5, [-1.0, 0.0])]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, probe array<float>")
+    found = vectors.nearest_many(vecs, probes, 3).orderBy("query_id", "vector_rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(1, 1), (1, 3), (1, 5)]
+    one = vectors.nearest(vecs, F.array(F.lit(1.0), F.lit(0.0)), 2).collect()
+    assert [r.vec_id for r in one] == [1, 3]
+    assert vectors.nearest(vecs, F.array(F.lit(0.0), F.lit(0.0)), 2).count() == 0
+
+
+def test_a_common_keyword_and_a_limit(spark):
+    """One keyword in every chunk and every question; short and spaced keywords count too."""
+    corpus = spark.createDataFrame(
+        [(i, i, f"Rules Section {'ABC'[i % 3]}", None, None, f"common word{i % 7} rb safety car") for i in range(90)],
+        CHUNK_SCHEMA,
+    )
+    asked = spark.createDataFrame(
+        [(q, ["common", f"word{q % 7}"] + (["rb", "safety car"] if q == 0 else []), [], []) for q in range(20)],
+        "query_id long, keywords array<string>, phrases array<string>, sections array<string>",
+    )
+    everything = search.keyword_scores(corpus, asked)
+    assert everything.count() == 20 * 90
+    assert {r.keyword_hits for r in everything.filter("query_id = 0").collect()} == {3, 4}
+    order = ["query_id", "keyword_rank", "chunk_id", "score"]
+    full = search.keyword_candidates(everything, 5).select(order).orderBy(order).collect()
+    cut = search.keyword_candidates(search.keyword_scores(corpus, asked, limit=5), 5).select(order).orderBy(order).collect()
+    assert cut == full
+
+
+def test_bad_numbers_spoil_one_value_only(spark):
+    race_json = '{"MRData":{"RaceTable":{"Races":[{"season":"2026","round":"%s","raceName":"R"}]}}}'
+    docs = spark.createDataFrame([(1, race_json % "x"), (2, race_json % "7")], "id long, body string")
+    assert [r.round_number for r in race.parse_calendar(docs, "body", ["id"]).orderBy("id").collect()] == [None, 7]

@@ -37,6 +37,20 @@ def test_news(spark, tables):
     assert [t.topic_key for t in rules.topics] == ["red_flag", "stewards_penalty"] and len(rules.questions) == 4
 
 
+def test_recent_articles_and_insight_summary(spark):
+    from datetime import datetime
+
+    dated = [(n, "s", str(n), f"t{n}", None, "First. Second.", f"u{n}", None, datetime(2026, 1, n), [], None, None, False) for n in range(1, 9)]
+    undated = [(20, "s", "x", "undated", "the summary", "First. Second.", "u20", None, None, [], None, None, False)]
+    many = tools.Tables(articles=spark.createDataFrame(dated + undated, ARTICLE))
+    listed = sorted(ask(spark, many, "news_tool", "list_recent", "", limit="120"), key=lambda r: r.rank)
+    assert [r.id for r in listed] == [8, 7, 6, 5, 4, 3, 2, 1, 20]
+    assert ask(spark, many, "news_tool", "list_recent", "", limit="-3") == []
+    assert len(ask(spark, many, "news_tool", "list_recent", "")) == 9
+    assert ask(spark, many, "news_tool", "get_insights", "", article_id="20")[0].summary == "the summary"
+    assert ask(spark, many, "news_tool", "get_insights", "", article_id="3")[0].summary == "First."
+
+
 def test_race(spark, tables):
     assert ask(spark, tables, "race_tool", "get_next_race", "")[0].grand_prix_name == "Belgian Grand Prix"
     assert ask(spark, tables, "race_tool", "get_previous_race", "")[0].grand_prix_name == "British Grand Prix"
