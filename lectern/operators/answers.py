@@ -26,6 +26,8 @@ PARTIAL = (
 FRAGMENT = "[片段 %d]\n文档: %s\n条款: %s\n页码: %s\n检索分数: %s\n内容:\n%s"
 NO_SECTION = "当前索引中没有 %s，所以不能基于现有资料概括这一部分。"
 SECTION_ANSWER = "%s 的定位：%s 索引中可见的代表性主题包括：%s。引用：%s，%s，%s。"
+NO_DOCUMENT = "当前索引中没有可用于概括 2026 FIA F1 Regulations 的 section 数据。"
+DOCUMENT_ANSWER = "2026 FIA F1 Regulations 当前索引大致分为 Section A-F：%s 引用：%s，%s。"
 NO_SUMMARY = "当前索引中有该 Section，但缺少预置摘要。"
 NO_TOPICS = "可从索引中的代表性条款继续追问具体规则。"
 DRIVER_LINE = "%d. %s | %s | %d分"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import vocab
 from lectern.functions import dates
 from lectern.functions import text as tx
-from lectern.operators import answers, articles, evaluation, race, routing, search, sessions, vectors
+from lectern.operators import answers, articles, evaluation, race, routing, rules, search, sessions, vectors
 from lectern.plans import fixtures as fx
 from lectern.plans import search_queries as sq
 from lectern.plans.text_queries import WS
@@ -587,6 +587,72 @@ SELECT query_id, evidence_count,
 FROM q"""
 
 
+def rule_answers(spark, root):
+    """Answers of all kinds of questions; a third ask about the whole document, an eighth is beside the subject."""
+    asked = fx.questions(spark, root)
+    kind = routing.query_type("question", ["erth", "thon"], ["eroun"], ["ther"], ["thwh", "ndthre"], ["fia"])
+    judged = rules.judge(asked, kind, F.contains("question", F.lit("ouer")) | (F.col("query_id") % 8 == 7))
+    found = rules.ask(judged, sq.stages(spark, root)["retrieved"], fx.corpus(spark, root))
+    cited = F.transform("citations", lambda c: F.concat_ws("|", c["document_title"], c["article"], c["section"], c["page"], F.md5(c["content"])))
+    return found.withColumn("citations", F.array_join(cited, ";"))
+
+
+RULE_ANSWERS_SQL = rf"""
+WITH {sq.RERANKED_SQL},
+typed AS (
+  SELECT t.query_id, question, query_type, t.section AS asked_section, contains(question, 'ouer') OR query_id % 8 = 7 AS unrelated
+  FROM ({QUERY_TYPE_SQL}) t JOIN questions USING (query_id)
+),
+six AS (SELECT o.*, c.document_title, c.page, c.content FROM ({sq._overview_sql(6)}) o JOIN corpus c USING (chunk_id)),
+evidence AS (
+  SELECT query_id, rank, document_title, article, section_code AS section, page, content, true AS strong
+  FROM typed JOIN six ON asked_section = section_code WHERE query_type = 'section_overview' AND NOT unrelated
+  UNION ALL
+  SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY section_code), document_title, article, section_code, page, content, true
+  FROM typed, six WHERE rank = 1 AND query_type = 'document_overview' AND NOT unrelated
+  UNION ALL
+  SELECT query_id, rank, document_title, article, section_or_title, page, content, strong
+  FROM typed JOIN reranked USING (query_id) WHERE query_type = 'fact_lookup' AND NOT unrelated
+),
+heads AS (
+  SELECT query_id, string_agg(article, '；' ORDER BY first_rank) AS topics FROM (
+    SELECT query_id, article, first_rank, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS k
+    FROM (SELECT query_id, article, min(rank) AS first_rank FROM evidence WHERE article <> '' GROUP BY 1, 2)
+  ) WHERE k <= 5 GROUP BY 1
+),
+per AS (
+  SELECT query_id, count(*) AS n, bool_or(strong) AS strong, arg_min(document_title, rank) AS title,
+         list(article ORDER BY rank)[1] AS article, arg_min(page, rank) AS page,
+         string_agg(concat_ws('|', document_title, article, section, page, md5(content)), ';' ORDER BY rank) AS citations,
+         list(section) AS sections
+  FROM evidence GROUP BY 1
+),
+sums AS (SELECT unnest({fx.sql_list(list(vocab.SECTION_SUMMARIES))}) AS section, unnest({fx.sql_list(list(vocab.SECTION_SUMMARIES.values()))}) AS summary),
+lines AS (
+  SELECT query_id, string_agg(s.section || ': ' || summary, ' ' ORDER BY s.section) AS shown
+  FROM (SELECT DISTINCT query_id, section FROM evidence) e JOIN sums s USING (section) GROUP BY 1
+),
+j AS (SELECT *, coalesce(n, 0) AS evidence_count, coalesce(strong, false) AS sure, coalesce(nullif(article, ''), '未识别具体条款') AS art,
+             coalesce(nullif(article, ''), 'section metadata') AS meta
+      FROM typed LEFT JOIN per USING (query_id) LEFT JOIN heads USING (query_id) LEFT JOIN lines USING (query_id)
+           LEFT JOIN sums s ON s.section = asked_section)
+SELECT query_id, query_type, evidence_count,
+       CASE WHEN evidence_count = 0 THEN 'insufficient_evidence' WHEN query_type <> 'fact_lookup' OR sure THEN 'answered' ELSE 'partial_evidence' END AS answer_status,
+       CASE WHEN evidence_count > 0 AND (query_type <> 'fact_lookup' OR sure) THEN 'medium' ELSE 'low' END AS confidence,
+       CASE WHEN query_type <> 'fact_lookup' THEN 'regulation_overview' ELSE 'regulation_rag' END AS source_mode,
+       CASE WHEN query_type = 'section_overview' AND evidence_count = 0 THEN '当前索引中没有 ' || asked_section || '，所以不能基于现有资料概括这一部分。'
+            WHEN query_type = 'section_overview' THEN asked_section || ' 的定位：' || summary || ' 索引中可见的代表性主题包括：'
+              || coalesce(topics, '可从索引中的代表性条款继续追问具体规则。') || '。引用：' || title || '，' || meta || '，p.' || page || '。'
+            WHEN query_type = 'document_overview' AND evidence_count = 0 THEN '当前索引中没有可用于概括 2026 FIA F1 Regulations 的 section 数据。'
+            WHEN query_type = 'document_overview' THEN '2026 FIA F1 Regulations 当前索引大致分为 Section A-F：' || shown || ' 引用：' || title || '，' || meta || '。'
+            WHEN evidence_count = 0 THEN '未检索到与问题“' || question || '”相关的 FIA 规则证据。为了避免编造规则，我不能基于当前资料给出确定答案。'
+            WHEN sure THEN '根据当前检索结果，最相关的依据来自《' || title || '》的 ' || art || '（第 ' || page || ' 页）。'
+            ELSE '我在当前 FIA 规则索引中找到了可能相关的章节，但证据还不够精确，不能直接下确定结论。 最接近的依据来自 ' || title || '，' || art || '，p.' || page
+                 || '。 建议把问题再具体到场景、处罚类型或涉及的赛段，我可以继续收窄到更明确的条款。' END AS answer,
+       coalesce(citations, '') AS citations
+FROM j"""
+
+
 def json_recover(spark, root):
     """Event properties inside chatty replies, some of them broken or no object."""
     reply = F.expr(
@@ -824,6 +890,7 @@ QUERIES = {
     "guard_flags": guard_flags,
     "query_type": query_type,
     "answer_status": answer_status,
+    "rule_answers": rule_answers,
     "json_recover": json_recover,
     "article_id_parse": article_id_parse,
     "plan_validate": plan_validate,
@@ -860,6 +927,7 @@ ORACLES = {
     "guard_flags": GUARD_SQL,
     "query_type": QUERY_TYPE_SQL,
     "answer_status": ANSWER_STATUS_SQL,
+    "rule_answers": RULE_ANSWERS_SQL,
     "json_recover": JSON_RECOVER_SQL,
     "article_id_parse": ARTICLE_ID_SQL,
     "plan_validate": PLAN_VALIDATE_SQL,
