@@ -184,7 +184,7 @@ def _rank_memories(rows: list[Row], limit: int):
     }
 
     def best(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.iloc[np.lexsort((found["memory_id"], -found["at"], -found["score"], found["query"]))]
+        found = found.sort_values(["query", "score", "at", "memory_id"], ascending=[True, False, False, True])
         return found[found.groupby("query", sort=False).cumcount().to_numpy() < limit]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +212,8 @@ def _rank_memories(rows: list[Row], limit: int):
                 floor[full.index] = full["min"]
         if held:
             kept = best(pd.concat(held))
-            ids = {name: kept[name].astype(object) for name in ("memory_id",)}
-            yield pd.DataFrame({"query_id": pd.Series([rows[q]["query_id"] for q in kept["query"]], dtype=object,
-                                                      index=kept.index), **ids, "score": kept["score"]})
+            named = kept.assign(query_id=[rows[q]["query_id"] for q in kept["query"]])
+            yield named[["query_id", "memory_id", "score"]].astype({"query_id": object, "memory_id": object})
 
     return scan
 

@@ -390,7 +390,7 @@ def _memories(spark, root):
     pairs = turns.filter(F.col("role") == "user").join(replies, ["session_id", "ord"], "left")
     memory = sessions.extract_memory("message", F.when(F.col("session_id") % 3 != 0, F.col("reply")), fx.PREFERENCE_MARKERS, fx.INTEREST_MARKERS)
     return pairs.select("session_id", "ord", memory.alias("m")).filter(F.col("m").isNotNull()).select(
-        (F.col("session_id") * 100 + F.col("ord")).alias("memory_id"), (F.col("session_id") % 7).alias("owner_id"), "m.*",
+        sessions.memory_id("session_id", "ord").alias("memory_id"), (F.col("session_id") % 7).alias("owner_id"), "m.*",
         F.col("ord").alias("updated_at"),
     )
 
@@ -400,7 +400,7 @@ def memory_extract(spark, root):
 
 
 MEMORY_SQL = rf"""memories AS (
-  SELECT conv_id * 100 + turn AS memory_id, conv_id % 7 AS owner_id,
+  SELECT sha256(conv_id || chr(31) || turn) AS memory_id, conv_id % 7 AS owner_id,
          CASE WHEN length(c) > 240 THEN rtrim(left(c, 237)) || '...' ELSE c END AS content,
          CASE WHEN {fx.sql_any('lower(c0)', fx.INTEREST_MARKERS)} THEN 'topic_interest' ELSE 'preference' END AS memory_type,
          CASE WHEN reply IS NOT NULL AND reply <> '' AND conv_id % 3 <> 0 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence, turn AS updated_at
@@ -856,14 +856,14 @@ FROM embeddings"""
 def evidence_context(spark, root):
     """Evidence text per question."""
     built = answers.evidence_context(sq.stages(spark, root)["retrieved"])
-    return built.select("query_id", "evidence_count", F.length("context").cast("long").alias("chars"))
+    return built.select("query_id", "evidence_count", F.md5("context").alias("context_md5"))
 
 
 EVIDENCE_SQL = f"""
 WITH {sq.RERANKED_SQL}
 SELECT query_id, count(*) AS evidence_count,
-       CAST(sum(length('[片段 ' || rank || ']' || chr(10) || '文档: ' || document_title || chr(10) || '条款: ' || coalesce(article, '未识别条款') || chr(10)
-         || '页码: 第 ' || page || ' 页' || chr(10) || '检索分数: ' || printf('%.2f', final) || chr(10) || '内容:' || chr(10) || content)) + 2 * (count(*) - 1) AS BIGINT) AS chars
+       md5(string_agg('[片段 ' || rank || ']' || chr(10) || '文档: ' || document_title || chr(10) || '条款: ' || coalesce(article, '未识别条款') || chr(10)
+         || '页码: 第 ' || page || ' 页' || chr(10) || '检索分数: ' || printf('%.2f', final) || chr(10) || '内容:' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS context_md5
 FROM reranked GROUP BY 1"""
 
 QUERIES = {
