@@ -187,9 +187,13 @@ def sql_any(column: str, keys) -> str:
 
 def page_articles(spark: SparkSession, root: str) -> DataFrame:
     """Web pages as stored articles."""
+    return as_articles(spread(table(spark, root, "pages"), "page_id"))
+
+
+def as_articles(pages: DataFrame) -> DataFrame:
     page = F.col("page_id")
     tail = F.regexp_extract("url", "([^/]+)/*$", 1)
-    return spread(table(spark, root, "pages"), "page_id").select(
+    return pages.select(
         (page + 1).alias("id"),
         F.concat(F.lit("site"), (page % 4).cast("string")).alias("source_name"),
         F.concat_ws("-", tail, page.cast("string")).alias("source_article_id"),

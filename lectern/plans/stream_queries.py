@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lectern.plans import fixtures as fx
 from lectern.plans import state_queries as st
 from lectern.sources.tables import table
 from lectern.streaming import ingest, sessions
@@ -50,5 +51,35 @@ def stream_dedup_merge(spark, root):
 STREAM_DEDUP_SQL = """
 SELECT user_id, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"""
 
-QUERIES = {"stream_session_state": stream_session_state, "stream_dedup_merge": stream_dedup_merge}
-ORACLES = {"stream_session_state": st.COMPACT_SQL, "stream_dedup_merge": STREAM_DEDUP_SQL}
+def stream_article_merge(spark, root):
+    """Pages arriving as articles, merged batch by batch into a table that holds a third of them already."""
+    folder = ingest.new_folder(spark, "merged-articles")
+    stored = fx.page_articles(spark, root).filter("id % 3 = 0").withColumn("title", F.concat(F.lit("old "), "title"))
+    stored.write.parquet(ingest.versions(folder)(0))
+    arriving = fx.as_articles(_stream(spark, root, "pages")).withColumn("arrival", F.col("id"))
+    merger = ingest.article_merger(folder, lambda: F.timestamp_seconds(F.lit(1717200000)))
+    ingest.run_available(arriving, merger, "append", os.path.join(folder, "_progress"))
+    versions = spark.read.parquet(folder)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).select(
+        "source_name", "source_article_id", "article_url", "title", "content", "is_deleted",
+        F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"),
+    )
+
+
+STREAM_ARTICLES_SQL = f"""
+WITH {fx.PAGE_ARTICLES_SQL}
+SELECT source_name, source_article_id, article_url, title, content, false AS is_deleted,
+       CASE WHEN id % 3 = 0 THEN '2024-01-01 00:00:00' ELSE '2024-06-01 00:00:00' END AS fetched_at
+FROM page_articles"""
+
+QUERIES = {
+    "stream_session_state": stream_session_state,
+    "stream_dedup_merge": stream_dedup_merge,
+    "stream_article_merge": stream_article_merge,
+}
+ORACLES = {
+    "stream_session_state": st.COMPACT_SQL,
+    "stream_dedup_merge": STREAM_DEDUP_SQL,
+    "stream_article_merge": STREAM_ARTICLES_SQL,
+}
