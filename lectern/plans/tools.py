@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import vocab
-from lectern.operators import answers, articles, questions, race, retrieval, routing
+from lectern.operators import answers, articles, questions, race, retrieval, routing, rules
+from lectern.session import cut_lineage
 
 
+# Error texts.
+NO_ARTICLE = "News article not found."
+NO_QUESTION = "Question is required."
 #: Articles that a request without a number of its own lists.
 NEWS_LISTED = 10
 
@@ -33,8 +37,10 @@ class Tables:
 
 
 def _requested_articles(tables: Tables, requests: DataFrame) -> DataFrame:
+    """The article of every request; one that asks for no stored article has an ``error`` and nothing else."""
     wanted = requests.select("query_id", F.col("params")["article_id"].try_cast("long").alias("id"))
-    return wanted.join(articles.active(tables.articles), "id")
+    found = wanted.join(articles.active(tables.articles).withColumn("_found", F.lit(True)), "id", "left")
+    return found.withColumn("error", F.when(F.col("_found").isNull(), F.lit(NO_ARTICLE))).drop("_found")
 
 
 def list_recent(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -57,17 +63,43 @@ def get_article(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def get_insights(tables: Tables, requests: DataFrame) -> DataFrame:
     rows = _requested_articles(tables, requests).withColumn("_text", articles.corpus_text())
-    judged = rows.withColumn("category", articles.category("_text"))
-    return judged.select(
+    judged = rows.filter("error is null").withColumn("category", articles.category("_text"))
+    missing = rows.filter("error is not null").select("query_id", "id", "error")
+    insight = judged.select(
         "query_id", "id", "category", articles.entities("_text").alias("entities"), articles.key_points().alias("key_points"),
         articles.relevance("_text", "category.key").alias("relevance"),
         articles.summary_or_point(articles.key_points()).alias("summary"),
     )
+    return insight.unionByName(missing, allowMissingColumns=True)
 
 
 def get_rules_analysis(tables: Tables, requests: DataFrame) -> DataFrame:
-    rows = _requested_articles(tables, requests).withColumn("topics", articles.topics(articles.corpus_text()))
-    return rows.select("query_id", "id", "title", "topics", articles.suggested_questions(F.col("topics")).alias("questions"))
+    """Topics, questions, the chunks behind the first questions and a summary of them, for every article."""
+    rows = _requested_articles(tables, requests)
+    found = rows.filter("error is null").withColumn("topics", articles.topics(articles.corpus_text()))
+    asked = cut_lineage(
+        found.select("query_id", "id", "title", "topics", articles.suggested_questions(F.col("topics")).alias("questions")),
+        "article-questions",
+    )
+    distinct = asked.select(F.explode("questions").alias("question")).distinct()
+    parsed = cut_lineage(
+        questions.parse_questions(distinct.select(F.col("question").alias("query_id"), "question")), "questions"
+    )
+    retrieved = retrieval.retrieve(parsed, tables.chunks, None, None)["retrieved"]
+    linked = articles.linked_chunks(
+        asked.select(F.col("query_id").alias("article_id"), "questions"),
+        retrieved.select(F.col("query_id").alias("question"), "chunk_id", "rank"),
+    )
+    listed = linked.groupBy(F.col("article_id").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda c: c["chunk_id"]).alias("chunks")
+    )
+    whole = asked.join(listed, "query_id", "left").withColumn(
+        "chunks", F.coalesce("chunks", F.array().cast(f"array<{dict(tables.chunks.dtypes)['chunk_id']}>"))
+    )
+    titles = F.transform("topics", lambda t: t["title"])
+    analysis = whole.withColumn("summary", answers.topic_summary(titles, "title", F.size("chunks")))
+    missing = rows.filter("error is not null").select("query_id", "id", "error")
+    return analysis.unionByName(missing, allowMissingColumns=True)
 
 
 def list_schedule(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -113,9 +145,37 @@ def _standings(kind: str) -> Callable[[Tables, DataFrame], DataFrame]:
 
 
 def ask(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Evidence rows of each question; an unrelated question has none."""
-    asked = requests.filter(~routing.is_unrelated("message")).select("query_id", F.col("message").alias("question"))
-    return retrieval.retrieve(questions.parse_questions(asked), tables.chunks, None, None)["retrieved"]
+    """One answer a question, with status, confidence and citations; a blank question is an error."""
+    chunks = tables.chunks if "page" in tables.chunks.columns else tables.chunks.withColumn("page", F.lit(None).cast("long"))
+    asked = _questions(requests)
+    judged = rules.judge(asked, routing.query_type("question"), routing.is_unrelated("question"))
+    parsed = cut_lineage(questions.parse_questions(asked), "questions")
+    retrieved = retrieval.retrieve(parsed, chunks, None, None)["retrieved"]
+    blank = requests.filter(_is_blank()).select("query_id", F.lit(NO_QUESTION).alias("error"))
+    return rules.ask(judged, retrieved, chunks).unionByName(blank, allowMissingColumns=True)
+
+
+def debug_retrieval(tables: Tables, requests: DataFrame) -> DataFrame:
+    """What every stage of the retrieval holds: ``query_id, stage, rank, chunk_id``."""
+    parsed = cut_lineage(questions.parse_questions(_questions(requests)), "questions")
+    stages = retrieval.retrieve(parsed, tables.chunks, None, None)
+    ranks = {"vector": "vector_rank", "keyword": "keyword_rank", "fused": "hybrid_rank", "hybrid": "hybrid_rank", "retrieved": "rank"}
+    parts = [
+        stages[name].select("query_id", F.lit(name).alias("stage"), F.col(rank).cast("long").alias("rank"), "chunk_id")
+        for name, rank in ranks.items()
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _is_blank() -> Column:
+    return F.coalesce(F.trim("message"), F.lit("")) == ""
+
+
+def _questions(requests: DataFrame) -> DataFrame:
+    return requests.filter(~_is_blank()).select("query_id", F.col("message").alias("question"))
 
 
 def analyze(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -142,6 +202,7 @@ TOOLS: dict[tuple[str, str], Callable[[Tables, DataFrame], DataFrame]] = {
     ("race_tool", "get_driver_standings"): _standings("driver"),
     ("race_tool", "get_constructor_standings"): _standings("constructor"),
     ("regulation_tool", "ask"): ask,
+    ("regulation_tool", "debug_retrieval"): debug_retrieval,
     ("strategy_tool", "analyze"): analyze,
     ("general_tool", "answer"): answer,
 }

@@ -35,6 +35,11 @@ def test_news(spark, tables):
     assert [(e.entity_type, e.name) for e in insight.entities] == [("driver", "Max Verstappen"), ("circuit", "Monza")]
     rules = ask(spark, tables, "news_tool", "get_rules_analysis", "", article_id="1")[0]
     assert [t.topic_key for t in rules.topics] == ["red_flag", "stewards_penalty"] and len(rules.questions) == 4
+    assert rules.chunks and rules.summary.startswith("这条新闻主要关联") and f"召回 {len(rules.chunks)} 个" in rules.summary
+    plain = ask(spark, tables, "news_tool", "get_rules_analysis", "", article_id="2")[0]
+    assert plain.topics == [] and plain.summary.startswith("这条新闻未命中")
+    for action in ("get_article", "get_insights", "get_rules_analysis"):
+        assert ask(spark, tables, "news_tool", action, "", article_id="99")[0].error == "News article not found."
 
 
 def test_recent_articles_and_insight_summary(spark):
@@ -69,8 +74,22 @@ def test_race(spark, tables):
 
 
 def test_rules_strategy_and_general(spark, tables):
-    assert [r.chunk_id for r in ask(spark, tables, "regulation_tool", "ask", "unsafe release in the pit lane")][:1] == [2]
-    assert ask(spark, tables, "regulation_tool", "ask", "unsafe release of a ufo") == []
+    found = ask(spark, tables, "regulation_tool", "ask", "unsafe release in the pit lane")[0]
+    assert found.citations[0].content.startswith("An unsafe release") and found.answer_status == "answered"
+    assert found.answer == "根据当前检索结果，最相关的依据来自《Rules Section B》的 B2（页码未知）。"
+    off = ask(spark, tables, "regulation_tool", "ask", "unsafe release of a ufo")[0]
+    assert (off.evidence_count, off.answer_status, off.citations) == (0, "insufficient_evidence", [])
+    section = ask(spark, tables, "regulation_tool", "ask", "What does Section B cover?")[0]
+    assert section.query_type == "section_overview" and "B2；B3" in section.answer
+    none = ask(spark, tables, "regulation_tool", "ask", "overview of section E")[0]
+    assert none.answer == "当前索引中没有 Section E，所以不能基于现有资料概括这一部分。"
+    whole = ask(spark, tables, "regulation_tool", "ask", "FIA regulation overview")[0]
+    assert whole.query_type == "document_overview" and whole.evidence_count == 3
+    assert whole.answer.startswith("2026 FIA F1 Regulations 当前索引大致分为 Section A-F：Section A: General")
+    assert ask(spark, tables, "regulation_tool", "ask", " ")[0].error == "Question is required."
+    stages = ask(spark, tables, "regulation_tool", "debug_retrieval", "unsafe release in the pit lane")
+    assert {r.stage for r in stages} == {"keyword", "fused", "hybrid", "retrieved"}
+    assert min((r.rank, r.chunk_id) for r in stages if r.stage == "retrieved") == (1, 2)
     strategy = ask(spark, tables, "strategy_tool", "analyze", "box now?", race_items="2")[0]
     assert strategy.facts == ["Received 2 race context items."] and strategy.confidence == "low"
     assert ask(spark, tables, "general_tool", "answer", "latest news")[0].answer.startswith("这个问题")
