@@ -1,13 +1,14 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the timed runs (the
-best counts). Each query is written to the ``noop`` sink, so every output row is computed.
+median counts). Each query is written to the ``noop`` sink, so every output row is computed.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -41,7 +42,7 @@ HEADLINE = [
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g"
@@ -51,13 +52,12 @@ def main() -> None:
     registry.queries()["url_tail"](spark, root).write.format("noop").mode("overwrite").save()
     timings = {}
     for name in chosen:
-        best = None
+        took = []
         for _ in range(runs):
             started = time.perf_counter()
             registry.queries()[name](spark, root).write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - started
-            best = took if best is None else min(best, took)
-        timings[name] = round(best, 3)
+            took.append(time.perf_counter() - started)
+        timings[name] = round(statistics.median(took), 3)
     print(
         json.dumps(
             {

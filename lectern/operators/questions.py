@@ -76,10 +76,6 @@ def parse_rewrites(response: Column | str, limit: int = 3) -> Column:
     return F.coalesce(F.slice(F.array_distinct(strings), 1, limit), tx.string_array([]))
 
 
-def merge_queries(primary: Column, fallback: Column, limit: int = vocab.MAX_REWRITES) -> Column:
-    return distinct_queries(F.concat(primary, fallback), limit)
-
-
 def extract_phrases(question: Column | str, rules=vocab.PHRASE_RULES) -> Column:
     lowered = F.lower(tx.col(question))
     return F.array_compact(F.array(*[F.when(tx.contains_any(lowered, keys), F.lit(phrase)) for keys, phrase in rules]))

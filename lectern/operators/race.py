@@ -113,10 +113,6 @@ def previous_events(events: DataFrame, now: Column, keys: Sequence[str] = (), co
     return chosen.filter(F.col("_e").isNotNull()).select(*keys, "_e.*")
 
 
-def top_standings(standings: DataFrame, count: int) -> DataFrame:
-    return standings.orderBy("position").limit(count)
-
-
 def pick_position(standings: Column, position: Column) -> Column:
     """Entry of a standings array with the position, else the entry at that place."""
     return F.coalesce(

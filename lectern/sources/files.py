@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions import text as tx
 from lectern.operators.chunking import section_of_title
+from lectern.operators.cleaning import clean_text
 
 
 def discover_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -20,8 +21,8 @@ def discover_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf")
 def read_documents(spark: SparkSession, folder: str, page_reader, pattern: str = "*.pdf") -> DataFrame:
     """Pages of the folder's documents as ``(document_title, page_number, text, source_path)``.
 
-    ``page_reader`` turns a file's bytes into the list of its page texts. Files are read where they are
-    processed, one at a time per task.
+    ``page_reader`` turns a file's bytes into the list of its page texts, which are cleaned. Files are read where
+    they are processed, one at a time per task.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
@@ -42,7 +43,8 @@ def read_documents(spark: SparkSession, folder: str, page_reader, pattern: str =
                     }
                 )
 
-    return files.mapInPandas(pages, "document_title string, page_number int, text string, source_path string")
+    read = files.mapInPandas(pages, "document_title string, page_number int, text string, source_path string")
+    return read.withColumn("text", clean_text("text"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
