@@ -15,7 +15,6 @@ sketches by maximum likelihood; what comes near the threshold is verified on the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,31 +31,36 @@ TOP = 255
 #: Values a band. A pair of similarity 0.8 shares none of the 51 bands in 2 of 10**9 cases.
 BAND = 5
 BANDS = REGISTERS // BAND
-#: Estimates this far below the threshold are dropped: over five standard errors of the estimate.
-SLACK = 0.15
+#: Estimates this far below the threshold are dropped: five standard errors of the estimate, which is 0.017 to 0.021
+#: at a similarity of 0.8.
+SLACK = 0.1
+#: Registers that agree are a rough estimate, this much above the likely one or less; it saves most of the others.
+SPARE = 0.03
+#: Registers, and slack, of the finer sketches of texts that are compared with each other; five errors again.
+FINE_REGISTERS = 1024
+FINE_SLACK = 0.05
 #: Texts that are compared with each other at once.
 BLOCK = 512
 SHINGLE_WORDS = 4
 #: A pair is linked if 100 times its intersection reaches this many times its union.
 PERCENT = 80
 
-_EDGES = np.append(np.log(REGISTERS / (REGISTERS - np.arange(REGISTERS))) / RATE, np.inf)
 
-
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set, one row a set; a row of zeros for an empty one."""
+def sketches(sets: list[np.ndarray], width: int = REGISTERS) -> np.ndarray:
+    """``width`` registers (a power of two) of each set, one row a set; a row of zeros for an empty one."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    least = np.full((len(sets), REGISTERS), np.inf)
+    edges = np.append(np.log(width / (width - np.arange(width))) / RATE, np.inf)
+    least = np.full((len(sets), width), np.inf)
     if sizes.sum():
         hashes = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), sizes)
         start, stride = mix(hashes ^ np.uint64(0x51)), mix(hashes ^ np.uint64(0xA7)) | np.uint64(1)
-        for j in range(REGISTERS):
-            low, high = _EDGES[j], _EDGES[j + 1]
+        for j in range(width):
+            low, high = edges[j], edges[j + 1]
             uniform = (mix(hashes + np.uint64(0x1000193 * (j + 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             value = low - np.log1p(-uniform * -np.expm1(-RATE * (high - low))) / RATE
-            register = ((start + np.uint64(j) * stride) & np.uint64(REGISTERS - 1)).astype(np.int64)
-            np.minimum.at(least.ravel(), owner * REGISTERS + register, value)
+            register = ((start + np.uint64(j) * stride) & np.uint64(width - 1)).astype(np.int64)
+            np.minimum.at(least.ravel(), owner * width + register, value)
             going = (least.max(axis=1) > high)[owner]
             if not going.any():
                 break
@@ -76,19 +80,22 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
-def likelihood_estimate(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Most likely similarity of pairs of sets with ``n`` and ``m`` elements, from how many registers of the first
-    sketch are larger (``more``) and smaller (``less``) than those of the second."""
-    same = REGISTERS - more - less
+def likelihood_estimate(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Most likely similarity of pairs of sets with ``n`` and ``m`` elements and sketches ``p`` and ``q``.
+
+    It depends on how many registers of the one sketch are larger and smaller than those of the other.
+    """
+    more, less = (p > q).sum(axis=1), (p < q).sum(axis=1)
+    same = p.shape[1] - more - less
     u, v = n / (n + m), m / (n + m)
 
     def larger(x):
         return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
 
     def logs(j):
-        p, q = larger(np.maximum(u - v * j, 0)), larger(np.maximum(v - u * j, 0))
+        up, down = larger(np.maximum(u - v * j, 0)), larger(np.maximum(v - u * j, 0))
         tiny = 1e-12
-        return more * np.log(p + tiny) + less * np.log(q + tiny) + same * np.log(np.maximum(1 - p - q, tiny))
+        return more * np.log(up + tiny) + less * np.log(down + tiny) + same * np.log(np.maximum(1 - up - down, tiny))
 
     low, high = np.zeros(len(n)), np.minimum(u / v, v / u)
     for _ in range(40):
@@ -98,8 +105,8 @@ def likelihood_estimate(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np
     return (low + high) / 2
 
 
-def registers_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+def registers_of(column: pa.Array, width: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -145,7 +152,7 @@ def near(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             if batch.num_rows:
                 p, q = registers_of(batch.column(2)), registers_of(batch.column(3))
                 n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5))
-                keep = likelihood_estimate((p > q).sum(axis=1), (p < q).sum(axis=1), n, m) >= threshold
+                keep = likelihood_estimate(p, q, n, m) >= threshold
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"]
                 )
@@ -173,38 +180,77 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return map_batches(joined, work, "a long, b long")
 
 
-def cross_pairs(unsettled: DataFrame, threshold: float) -> DataFrame:
-    """Near pairs of texts of a bucket that are in different groups, each from the first band that both share.
+def compared(group: dict[str, np.ndarray], target: float) -> np.ndarray:
+    """Near pairs of a group: texts of one bucket, in different components, first together in this bucket.
+
+    Two blocks of a bucket are compared with each other, one block with itself.
+    """
+    registers, rep, comp, part, n = (group[c] for c in ("registers", "rep", "component", "part", "n"))
+    crossing = group["lower"][0] != group["upper"][0]
+    left, right = [], []
+    for i in range(len(rep) - 1):
+        agree = (registers[i + 1 :] == registers[i]).sum(axis=1)
+        near_i = (agree >= (target - SLACK - SPARE) * REGISTERS) & (comp[i + 1 :] != comp[i])
+        if crossing:
+            near_i &= part[i + 1 :] != part[i]
+        j = np.flatnonzero(near_i) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    i, j = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    if len(i):
+        keys = band_keys(registers)
+        kept = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == group["key"][0]
+        i, j = i[kept], j[kept]
+    if len(i):
+        near_ij = likelihood_estimate(group["fine"][i], group["fine"][j], n[i], n[j]) >= target - FINE_SLACK
+        i, j = i[near_ij], j[near_ij]
+    return np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1).astype(np.int64)
+
+
+def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """``rep, fine``: sketches of many registers."""
+
+    def work(batches):
+        for batch in batches:
+            rows = sketches(shingle_sets(batch.column(1), words), FINE_REGISTERS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([row.tobytes() for row in rows], pa.binary())], names=["rep", "fine"]
+            )
+
+    return map_batches(texts.select("doc_id", "text"), work, "rep long, fine binary")
+
 
-    ``unsettled`` has ``key, rep, component, n, registers``. A bucket of more than a block is compared a pair of
+def cross_pairs(unsettled: DataFrame, target: float) -> DataFrame:
+    """Near pairs of texts of a bucket that are in different components, each once.
+
+    ``unsettled`` has ``key, rep, component, n, registers, fine``. A bucket of more than a block is compared a pair of
     blocks at a time; no group of rows exceeds two blocks by more than chance.
     """
+    numbers = ["key", "lower", "upper", "rep", "part", "component", "n"]
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("rep")
-        rep, part, comp = (group[c].to_numpy() for c in ("rep", "part", "component"))
-        n = group["n"].to_numpy(dtype=float)
-        registers = np.frombuffer(b"".join(group["registers"]), dtype=np.uint8).reshape(-1, REGISTERS)
-        keys, key, lower = band_keys(registers), group["key"].iloc[0], group["lower"].iloc[0]
-        found = []
-        for i in range(len(rep) - 1):
-            j = np.arange(i + 1, len(rep))
-            j = j[comp[j] != comp[i]]
-            if group["upper"].iloc[0] != lower:
-                j = j[part[j] != part[i]]
-            sizes = np.minimum(n[i], n[j]) / np.maximum(n[i], n[j])
-            j = j[sizes >= threshold]
-            same = keys[j] == keys[i]
-            first = same.argmax(axis=1)
-            j = j[keys[i][first] == key]
-            if len(j):
-                p, q = registers[i], registers[j]
-                m = np.full(len(j), n[i])
-                estimate = likelihood_estimate((p > q).sum(axis=1), (p < q).sum(axis=1), m, n[j])
-                j = j[estimate >= threshold]
-                found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+    def work(batches):
+        held: list[dict[str, np.ndarray]] = []
+
+        def settle():
+            group = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            held.clear()
+            pairs = compared(group, target)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(numbers)}
+            rows["registers"] = registers_of(batch.column(len(numbers)))
+            rows["fine"] = registers_of(batch.column(len(numbers) + 1), FINE_REGISTERS)
+            names = np.stack([rows[c].astype(np.int64) for c in ("key", "lower", "upper")], axis=1)
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), len(names)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if held and any(held[-1][c][-1] != rows[c][a] for c in ("key", "lower", "upper")):
+                    yield settle()
+                held.append({c: column[a:b] for c, column in rows.items()})
+        if held:
+            yield settle()
 
     sizes = unsettled.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
@@ -214,8 +260,10 @@ def cross_pairs(unsettled: DataFrame, threshold: float) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("lower", F.least("part", "other"))
         .withColumn("upper", F.greatest("part", "other"))
+        .select(*numbers, "registers", "fine")
     )
-    return blocks.groupBy("key", "lower", "upper").applyInPandas(compare, "a long, b long").distinct()
+    grouped = blocks.repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper")
+    return map_batches(grouped, work, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -261,8 +309,12 @@ def near_duplicates(
     )
     labelled = cut_lineage(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    unsettled = labelled.join(open_keys.filter("low < high").select("key"), "key").join(classes.drop("set_key"), "rep")
-    crossing = cross_pairs(unsettled, threshold).join(stars, ["a", "b"], "left_anti")
+    unsettled = cut_lineage(labelled.join(open_keys.filter("low < high").select("key"), "key"), "unsettled")
+    asked = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = unsettled.join(
+        classes.select("rep", "n", "registers").join(fine_sketches(asked, words), "rep"), "rep"
+    )
+    crossing = cross_pairs(members, percent / 100).join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(verified(crossing, texts, words, percent), "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more), "a", "b")
