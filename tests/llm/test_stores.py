@@ -202,6 +202,17 @@ def test_page_texts_of_the_table(spark, root):
         assert rows[page["page_id"]]["n_chars"] == len(expected)
 
 
+def test_content_beside_like_elements_that_are_none(spark):
+    page = "<body><div id=header>Top {0}</div><div id=content>Words {0}</div><div id=footer>Low {0}</div></body>"
+    story = "<body><article><p>One {0}</p>{1}<p>Two {0}</p></article></body>"
+    rows = [(i, "http://a.example.org/", page.format(i), "", 0) for i in range(4)]
+    marks = ["<p id=share>Share</p>", "<p hidden>Not seen</p>", "<p role=navigation>On</p>", "", ""]
+    rows += [(10 + i, "http://b.example.org/", story.format(i, mark), "", 0) for i, mark in enumerate(marks)]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {i: f"Words {i}" for i in range(4)} | {10 + i: f"One {i}\n\nTwo {i}" for i in range(5)}
+    assert wrappers.extract(page.format(1), None) == "Words 1"
+
+
 def test_alignment_takes_the_heaviest():
     leaf = lambda label: [label, 1, 0, False, []]
     deep = ["div", 1, 0, False, [leaf("p"), leaf("ul"), leaf("p")]]
