@@ -213,6 +213,27 @@ def test_content_beside_like_elements_that_are_none(spark):
     assert wrappers.extract(page.format(1), None) == "Words 1"
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<article><p style="overflow:hidden">a</p><p aria-hidden="false">b</p><a href="/hidden-gems">c</a></article>', "a\n\nb\n\nc"),
+        ('<p data-hidden>a</p><p data-class="menu">b</p><p title="id=footer">c</p><p HIDDEN>d</p>', "a\n\nb\n\nc"),
+        ('<body class="has-sidebar"><p>a</p></body>', "a"),
+        ('<body id="footer" class="sidebar"><article class="post comments-open"><p>a</p></article></body>', "a"),
+        ('<main class="with-sidebar widget" role="search"><p>a</p></main>', "a"),
+        ('<div class="social-policy">a</div><div class="share-price">b</div><div class="social share-bar">c</div>', "a\n\nb"),
+        ('<div class="widget"><div id="banner"><main>a</main></div></div>', "a"),
+        ('<div class="widget"><article>a</article></div><div class="site-footer">b</div>', "a"),
+        ('<article>a<div class="comment-list"><article>b</article></div></article>', "a"),
+        ('<div class="related"><article>b</article></div><article>a</article><div id="Left_NavBar">c</div>', "a"),
+        ('<nav><div class="menu"><article>b</article></div></nav><div class="ad-300x250">c</div><p>a', "a"),
+        ('<p class="a" class="menu">a</p><p id=\'cookie_banner\'>b</p>', "a"),
+    ],
+)
+def test_names_of_no_content(source, text):
+    assert wrappers.extract(source, None) == text
+
+
 def test_alignment_takes_the_heaviest():
     leaf = lambda label: [label, 1, 0, False, []]
     deep = ["div", 1, 0, False, [leaf("p"), leaf("ul"), leaf("p")]]
