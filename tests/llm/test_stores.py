@@ -234,6 +234,29 @@ def test_names_of_no_content(source, text):
     assert wrappers.extract(source, None) == text
 
 
+def test_constant_text_at_any_depth_is_template(spark):
+    plain = (
+        "<body><ul class=links><li>About<li>Terms</ul><div>(c) Site <a href=/>Home</a></div><div class=text>Read on"
+        "<p>Words {0} <b>bold</b></p><p>More {0}</p></div><p class=by>Written by <i>Author {0}</i></p></body>"
+    )
+    story = (
+        "<article><h1>Story {0}</h1><div class=hint>Read <b>this</b> first<p>Rules</p></div><p>Told by <b>Teller {0}</b></p>"
+        "<ul class=tail><li>Report<li>Print</ul></article>"
+    )
+    copied = "<script>{0}</script><article><h1>Copied</h1><p>The same text</p></article>"
+    rows = [(i, "http://a.example.org/", plain.format(i), "", 0) for i in range(4)]
+    rows += [(10 + i, "http://b.example.org/", story.format(i), "", 0) for i in range(4)]
+    rows += [(20 + i, "http://c.example.org/", copied.format(i), "", 0) for i in range(9)]
+    rows += [(30 + i, "http://d.example.org/", story.format(i), "", 0) for i in range(2)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    for i in range(4):
+        assert found[i] == f"Words {i}\n\nMore {i}\n\nWritten by Author {i}"
+        assert found[10 + i] == f"Story {i}\n\nTold by Teller {i}"
+    assert {found[20 + i] for i in range(9)} == {"Copied\n\nThe same text"}
+    assert found[31] == "Story 1\n\nRead this first\n\nRules\n\nTold by Teller 1\n\nReport\n\nPrint"
+
+
 def test_alignment_takes_the_heaviest():
     leaf = lambda label: [label, 1, 0, False, []]
     deep = ["div", 1, 0, False, [leaf("p"), leaf("ul"), leaf("p")]]
