@@ -5,6 +5,10 @@ text. A hub of more documents than a shard should give it is cut into several. E
 where most of their documents are, and the others ask to move there. A shard takes no more than its quota, which is
 the number of its documents that hang on nothing, and gives as many of those to shards that lost documents. So
 sizes stay even after every round, and the cut links only fall.
+
+If hubs are still in several shards after the rounds, as where few documents hang on nothing, all hubs are placed
+whole, the largest first: where most of their documents are if there is room, else in the fullest shard that has room.
+A hub is cut only if no shard has room for it. That is true of fewer hubs than there are shards.
 """
 
 from __future__ import annotations
@@ -100,6 +104,79 @@ def evened(state: DataFrame, sizes: list[int], shards: int, blocks: int) -> Data
     )
 
 
+def plan_of(counts: dict[tuple[int, int], int], room: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """Places of hubs, of which ``counts`` says how many of a size want a shard, in shards with ``room`` for rows.
+
+    Returns ``goal, size, first, last, shard`` for the hubs of a goal and size with these numbers that are placed
+    whole, and ``goal, size, number, first, last, shard`` for rows of the others.
+    """
+    room = list(room)
+    whole, cut = [], []
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for (goal, size), n in counts.items():
+        by_size.setdefault(size, []).append((goal, n))
+    unplaced = []
+    for size in sorted(by_size, reverse=True):
+        left = []
+        for goal, n in sorted(by_size[size]):
+            stay = min(n, room[goal] // size)
+            room[goal] -= stay * size
+            if stay:
+                whole.append((goal, size, 0, stay, goal))
+            if stay < n:
+                left.append((goal, stay, n))
+        for goal, first, n in left:
+            while first < n:
+                fitting = [shard for shard, r in enumerate(room) if r >= size]
+                if not fitting:
+                    unplaced += [(goal, size, number) for number in range(first, n)]
+                    break
+                shard = min(fitting, key=lambda k: (room[k], k))
+                some = min(n - first, room[shard] // size)
+                whole.append((goal, size, first, first + some, shard))
+                room[shard] -= some * size
+                first += some
+    for goal, size, number in unplaced:
+        first = 0
+        while first < size:
+            shard = max(range(len(room)), key=lambda k: (room[k], -k))
+            some = min(size - first, room[shard])
+            cut.append((goal, size, number, first, first + some, shard))
+            room[shard] -= some
+            first += some
+    return whole, cut
+
+
+def settled(state: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """Place all hubs anew, each whole where there is room, if any is in several shards."""
+    spark = state.sparkSession
+    votes = state.filter("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard"))
+    hubs = votes.groupBy("hub").agg(top.alias("top"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("parts"))
+    hubs = cut_lineage(hubs.select("hub", F.col("top.shard").alias("goal"), "copies", "parts"), "hubs")
+    if hubs.filter("parts > 1").isEmpty():
+        return state
+    sizes = counts_of(state, shards)
+    counts = {(r["goal"], r["copies"]): r["count"] for r in hubs.groupBy("goal", "copies").count().collect()}
+    whole, cut = plan_of(counts, sizes)
+    numbered_hubs = ranked(hubs.select("hub", "goal", "copies"), ["goal", "copies"], ["hub"], blocks, "number")
+    numbered_hubs = cut_lineage(numbered_hubs, "numbered-hubs")
+    ranges = spark.createDataFrame(whole, "goal int, copies long, first long, last long, target int")
+    targets = numbered_hubs.join(ranges, ["goal", "copies"]).filter("number >= first and number < last")
+    moved = state.join(targets.select("hub", "target"), "hub", "left")
+    if cut:
+        pieces = spark.createDataFrame(
+            cut, "goal int, copies long, number long, first long, last long, piece int"
+        )
+        pieces = numbered_hubs.join(pieces, ["goal", "copies", "number"]).select("hub", "first", "last", "piece")
+        rows = state.join(pieces.select("hub").distinct(), "hub", "left_semi").select("hub", "node")
+        rows = ranked(rows, ["hub"], ["node"], blocks, "place").join(pieces, "hub")
+        rows = rows.filter("place >= first and place < last").select("node", "piece")
+        moved = moved.join(rows, "node", "left").withColumn("target", F.coalesce("target", "piece"))
+    moved = moved.select("node", "hub", F.coalesce("target", "shard").alias("shard"))
+    return evened(cut_lineage(moved, "placed"), sizes, shards, blocks)
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int,
@@ -138,7 +215,8 @@ def shard_documents(
         ),
         "state",
     )
-    dealt = ranked(propagate(state, shards, rounds, blocks).select("node", "shard"), ["shard"], ["node"], blocks, "slot")
+    state = settled(propagate(state, shards, rounds, blocks), shards, blocks)
+    dealt = ranked(state.select("node", "shard"), ["shard"], ["node"], blocks, "slot")
     return rows.join(dealt, "node").select(
         "doc_id", "size", "text_crc32", F.col("text_hash").alias("hub"), "shard", "slot"
     )

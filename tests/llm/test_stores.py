@@ -137,6 +137,34 @@ def test_shards_split_a_hot_group(spark):
     assert sum(n for _, n in same.most_common(7)) >= 0.9 * 400
 
 
+@pytest.mark.parametrize(
+    ("text", "whole"),
+    [
+        (lambda i: f"pair {i % 1000}", True),
+        (lambda i: f"pair {i % 950}" if i < 1900 else f"alone {i}", True),
+        (lambda i: "hot" if i < 1000 else f"ten {i % 80}" if i < 1800 else f"alone {i}", True),
+        (lambda i: f"three {i % 667}", False),
+    ],
+)
+def test_shards_of_tables_full_of_copies(spark, text, whole):
+    texts = {i: text(i) for i in range(2000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = sharding.shard_documents(docs, 20).collect()
+    check_shards(rows, texts, 20)
+    held = defaultdict(set)
+    for r in rows:
+        held[texts[r["doc_id"]]].add(r["shard"])
+    split = sum(len(shards) > 1 for group, shards in held.items() if group != "hot")
+    assert split == 0 if whole else split < 20
+
+
+def test_plan_of_hubs():
+    assert sharding.plan_of({(0, 4): 3, (1, 2): 1}, [5, 5, 6]) == (
+        [(0, 4, 0, 1, 0), (0, 4, 1, 2, 1), (0, 4, 2, 3, 2), (1, 2, 0, 1, 2)], []
+    )
+    assert sharding.plan_of({(0, 4): 1}, [1, 3]) == ([], [(0, 4, 0, 0, 3, 1), (0, 4, 0, 3, 4, 0)])
+
+
 def test_shards_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = sharding.shard_documents(docs, 5).collect()
