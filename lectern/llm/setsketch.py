@@ -277,8 +277,11 @@ def near_duplicates(
 
     Texts are linked if their sets of word shingles are as similar as ``percent`` says, and grouped by links of
     links. A missing text is an empty one; texts without words are linked with nothing. Rows without an id are left
-    out; a repeated id counts as often as it comes.
+    out; a repeated id counts as often as it comes. Bands and slacks are made for ``PERCENT``: they hold above it, but
+    would lose links below, so that is an error.
     """
+    if percent < PERCENT:
+        raise ValueError(f"percent is {percent}; the bands find all links from {PERCENT} on only")
     rows = cut_lineage(sketch_documents(docs, id_col, text_col, words), "sketches")
     full = rows.filter("n_shingles > 0")
     classes = cut_lineage(

@@ -193,6 +193,20 @@ def test_near_duplicates_of_few_and_repeated_rows(spark):
     assert all(r["component_id"] == r["doc_id"] for r in rows if r["n_shingles"] == 0)
 
 
+@pytest.mark.parametrize("percent", [90, 100])
+def test_near_duplicates_above_the_percent_of_the_bands(spark, percent):
+    docs = made_docs()
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = setsketch.near_duplicates(table, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_by_hand(docs, percent)
+
+
+def test_near_duplicates_below_the_percent_of_the_bands(spark):
+    docs = odd_docs(spark)
+    with pytest.raises(ValueError):
+        setsketch.near_duplicates(docs, percent=50)
+
+
 def test_shingle_sets_of_a_slice():
     array = pa.array(["one two", *[t or "" for t in ODD], "last words of all"])
     whole = shingles.shingle_sets(array, 4)
