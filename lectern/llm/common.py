@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.session import checkpoint_dir
+from lectern.session import checkpoint_dir, cut_lineage
 
 #: Rows of one Arrow batch. Documents may be megabytes long, so the default of 10,000 is too many.
 BATCH_ROWS = 256
@@ -89,3 +89,27 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], blocks: int, name:
         .withColumn(name, (F.col("_first") + F.col("_row") - 1).cast("long"))
         .drop("_block", "_first", "_row")
     )
+
+
+def ranked_in_order(rows: DataFrame, key: str, order: list[str], total: str = "n", name: str = "rank") -> DataFrame:
+    """Add the gapless place of each row among those of its ``key`` by ``order``, from 0, and their number ``total``.
+
+    Rows are cut into ranges of key and order, so a key may fill many tasks; only counts of ranges meet by key. Rows
+    equal in ``order`` come in any order. ``key`` must not be null. The ordered rows are written.
+    """
+    placed = cut_lineage(
+        rows.repartitionByRange(key, *order)
+        .sortWithinPartitions(key, *order)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "ordered",
+    ).withColumn("_part", F.shiftright("_at", 33))
+    ranges = placed.groupBy(key, "_part").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranges.select(
+        key,
+        "_part",
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_shift"),
+        F.sum("_rows").over(whole).alias(total),
+    )
+    return placed.join(shift, [key, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import wraps
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fuse_dedup, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
+from lectern.llm import fuse_dedup, midstate, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
@@ -108,6 +109,30 @@ def op10_quality(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_midstate_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of fold 0 are tampered with: their texts lose the capitals A to Z."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = midstate.document_leaves(
+        table(spark, root, "documents"),
+        F.when(fold() == 0, lower).otherwise(F.col("text")),
+        ("doc_id", "source", "lang", "n_chars", "text"),
+        "doc_id",
+        "source",
+    )
+    tree = midstate.build(leaves)
+    folded = tree.fold(tree.leaves.withColumn("leaf", F.lower(F.hex("digest"))), "id", "leaf")
+    subroots = tree.subroots.select("key", F.lower(F.hex("digest")).alias("subroot"))
+    return folded.join(subroots, "key").select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        F.lit(tree.root).cast("string").alias("root"),
+        "proof_sha256",
+        "folded_root",
+        (F.col("folded_root") == tree.root).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
 
@@ -123,6 +148,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_segment_bpe": op9_segment_bpe,
     "op10_quality": op10_quality,
+    "op11_midstate_tree": op11_midstate_tree,
     "pipeline": pipeline,
 }
 
