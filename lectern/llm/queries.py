@@ -205,6 +205,76 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op11_midstate_tree": r"""
+        WITH RECURSIVE c AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text,
+                   list_reduce(
+                       list_prepend(4294967295, flatten(list_transform(
+                           string_split(doc_id::VARCHAR, ''),
+                           lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, b: CASE WHEN b < 0 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, b) END
+                   ) AS state
+            FROM documents
+        ), t AS (
+            SELECT *, CASE WHEN xor(state, 4294967295) % 5 = 0
+                      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front
+            FROM c
+        ), h AS (
+            SELECT rid, doc_id, coalesce('s' || source, '') AS k,
+                   sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(front || coalesce(strlen(other) || ':' || other, '-')) AS changed
+            FROM t
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx,
+                   count(*) OVER (PARTITION BY k) AS n
+            FROM h
+        ), low AS (
+            SELECT k, 0 AS lev, idx, n, leaf AS v FROM p
+            UNION ALL
+            SELECT k, lev + 1, idx // 16, any_value((n + 15) // 16), sha256(string_agg(v, '' ORDER BY idx))
+            FROM low WHERE n > 1 GROUP BY k, lev, idx // 16
+        ), sub AS (
+            SELECT k, v AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS idx, count(*) OVER () AS n
+            FROM low WHERE n = 1
+        ), high AS (
+            SELECT 0 AS lev, idx, n, subroot AS v FROM sub
+            UNION ALL
+            SELECT lev + 1, idx // 16, any_value((n + 15) // 16), sha256(string_agg(v, '' ORDER BY idx))
+            FROM high WHERE n > 1 GROUP BY lev, idx // 16
+        ), beside AS (
+            SELECT p.rid, 0 AS tree, low.lev, low.idx, low.v
+            FROM p JOIN low ON low.k = p.k AND low.n > 1 AND low.idx // 16 = p.idx // (16 ** (low.lev + 1))::BIGINT
+                 AND low.idx <> p.idx // (16 ** low.lev)::BIGINT
+            UNION ALL
+            SELECT p.rid, 1, high.lev, high.idx, high.v
+            FROM p JOIN sub ON sub.k = p.k
+                 JOIN high ON high.n > 1 AND high.idx // 16 = sub.idx // (16 ** (high.lev + 1))::BIGINT
+                 AND high.idx <> sub.idx // (16 ** high.lev)::BIGINT
+        ), proof AS (
+            SELECT rid, sha256(string_agg(v, '' ORDER BY tree, lev, idx)) AS proof_sha256 FROM beside GROUP BY rid
+        ), fold_low AS (
+            SELECT rid, k, 0 AS lev, idx, n, changed AS v FROM p
+            UNION ALL
+            SELECT f.rid, f.k, f.lev + 1, f.idx // 16, any_value((f.n + 15) // 16),
+                   sha256(string_agg(CASE WHEN low.idx = f.idx THEN f.v ELSE low.v END, '' ORDER BY low.idx))
+            FROM fold_low f JOIN low ON low.k = f.k AND low.lev = f.lev AND low.idx // 16 = f.idx // 16
+            WHERE f.n > 1 GROUP BY f.rid, f.k, f.lev, f.idx
+        ), fold_high AS (
+            SELECT f.rid, 0 AS lev, sub.idx, sub.n, f.v FROM fold_low f JOIN sub ON sub.k = f.k WHERE f.n = 1
+            UNION ALL
+            SELECT f.rid, f.lev + 1, f.idx // 16, any_value((f.n + 15) // 16),
+                   sha256(string_agg(CASE WHEN high.idx = f.idx THEN f.v ELSE high.v END, '' ORDER BY high.idx))
+            FROM fold_high f JOIN high ON high.lev = f.lev AND high.idx // 16 = f.idx // 16
+            WHERE f.n > 1 GROUP BY f.rid, f.lev, f.idx
+        )
+        SELECT p.doc_id, p.leaf, sub.subroot, top.v AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+               g.v AS folded_root, g.v = top.v AS verified
+        FROM p JOIN sub USING (k) JOIN (SELECT v FROM high WHERE n = 1) top ON true
+        LEFT JOIN proof ON proof.rid = p.rid JOIN (SELECT rid, v FROM fold_high WHERE n = 1) g ON g.rid = p.rid
+    """,
 }
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from harness import connect, difference
 from pyspark.sql import functions as F
 
 from lectern.llm import midstate, queries
@@ -85,6 +86,11 @@ def test_given_documents(spark, root):
     assert {r["verified"] for r in rows} == {True, False}
 
 
+def test_sql_twin(spark, root):
+    name = "op11_midstate_tree"
+    assert difference(queries.queries()[name](spark, root), connect(root), queries.oracle_sql()[name]) is None
+
+
 def test_compression_gives_sha256():
     draw = np.random.default_rng(4)
     for n in (1, 2, 16):
