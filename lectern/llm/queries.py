@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fuse_dedup, midstate, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
+from lectern.llm import dialogues, fuse_dedup, midstate, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
@@ -133,6 +133,34 @@ def op11_midstate_tree(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """One row in twenty of each kind is dropped, emptied, cut, repeated or given to the user."""
+    space, key, turn = F.lit(dialogues.MISSING), F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    kind = F.crc32(F.concat(F.coalesce(key, space), F.lit(":"), F.coalesce(turn, space))) % 20
+    text = F.coalesce("text", space)
+    copies = F.when(kind == 3, 2).when(kind == 0, 0).otherwise(1)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_dialogue_repair(spark: SparkSession, root: str) -> DataFrame:
+    conversations = table(spark, root, "conversations")
+    found = dialogues.repair(damaged(conversations))
+    names = conversations.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return names.join(found, "key", "left").select(
+        "conv_id",
+        *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
 
@@ -149,6 +177,7 @@ QUERIES = {
     "op9_segment_bpe": op9_segment_bpe,
     "op10_quality": op10_quality,
     "op11_midstate_tree": op11_midstate_tree,
+    "op12_dialogue_repair": op12_dialogue_repair,
     "pipeline": pipeline,
 }
 
