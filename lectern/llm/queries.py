@@ -304,6 +304,81 @@ ORACLES = {
         FROM p JOIN sub USING (k) JOIN (SELECT v FROM high WHERE n = 1) top ON true
         LEFT JOIN proof ON proof.rid = p.rid JOIN (SELECT rid, v FROM fold_high WHERE n = 1) g ON g.rid = p.rid
     """,
+    "op12_dialogue_repair": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_reduce(
+                       list_prepend(4294967295, flatten(list_transform(
+                           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                           lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, b: CASE WHEN b < 0 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, b) END
+                   ) AS state
+            FROM conversations
+        ), m AS (
+            SELECT *, xor(state, 4294967295) % 20 AS kind FROM c
+        ), d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM m
+        ), o AS (
+            SELECT *, coalesce(conv_id::VARCHAR, '') AS k, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role),
+                                      sha256(strlen(role) || ':' || role || text), copy) AS i
+            FROM d
+        ), f AS (
+            SELECT *, left(role, 1) AS ini,
+                   CASE WHEN bare = '' THEN 1
+                        WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+                        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                   lead(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS following
+            FROM o
+        ), nxt(s, t, role) AS (
+            VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+        ), moves AS (
+            SELECT s, s AS t, '' AS letters, 0 AS price, '' AS line FROM nxt
+            UNION ALL
+            SELECT s, t, 'I', 2, chr(10) || role || ':' FROM nxt
+        ), kept(ini, s, t) AS (
+            VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+        ), edges AS (
+            SELECT f.k, f.i, v.s, v.t AS t, v.letters || 'D' AS letters, v.price + 3 AS price, v.line FROM f, moves v
+            UNION ALL
+            SELECT f.k, f.i, v.s, x.t, v.letters || 'R', v.price + 2 + (f.fault = 3)::INT,
+                   v.line || chr(10) || x.role || ':' || f.text
+            FROM f, moves v JOIN nxt x ON x.s = v.t WHERE f.fault NOT IN (1, 2)
+            UNION ALL
+            SELECT f.k, f.i, v.s, y.t, v.letters || 'K', v.price + (f.fault = 3)::INT,
+                   v.line || chr(10) || f.role || ':' || f.text
+            FROM f, moves v JOIN kept y ON y.s = v.t WHERE f.fault NOT IN (1, 2) AND y.ini = f.ini
+        ), paths AS (
+            SELECT DISTINCT k, 0 AS i, 0 AS s, 0 AS cost, '' AS audit, '' AS lines FROM f
+            UNION ALL
+            SELECT k, i, s, b.cost, b.audit, b.lines
+            FROM (
+                SELECT p.k, e.i, e.t AS s,
+                       min({'cost': p.cost + e.price, 'audit': p.audit || e.letters, 'lines': p.lines || e.line}) AS b
+                FROM paths p JOIN edges e ON e.k = p.k AND e.i = p.i + 1 AND e.s = p.s GROUP BY p.k, e.i, e.t
+            )
+        ), ends AS (
+            SELECT p.k, min({'cost': p.cost + CASE p.s WHEN 2 THEN 2 ELSE 0 END,
+                             'audit': p.audit || CASE p.s WHEN 2 THEN 'I' ELSE '' END,
+                             'lines': p.lines || CASE p.s WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}) AS b
+            FROM paths p JOIN (SELECT k, max(i) AS n FROM f GROUP BY k) z ON z.k = p.k AND z.n = p.i
+            WHERE p.s <> 1 GROUP BY p.k
+        ), report AS (
+            SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated,
+                   count(*) FILTER (following IS NOT NULL AND ini || following NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY k
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+               coalesce(b.audit, '') AS audit, sha256(coalesce(substr(b.lines, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN report ON report.k = coalesce(c.conv_id::VARCHAR, '') LEFT JOIN ends ON ends.k = report.k
+    """,
 }
 
 

@@ -100,6 +100,37 @@ def test_given_conversations(spark, root):
     assert found(spark, root) == by_hand(rows)
 
 
+def test_sql_twin(spark, root):
+    name = "op12_dialogue_repair"
+    assert difference(queries.queries()[name](spark, root), connect(root), queries.oracle_sql()[name]) is None
+
+
+def every_audit(rows, kinds):
+    """Cost and letters of every sequence of edits that ends in the wanted roles, two inserts a gap at most."""
+    gaps = [g for k in range(3) for g in itertools.product("ua", repeat=k)]
+    edits = [[("D", "", 3)] if kind in (1, 2) else
+             [("D", "", 3), ("R", "u", 2 + (kind == 3)), ("R", "a", 2 + (kind == 3)), ("K", role[:1] or "-", int(kind == 3))]
+             for (role, _), kind in zip(rows, kinds)]
+    for chosen in itertools.product(*[x for e in edits for x in (gaps, e)], gaps):
+        cost, audit, roles = 0, "", ""
+        for at, part in enumerate(chosen):
+            if at % 2:
+                cost, audit, roles = cost + part[2], audit + part[0], roles + part[1]
+            else:
+                cost, audit, roles = cost + 2 * len(part), audit + "I" * len(part), roles + "".join(part)
+        if re.fullmatch("(s?(ua)+)?", roles):
+            yield cost, audit
+
+
+def test_every_sequence_of_edits():
+    draw = np.random.default_rng(11)
+    for count in (1, 2, 2, 3, 3, 3):
+        rows = [(str(draw.choice(["system", "user", "assistant", "tool"])), "") for _ in range(count)]
+        kinds = [int(draw.choice([0, 0, 1, 3])) for _ in rows]
+        pairs = [(role[:1], kind) for (role, _), kind in zip(rows, kinds)]
+        assert dialogues.finished(dialogues.solved(pairs)) == min(every_audit(rows, kinds))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_search_over_all_edits(seed):
     draw = np.random.default_rng(seed)
