@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import dialogues, fuse_dedup, midstate, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
+from lectern.llm import dialogues, fuse_dedup, lattice_lm, midstate, packing, rff_quality, segment_bpe, setsketch, sharding, syncmers, token_files, warc, wrappers
 from lectern.session import ship_package
 from lectern.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS = 5
 PASS_SCORE = 0.3
 SHARDS = 40
@@ -161,6 +162,13 @@ def op12_dialogue_repair(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op13_lattice_lm(spark: SparkSession, root: str) -> DataFrame:
+    """Fold 1 is held out; a row without an id is not."""
+    held_out = F.coalesce(fold() == 1, F.lit(False))
+    scored = lattice_lm.score_documents(table(spark, root, "documents"), PIECE_BPE, ~held_out)
+    return scored.withColumn("held_out", ~F.col("learns")).drop("learns")
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
 
@@ -178,6 +186,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_midstate_tree": op11_midstate_tree,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_lattice_lm": op13_lattice_lm,
     "pipeline": pipeline,
 }
 
