@@ -43,6 +43,24 @@ KINDS = {"driver": "车手", "constructor": "车队"}
 FULL_SCHEDULE = "当前完整赛历："
 NEAR_SCHEDULE = "近期赛历："
 MORE_SCHEDULE = "共获取 %d 场比赛；如需全年列表，请问“完整赛历”。"
+SCHEDULED = 3
+RACE_LABELS = {"get_previous_race": "上一站比赛", "get_next_race": "下一站比赛"}
+NO_RACE = {"get_previous_race": "No previous race found.", "get_next_race": "No upcoming race found."}
+RECENT_NEWS = "已获取最近的 F1 新闻，重点包括：%s。"
+NEWS_DONE = "已完成新闻查询。"
+RACE_DONE = "已完成比赛信息查询。"
+ARTICLE = "%s：%s"
+NO_SUMMARY_YET = "暂无摘要。"
+KEY_POINTS = "%s 关键点：%s。"
+STRATEGY_ANSWER = "策略建议：%s 置信度：%s。 关键判断：%s"
+UNSUPPORTED_INTENT = "Unsupported intent: %s"
+UNKNOWN_ARTICLE = "Unknown article"
+GREETING_TOKENS = ("你好", "hello", "hi", "hey")
+GREETING = "你好，我可以回答 F1 的新闻、赛程、积分、规则和一般性问题。"
+NO_MODEL = (
+    "这个问题更适合走通用 F1 问答，但当前通用回答能力不可用。"
+    "你可以换一种更具体的问法，例如问某位车手、某支车队、某场比赛，或者直接问最新积分、赛程、规则。"
+)
 TOPIC_SUMMARY = "这条新闻主要关联 %s，已生成规则检索问题并召回 %d 个相关规则片段。"
 GENERIC_SUMMARY = "这条新闻未命中明确的预设规则主题，系统已根据标题《%s》生成通用规则检索问题，并召回 %d 个相关规则片段。"
 
@@ -66,7 +84,8 @@ def partial_answer(title: Column | str, article: Column | str, page: Column | st
 
 def fragment(rank: Column, title: Column, article: Column, page: Column, score: Column, content: Column) -> Column:
     """One numbered piece of evidence."""
-    shown = F.when(score.isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f", score))
+    # Rounds the double's exact value, half to even; a cast to decimal or a printf format goes by its shortest print.
+    shown = F.when(score.isNull(), F.lit("N/A")).otherwise(F.call_function("format_number", score, F.lit("0.00")))
     return F.format_string(
         FRAGMENT, rank, title, F.coalesce(tx.blank_to_null(article), F.lit(NO_ARTICLE)), page_text(page), shown, content
     )
@@ -147,10 +166,13 @@ def event_line(event: Column, include_sessions: Column) -> Column:
     return F.concat(number, event["grand_prix_name"], place, F.lit("，正赛时间 "), when, weekend, F.lit("。"))
 
 
-def schedule_answer(lines: Column, full: Column, shown: int = 3) -> Column:
-    """Schedule of event lines; the first ones unless the full list is asked for."""
-    some = F.slice(lines, 1, shown)
-    more = F.when(F.size(lines) > shown, F.format_string("\n" + MORE_SCHEDULE, F.size(lines))).otherwise(F.lit(""))
+def schedule_answer(lines: Column, full: Column, shown: int = SCHEDULED, total: Column | None = None) -> Column:
+    """Schedule of event lines; the first ones unless the full list is asked for.
+
+    ``total`` is the number of events where ``lines`` holds only those that are shown.
+    """
+    some, count = F.slice(lines, 1, shown), F.size(lines) if total is None else total
+    more = F.when(count > shown, F.format_string("\n" + MORE_SCHEDULE, count)).otherwise(F.lit(""))
     return F.when(full, F.concat(F.lit(FULL_SCHEDULE + "\n"), F.array_join(lines, "\n"))).otherwise(
         F.concat(F.lit(NEAR_SCHEDULE + "\n"), F.array_join(some, "\n"), more)
     )
@@ -198,3 +220,29 @@ def strategy_answer(race_items: Column, rule_items: Column, news_items: Column)
         facts.alias("facts"),
         *[tx.string_array(STRATEGY[part]).alias(part) for part in ("analysis", "assumptions", "cautions")],
     )
+
+
+def race_answer(event: Column, action: str, include_sessions: Column) -> Column:
+    """The race before or after the time of a message."""
+    return F.concat(F.lit(RACE_LABELS[action] + "："), event_line(event, include_sessions))
+
+
+def article_answer(title: Column | str, summary: Column | str, content: Column | str) -> Column:
+    return F.format_string(ARTICLE, tx.col(title), F.coalesce(tx.first_of(summary, content), F.lit(NO_SUMMARY_YET)))
+
+
+def insight_answer(summary: Column, points: Column) -> Column:
+    listed = F.array_join(F.slice(points, 1, 3), "；")
+    return F.when(F.size(points) > 0, F.format_string(KEY_POINTS, summary, listed)).otherwise(summary)
+
+
+def recent_answer(titles: Column) -> Column:
+    """Of the newest articles, the first three titles."""
+    shown = F.array_join(F.slice(titles, 1, 3), "；")
+    return F.when(F.size(titles) > 0, F.format_string(RECENT_NEWS, shown)).otherwise(F.lit(NEWS_DONE))
+
+
+def general_answer(message: Column | str) -> Column:
+    """What is said where no model answers: a greeting, or that the question needs one."""
+    greeted = tx.contains_any(F.lower(tx.col(message)), GREETING_TOKENS)
+    return F.when(greeted, F.lit(GREETING)).otherwise(F.lit(NO_MODEL))

@@ -31,7 +31,71 @@ def stream_session_state(spark, root):
     )
     states = sessions.session_states(turns, **st.FOLD, ttl_seconds=None)
     ingest.run_available(states, ingest.batch_writer(folder), "update", os.path.join(folder, "_progress"))
-    return sessions.latest_states(spark.read.parquet(folder).drop("batch"))
+    return sessions.latest_states(spark.read.parquet(folder).drop("batch")).select(
+        "session_id", "turn_count", "retained_turns", "compacted_turns", "summary"
+    )
+
+
+#: Seconds without a turn after which a session ends.
+PAUSE = 7200
+WHOLE = {"max_turns": 1000, "recent": 2, "max_tokens": 0, "summary_tokens": 100}
+
+
+def _session_stream(spark, root, role, ttl_seconds):
+    """Newest state of each period of the conversations, whose turns are two hours apart, more or less."""
+    folder = ingest.new_folder(spark, "session-periods")
+    at = F.timestamp_seconds(F.lit(1717200000) + F.col("turn") * PAUSE + F.length("text") % PAUSE)
+    turns = _stream(spark, root, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), role.alias("role"), F.col("text").alias("message"),
+        at.alias("at"),
+    )
+    if ttl_seconds is not None:
+        turns = turns.withWatermark("at", "60 days")
+    states = sessions.session_states(turns, **WHOLE, ttl_seconds=ttl_seconds)
+    ingest.run_available(states, ingest.batch_writer(folder), "update", os.path.join(folder, "_progress"))
+    return spark.read.parquet(folder).drop("batch")
+
+
+def _history():
+    return F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(": "), h["message"])), "\n")
+
+
+def stream_session_expiry(spark, root):
+    """Periods of the sessions: a pause longer than the time to live ends one."""
+    states = _session_stream(spark, root, F.col("role"), PAUSE)
+    return sessions.latest_states(states).select("session_id", "period", "state", "turn_count", _history().alias("history"))
+
+
+STREAM_EXPIRY_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, 1717200000 + turn * {PAUSE} + length(text) % {PAUSE} AS said_at FROM conversations
+), g AS (
+  SELECT *, CASE WHEN said_at - lag(said_at) OVER (PARTITION BY conv_id ORDER BY turn) > {PAUSE} THEN 1 ELSE 0 END AS cut FROM t
+), p AS (
+  SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS period FROM g
+)
+SELECT conv_id AS session_id, period,
+       CASE WHEN period = max(period) OVER (PARTITION BY conv_id) THEN 'open' ELSE 'expired' END AS state,
+       count(*) AS turn_count, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
+FROM p GROUP BY conv_id, period"""
+
+
+def stream_session_now(spark, root):
+    """What sessions hold after deletions: every turn whose length divides by 11 is taken for one."""
+    role = F.when(F.length("text") % 11 == 0, sessions.DELETE).otherwise(F.col("role"))
+    now = sessions.sessions_now(_session_stream(spark, root, role, None))
+    return now.select("session_id", "period", "seen", "turn_count", _history().alias("history"))
+
+
+STREAM_NOW_SQL = """
+WITH t AS (
+  SELECT *, length(text) % 11 = 0 AS gone,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations
+), s AS (
+  SELECT conv_id, count(*) AS seen, count(*) FILTER (gone) AS period, coalesce(max(place) FILTER (gone), 0) AS last FROM t GROUP BY 1
+)
+SELECT t.conv_id AS session_id, period, seen, count(*) AS turn_count, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
+FROM t JOIN s ON s.conv_id = t.conv_id AND place > last GROUP BY t.conv_id, period, seen"""
 
 
 def stream_dedup_merge(spark, root):
@@ -75,11 +139,15 @@ FROM page_articles"""
 
 QUERIES = {
     "stream_session_state": stream_session_state,
+    "stream_session_expiry": stream_session_expiry,
+    "stream_session_now": stream_session_now,
     "stream_dedup_merge": stream_dedup_merge,
     "stream_article_merge": stream_article_merge,
 }
 ORACLES = {
     "stream_session_state": st.COMPACT_SQL,
+    "stream_session_expiry": STREAM_EXPIRY_SQL,
+    "stream_session_now": STREAM_NOW_SQL,
     "stream_dedup_merge": STREAM_DEDUP_SQL,
     "stream_article_merge": STREAM_ARTICLES_SQL,
 }

@@ -7,13 +7,13 @@ request or per request and found row. Composition stays lazy.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import vocab
-from lectern.operators import answers, articles, questions, race, retrieval, routing, rules
+from lectern.operators import answers, articles, order, questions, race, retrieval, routing, rules
 from lectern.session import cut_lineage
 
 
@@ -22,11 +22,18 @@ NO_ARTICLE = "News article not found."
 NO_QUESTION = "Question is required."
 #: Articles that a request without a number of its own lists.
 NEWS_LISTED = 10
+#: Pieces of evidence, and headlines, that a strategy request gets.
+CONTEXT_ITEMS = 3
 
 
 @dataclass
 class Tables:
-    """What the tools read; ``now`` is the time the calendar is asked at, as text."""
+    """What the tools read. ``now`` is the time at which requests without a time ``at`` ask the calendar, as text.
+
+    Events and standings may have a ``season``; a request without one asks for the newest. ``retrieved`` finds the
+    evidence of ``(query_id, question)``, in place of a keyword search over the chunks. ``attach`` lets strategy requests
+    take what they bring no context for from the other tables.
+    """
 
     articles: DataFrame | None = None
     chunks: DataFrame | None = None
@@ -34,6 +41,15 @@ class Tables:
     drivers: DataFrame | None = None
     teams: DataFrame | None = None
     now: str | None = None
+    retrieved: Callable[[DataFrame], DataFrame] | None = None
+    attach: bool = False
+
+    def evidence(self, asked: DataFrame) -> DataFrame:
+        """Reranked chunks of the questions ``(query_id, question)``."""
+        if self.retrieved:
+            return self.retrieved(asked)
+        parsed = cut_lineage(questions.parse_questions(asked), "questions")
+        return retrieval.retrieve(parsed, self.chunks, None, None)["retrieved"]
 
 
 def _requested_articles(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -51,10 +67,14 @@ def list_recent(tables: Tables, requests: DataFrame) -> DataFrame:
     limit = F.coalesce(F.col("params")["limit"].try_cast("int"), F.lit(NEWS_LISTED))
     asked = requests.select("query_id", F.greatest(limit, F.lit(0)).alias("_n"))
     most = asked.agg(F.max("_n")).first()[0] or 0
-    newest = articles.recent(tables.articles, most)
-    order = [F.desc_nulls_last("published_at"), F.desc("id")]
-    numbered = newest.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return asked.join(numbered, F.col("rank") <= F.col("_n")).select("query_id", "rank", "id", "title", "summary")
+    newest = articles.recent(tables.articles, most).select(
+        F.lit("").alias("_key"), "id", "title", "summary", "published_at"
+    )
+    numbered = order.ranked_in_order(newest, "_key", [F.desc_nulls_last("published_at"), F.desc("id")]).select(
+        (F.col("rank") + 1).alias("rank"), "id", "title", "summary"
+    )
+    wanted = asked.filter("_n > 0").select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))).alias("rank"))
+    return wanted.join(numbered, "rank").select("query_id", "rank", "id", "title", "summary")
 
 
 def get_article(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -102,26 +122,56 @@ def get_rules_analysis(tables: Tables, requests: DataFrame) -> DataFrame:
     return analysis.unionByName(missing, allowMissingColumns=True)
 
 
+def _season(table: DataFrame) -> Column:
+    return F.col("season").cast("string") if "season" in table.columns else F.lit("")
+
+
+def _of_season(table: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests with the season that they ask for, or the newest one of the table."""
+    newest = table.select(F.max(_season(table))).scalar()
+    return requests.withColumn("_season", F.coalesce(F.col("params")["season"], newest))
+
+
 def list_schedule(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Schedule answers; a season's calendar is one short array."""
-    numbered = F.struct("start_date", "event_id", "round_number", "grand_prix_name", "circuit_name", "country", "end_date", "sessions")
-    calendar = tables.events.select(F.array_sort(F.collect_list(numbered))).scalar()
-    rows = requests.select(
-        "query_id", calendar.alias("_c"), race.wants_full_schedule("message").alias("_full"),
-        race.wants_session_times("message").alias("_times"),
+    """Schedule answers and the number of events; a request meets the events that its answer shows."""
+    in_season = Window.partitionBy("_season")
+    numbered = tables.events.withColumn("_season", _season(tables.events)).select(
+        "_season",
+        F.row_number().over(in_season.orderBy("start_date", "event_id")).alias("_n"),
+        F.count(F.lit(1)).over(in_season).alias("_events"),
+        F.struct("round_number", "grand_prix_name", "circuit_name", "country", "end_date", "sessions").alias("_e"),
     )
-    lines = F.transform("_c", lambda e: answers.event_line(e, F.col("_times")))
-    return rows.select("query_id", "_full", lines.alias("_lines")).select(
-        "query_id", answers.schedule_answer(F.col("_lines"), F.col("_full")).alias("answer")
+    asked = _of_season(tables.events, requests).select(
+        "query_id", "_season", race.wants_full_schedule("message").alias("_full"), race.wants_session_times("message").alias("_times")
     )
+    shown = asked.withColumn("_most", F.when(F.col("_full"), F.lit(None)).otherwise(F.lit(answers.SCHEDULED)))
+    met = shown.join(numbered, "_season", "left").filter("_n is null or _most is null or _n <= _most")
+    line = F.when(F.col("_n").isNotNull(), F.struct("_n", answers.event_line(F.col("_e"), F.col("_times")).alias("line")))
+    gathered = met.groupBy("query_id", "_full").agg(
+        F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("_lines"),
+        F.coalesce(F.first("_events"), F.lit(0)).alias("events"),
+    )
+    return gathered.select(
+        "query_id", "events", answers.schedule_answer(F.col("_lines"), F.col("_full"), total=F.col("events")).alias("answer")
+    )
+
 
+def _times(tables: Tables, requests: DataFrame) -> DataFrame:
+    at = F.to_timestamp(F.lit(tables.now))
+    return requests.withColumn("at", F.coalesce(F.col("at").cast("timestamp"), at) if "at" in requests.columns else at)
 
-def _event(pick: Callable) -> Callable[[Tables, DataFrame], DataFrame]:
+
+def neighbours(tables: Tables, requests: DataFrame) -> DataFrame:
+    """``query_id, previous_id, next_id`` of each request's season at its own time."""
+    events = tables.events.withColumn("_season", _season(tables.events))
+    probes = _times(tables, _of_season(tables.events, requests)).select("query_id", "_season", "at")
+    return requests.select("query_id").join(order.around(probes, events, ["_season"]), "query_id", "left")
+
+
+def _event(side: str) -> Callable[[Tables, DataFrame], DataFrame]:
     def run(tables: Tables, requests: DataFrame) -> DataFrame:
-        found = pick(tables.events, F.to_timestamp(F.lit(tables.now)), (), ("event_id",))
-        return requests.select("query_id", found.select("event_id").scalar().alias("event_id")).join(
-            tables.events, "event_id", "left"
-        )
+        found = neighbours(tables, requests).select("query_id", F.col(side).alias("event_id"))
+        return found.join(tables.events, "event_id", "left")
 
     return run
 
@@ -132,14 +182,18 @@ def _standings(kind: str) -> Callable[[Tables, DataFrame], DataFrame]:
         table = tables.drivers if driver else tables.teams
         name, aliases = ("driver_name", vocab.STANDING_DRIVER_ALIASES) if driver else ("team_name", vocab.STANDING_TEAM_ALIASES)
         fields = ["position", *(["driver_name"] if driver else []), "team_name", "points"]
-        listed = table.select(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
-        rows = requests.select("query_id", "message", listed.alias("standings")).select(
+        # A season's entrants are few; their table is one row, which its requests meet by the season.
+        seasons = table.groupBy(_season(table).alias("_season")).agg(
+            F.array_sort(F.collect_list(F.struct(*fields))).alias("standings")
+        )
+        rows = _of_season(table, requests).join(seasons, "_season", "left").select(
             "query_id", "standings", race.wants_full_standings("message").alias("full"), race.requested_top("message").alias("top_n"),
             race.match_entry("message", F.col("standings"), name, aliases).alias("subject"),
             race.requested_position("message").alias("position"),
         ).withColumn("picked", race.pick_position(F.col("standings"), F.col("position")))
         parts = [F.col(c) for c in ("full", "top_n", "subject", "position", "picked")]
-        return rows.select("query_id", answers.standings_answer(F.col("standings"), kind, *parts).alias("answer"))
+        answer = F.when(F.col("standings").isNotNull(), answers.standings_answer(F.col("standings"), kind, *parts))
+        return rows.select("query_id", answer.alias("answer"))
 
     return run
 
@@ -149,8 +203,7 @@ def ask(tables: Tables, requests: DataFrame) -> DataFrame:
     chunks = tables.chunks if "page" in tables.chunks.columns else tables.chunks.withColumn("page", F.lit(None).cast("long"))
     asked = _questions(requests)
     judged = rules.judge(asked, routing.query_type("question"), routing.is_unrelated("question"))
-    parsed = cut_lineage(questions.parse_questions(asked), "questions")
-    retrieved = retrieval.retrieve(parsed, chunks, None, None)["retrieved"]
+    retrieved = replace(tables, chunks=chunks).evidence(asked)
     blank = requests.filter(_is_blank()).select("query_id", F.lit(NO_QUESTION).alias("error"))
     return rules.ask(judged, retrieved, chunks).unionByName(blank, allowMissingColumns=True)
 
@@ -178,10 +231,47 @@ def _questions(requests: DataFrame) -> DataFrame:
     return requests.filter(~_is_blank()).select("query_id", F.col("message").alias("question"))
 
 
+def strategy_context(tables: Tables, requests: DataFrame) -> DataFrame:
+    """What the tables know for each request: the races around its time, three pieces of evidence, three headlines."""
+    names = tables.events.select("event_id", "grand_prix_name")
+    races = neighbours(tables, requests)
+    for side, name in (("previous_id", "previous_race"), ("next_id", "next_race")):
+        races = races.join(names.toDF(side, name), side, "left")
+    item = F.concat_ws(" | ", "document_title", F.coalesce(F.nullif("article", F.lit("")), F.lit(answers.UNKNOWN_ARTICLE)), "content")
+    rule = (
+        tables.evidence(_questions(requests)).filter(F.col("rank") <= CONTEXT_ITEMS)
+        .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("_r"))
+        .select("query_id", F.transform("_r", lambda r: r["item"]).alias("regulation_context"))
+    )
+    headline = F.concat_ws(": ", "title", F.nullif("summary", F.lit("")))
+    # Three rows whatever the table.
+    newest = articles.recent(tables.articles, CONTEXT_ITEMS).select(
+        F.struct(F.col("published_at").isNull().alias("undated"), (-F.unix_micros("published_at")).alias("age"), (-F.col("id")).alias("id"), headline.alias("line")).alias("a")
+    )
+    news = newest.select(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["line"])).scalar()
+    return races.select("query_id", "previous_race", "next_race").join(rule, "query_id", "left").withColumn("news_context", news)
+
+
 def analyze(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Strategy answers without a model; the context a request brings is counted in its parameters."""
-    counts = [F.coalesce(F.col("params")[k].try_cast("int"), F.lit(0)) for k in ("race_items", "rule_items", "news_items")]
-    return requests.select("query_id", answers.strategy_answer(*counts).alias("s")).select("query_id", "s.*")
+    """Strategy answers without a model.
+
+    The context that a request brings is counted in its parameters. With ``attach``, the races are added to what it
+    brings, and rules and news where it brings none.
+    """
+    counts = {k: F.coalesce(F.col("params")[k].try_cast("int"), F.lit(0)) for k in ("race_items", "rule_items", "news_items")}
+    brought = requests.select("query_id", *[v.alias(k) for k, v in counts.items()])
+    if not tables.attach:
+        return brought.select("query_id", answers.strategy_answer(*[F.col(k) for k in counts]).alias("s")).select("query_id", "s.*")
+    whole = brought.join(strategy_context(tables, requests), "query_id")
+    rules_there, news_there = F.coalesce(F.size("regulation_context"), F.lit(0)), F.coalesce(F.size("news_context"), F.lit(0))
+    races = F.col("race_items") + F.col("previous_race").isNotNull().cast("int") + F.col("next_race").isNotNull().cast("int")
+    strategy = answers.strategy_answer(
+        races,
+        F.when(F.col("rule_items") > 0, F.col("rule_items")).otherwise(rules_there),
+        F.when(F.col("news_items") > 0, F.col("news_items")).otherwise(news_there),
+    )
+    context = ["previous_race", "next_race", "regulation_context", "news_context"]
+    return whole.select("query_id", strategy.alias("s"), *context).select("query_id", "s.*", *context)
 
 
 def answer(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -197,8 +287,8 @@ TOOLS: dict[tuple[str, str], Callable[[Tables, DataFrame], DataFrame]] = {
     ("news_tool", "get_insights"): get_insights,
     ("news_tool", "get_rules_analysis"): get_rules_analysis,
     ("race_tool", "list_schedule"): list_schedule,
-    ("race_tool", "get_next_race"): _event(race.next_events),
-    ("race_tool", "get_previous_race"): _event(race.previous_events),
+    ("race_tool", "get_next_race"): _event("next_id"),
+    ("race_tool", "get_previous_race"): _event("previous_id"),
     ("race_tool", "get_driver_standings"): _standings("driver"),
     ("race_tool", "get_constructor_standings"): _standings("constructor"),
     ("regulation_tool", "ask"): ask,
