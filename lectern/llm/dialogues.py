@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_batches, ranked_in_order
+from lectern.llm.common import map_batches, ranked_in_order, spread_out
 from lectern.session import cut_lineage
 
 BLOCK = 256
@@ -219,7 +219,7 @@ def audits(faults: DataFrame, block: int = BLOCK) -> DataFrame:
         "fault",
         "rank",
     )
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rank").drop("rank")
+    dealt = spread_out(rows, "key", "block").sortWithinPartitions("key", "block", "rank").drop("rank")
     runs = cut_lineage(map_batches(dealt, solve_runs, RUN), "runs")
     whole = runs.filter("blocks = 1")
     while (runs.agg(F.max("blocks")).first()[0] or 0) > 1:
