@@ -13,11 +13,11 @@ summed once.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +25,10 @@ from lectern.llm.common import map_batches
 from lectern.session import cut_lineage
 
 #: Words of a chunk, after which it is closed; it holds whole documents.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 3_000_000
 MARK = "▁"
 SMOOTHING = 0.5
-CHUNK = "chunk string, doc_id long, learns boolean, ids binary, word binary, code int, learned long"
+CHUNK = "chunk long, doc_id long, learns boolean, ids binary, word binary, code int, learned long"
 SCORED = "doc_id long, learns boolean, n_tokens long, n_known long, base_score double, score double"
 #: Marks a string that starts a piece without being one; log-probabilities are not positive.
 PREFIX = 1.0
@@ -41,18 +41,20 @@ def words_of(text: bytes) -> list[bytes]:
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Documents ``(doc_id, text, learns)`` as chunks: rows of documents, then rows of distinct words."""
+    # Of a task's attempts one is written, so its partition and a count name a chunk.
+    name = TaskContext.get().partitionId() << 32
     codes: dict[bytes, int] = {}
     docs: list[tuple[int, bool, bytes]] = []
     learned: list[np.ndarray] = []
     held = 0
 
     def closed():
-        nonlocal held
+        nonlocal held, name
         n, m = len(docs), len(codes)
         counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *learned]), minlength=m)
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array([os.urandom(16).hex()] * (n + m), pa.string()),
+                pa.array([name] * (n + m), pa.int64()),
                 pa.array([d[0] for d in docs] + [None] * m, pa.int64()),
                 pa.array([d[1] for d in docs] + [None] * m, pa.bool_()),
                 pa.array([d[2] for d in docs] + [None] * m, pa.binary()),
@@ -63,7 +65,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             names=["chunk", "doc_id", "learns", "ids", "word", "code", "learned"],
         )
         codes.clear(), docs.clear(), learned.clear()
-        held = 0
+        held, name = 0, name + 1
         return out
 
     for batch in batches:
