@@ -8,8 +8,9 @@ have in common.
 
 Register values are banded. In a bucket of agreeing bands every text is compared with the smallest id first, which
 settles whole groups of copies with one comparison a text. Only where texts of a bucket are still in different
-groups are they compared with each other, in blocks of bounded size. Comparisons estimate similarity from both
-sketches by maximum likelihood; what comes near the threshold is verified on the full shingle sets.
+groups are they compared with each other, up to ``BLOCK`` of them. A larger bucket is dealt anew by wider bands of finer
+sketches, again star first, until no bucket is larger. Comparisons estimate similarity from both sketches by maximum
+likelihood; what comes near the threshold is verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ SPARE = 0.03
 #: Registers, and slack, of the finer sketches of texts that are compared with each other; five errors again.
 FINE_REGISTERS = 1024
 FINE_SLACK = 0.05
-#: Texts that are compared with each other at once.
+#: Texts of a bucket that are compared with each other; a larger one is dealt anew.
 BLOCK = 512
+#: Registers of the finer sketches that a band of the first deal of a large bucket takes, and what each deal adds.
+WIDER = 8
+#: Bands of a deal: a pair at the threshold shares none of them in ``exp(-SURE)`` cases, 8 of 10**10.
+SURE = 21
 SHINGLE_WORDS = 4
 #: A pair is linked if 100 times its intersection reaches this many times its union.
 PERCENT = 80
@@ -180,24 +185,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return map_batches(joined, work, "a long, b long")
 
 
-def compared(group: dict[str, np.ndarray], target: float) -> np.ndarray:
-    """Near pairs of a group: texts of one bucket, in different components, first together in this bucket.
+def compared(group: dict[str, np.ndarray], target: float, banded: bool) -> np.ndarray:
+    """Near pairs of a group: texts of one bucket, in different components.
 
-    Two blocks of a bucket are compared with each other, one block with itself.
+    With ``banded`` keys a pair counts only in the first bucket that it shares.
     """
-    registers, rep, comp, part, n = (group[c] for c in ("registers", "rep", "component", "part", "n"))
-    crossing = group["lower"][0] != group["upper"][0]
+    registers, rep, comp, n = (group[c] for c in ("registers", "rep", "component", "n"))
     left, right = [], []
     for i in range(len(rep) - 1):
         agree = (registers[i + 1 :] == registers[i]).sum(axis=1)
-        near_i = (agree >= (target - SLACK - SPARE) * REGISTERS) & (comp[i + 1 :] != comp[i])
-        if crossing:
-            near_i &= part[i + 1 :] != part[i]
-        j = np.flatnonzero(near_i) + i + 1
+        j = np.flatnonzero((agree >= (target - SLACK - SPARE) * REGISTERS) & (comp[i + 1 :] != comp[i])) + i + 1
         left.append(np.full(len(j), i))
         right.append(j)
     i, j = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
-    if len(i):
+    if len(i) and banded:
         keys = band_keys(registers)
         kept = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == group["key"][0]
         i, j = i[kept], j[kept]
@@ -207,6 +208,32 @@ def compared(group: dict[str, np.ndarray], target: float) -> np.ndarray:
     return np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1).astype(np.int64)
 
 
+def subsets(width: int) -> np.ndarray:
+    """Registers of the bands of a deal, one row a band; disjoint ones as far as there are enough registers."""
+    draw = np.random.default_rng(width)
+    count = -(-int(SURE * 1000 / (PERCENT / 100) ** width) // 1000)
+    whole = FINE_REGISTERS // width
+    rounds = [draw.permutation(FINE_REGISTERS)[: whole * width].reshape(whole, width) for _ in range(-(-count // whole))]
+    return np.concatenate(rounds)[: max(count, whole)]
+
+
+def dealt_anew(members: DataFrame, width: int) -> DataFrame:
+    """``key, rep``: buckets of wider bands of the finer sketches of ``members(rep, fine)``."""
+
+    def work(batches):
+        chosen = subsets(width)
+        for batch in batches:
+            if batch.num_rows:
+                fine = registers_of(batch.column(1), FINE_REGISTERS).astype(np.uint64)
+                keys = np.broadcast_to(np.arange(1, len(chosen) + 1, dtype=np.uint64), (len(fine), len(chosen))).copy()
+                for k in range(width):
+                    keys = mix(keys * np.uint64(256) + fine[:, chosen[:, k]])
+                rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(chosen))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+
+    return map_batches(members.select("rep", "fine"), work, "key long, rep long")
+
+
 def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     """``rep, fine``: sketches of many registers."""
 
@@ -220,13 +247,12 @@ def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts.select("doc_id", "text"), work, "rep long, fine binary")
 
 
-def cross_pairs(unsettled: DataFrame, target: float) -> DataFrame:
-    """Near pairs of texts of a bucket that are in different components, each once.
+def cross_pairs(unsettled: DataFrame, target: float, banded: bool) -> DataFrame:
+    """Near pairs of texts of a bucket that are in different components.
 
-    ``unsettled`` has ``key, rep, component, n, registers, fine``. A bucket of more than a block is compared a pair of
-    blocks at a time; no group of rows exceeds two blocks by more than chance.
+    ``unsettled`` has ``key, rep, component, n, registers, fine``, and no more than ``BLOCK`` rows a key.
     """
-    numbers = ["key", "lower", "upper", "rep", "part", "component", "n"]
+    numbers = ["key", "rep", "component", "n"]
 
     def work(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -234,7 +260,7 @@ def cross_pairs(unsettled: DataFrame, target: float) -> DataFrame:
         def settle():
             group = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held.clear()
-            pairs = compared(group, target)
+            pairs = compared(group, target, banded)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -243,29 +269,29 @@ def cross_pairs(unsettled: DataFrame, target: float) -> DataFrame:
             rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(numbers)}
             rows["registers"] = registers_of(batch.column(len(numbers)))
             rows["fine"] = registers_of(batch.column(len(numbers) + 1), FINE_REGISTERS)
-            names = np.stack([rows[c].astype(np.int64) for c in ("key", "lower", "upper")], axis=1)
-            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), len(names)]
+            starts = [0, *(np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1), batch.num_rows]
             for a, b in zip(starts[:-1], starts[1:]):
-                if held and any(held[-1][c][-1] != rows[c][a] for c in ("key", "lower", "upper")):
+                if held and held[-1]["key"][-1] != rows["key"][a]:
                     yield settle()
                 held.append({c: column[a:b] for c, column in rows.items()})
         if held:
             yield settle()
 
-    sizes = unsettled.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    blocks = (
-        unsettled.join(sizes, "key")
-        .withColumn("part", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("lower", F.least("part", "other"))
-        .withColumn("upper", F.greatest("part", "other"))
-        .select(*numbers, "registers", "fine")
-    )
-    grouped = blocks.repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper")
+    grouped = unsettled.select(*numbers, "registers", "fine").repartition("key").sortWithinPartitions("key")
     return map_batches(grouped, work, "a long, b long").distinct()
 
 
+def star(buckets: DataFrame) -> DataFrame:
+    """Pairs of each bucket's smallest id with its other ones."""
+    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"))
+    return buckets.join(hubs, "key").filter("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
+    groups = components(links, "a", "b").withColumnRenamed("node", "rep")
+    return rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -300,28 +326,32 @@ def near_duplicates(
     texts = cut_lineage(
         id_and_text(docs, id_col, text_col).join(crowded, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
     )
-    star = buckets.filter("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = cut_lineage(near(star, classes, threshold), "stars")
-    links = cut_lineage(verified(stars, texts, words, percent), "links")
+    buckets = buckets.select("key", "rep")
+    tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
+    links = cut_lineage(verified(tried, texts, words, percent), "links")
+    width = 0
+    while True:
+        labelled = cut_lineage(with_component(buckets, links), "labelled")
+        open_keys = labelled.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+        )
+        unsettled = cut_lineage(labelled.join(open_keys.filter("low < high").select("key", "size"), "key"), "unsettled")
+        asked = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        fine = cut_lineage(fine_sketches(asked, words), "fine")
+        small, large = unsettled.filter(F.col("size") <= BLOCK), unsettled.filter(F.col("size") > BLOCK)
+        members = small.join(classes.select("rep", "n", "registers").join(fine, "rep"), "rep")
+        crossing = cross_pairs(members, percent / 100, not width).join(tried, ["a", "b"], "left_anti")
+        more = verified(crossing, texts, words, percent)
+        links = cut_lineage(links.unionByName(more), "links")
+        if large.isEmpty():
+            break
+        width += WIDER
+        again = large.select("rep").distinct().join(fine, "rep")
+        buckets = cut_lineage(dealt_anew(again, width), "buckets")
+        tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
+        links = cut_lineage(links.unionByName(verified(tried, texts, words, percent)), "links")
     groups = components(links, "a", "b")
 
-    labelled = (
-        buckets.select("key", "rep")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-    )
-    labelled = cut_lineage(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    unsettled = cut_lineage(labelled.join(open_keys.filter("low < high").select("key"), "key"), "unsettled")
-    asked = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = unsettled.join(
-        classes.select("rep", "n", "registers").join(fine_sketches(asked, words), "rep"), "rep"
-    )
-    crossing = cross_pairs(members, percent / 100).join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(verified(crossing, texts, words, percent), "links")
-    if not more.isEmpty():
-        groups = components(links.unionByName(more), "a", "b")
-
     members = rows.join(classes.select("set_key", "rep"), "set_key", "left").join(
         groups.withColumnRenamed("node", "rep"), "rep", "left"
     )
