@@ -68,6 +68,10 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 49 THEN strftime(
 FROM orders"""
 
 
+#: Ids of one feed of a source; there are four sources.
+FEED_IDS = 800
+
+
 def feed_items(spark, root):
     """Items of each source's feed, written from the pages; the limit of a feed comes before the filter."""
     from lectern.sources.feed import parse_items
@@ -81,7 +85,9 @@ def feed_items(spark, root):
         F.coalesce(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("soon")),
         F.lit("</pubDate></item>"),
     )
-    parsed = parse_items(stored.select("source_name", "id", xml.alias("xml")), order="id", limit=200, feed="source_name")
+    # A source's feeds hold no more items each than are read of one.
+    feed = F.concat_ws("/", "source_name", F.floor(F.col("id") / FEED_IDS))
+    parsed = parse_items(stored.select(feed.alias("feed"), "id", xml.alias("xml")), order="id", limit=200, feed="feed")
     return parsed.select(
         "title", "summary", "article_url", "source_article_id", F.date_format("published_at", TIME).alias("published_at")
     )
@@ -92,7 +98,7 @@ WITH {fx.PAGE_ARTICLES_SQL}
 SELECT 'Item ' || id AS title, 'About ' || source_name AS summary, article_url,
        nullif(regexp_extract(url, '([^/]*)/*$', 1), '') AS source_article_id,
        strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at
-FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY id) AS nth FROM page_articles)
+FROM (SELECT *, row_number() OVER (PARTITION BY source_name, id // {FEED_IDS} ORDER BY id) AS nth FROM page_articles)
 WHERE nth <= 200 AND id % 9 <> 0"""
 
 

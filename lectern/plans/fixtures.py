@@ -198,7 +198,7 @@ def as_articles(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("site"), (page % 4).cast("string")).alias("source_name"),
         F.concat_ws("-", tail, page.cast("string")).alias("source_article_id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.when(page % 3 == 0, F.regexp_extract("html", "<div class=\"ad\">([^<]*)</div>", 1)).alias("summary"),
+        F.nullif(F.regexp_extract("html", "<div class=\"ad\">([^<]*)</div>", 1), F.lit("")).alias("summary"),
         F.regexp_extract("html", "<footer>([^<]*)</footer>", 1).alias("content"),
         F.col("url").alias("article_url"),
         F.when(page % 2 == 0, F.concat(F.lit("author"), (page % 13).cast("string"))).alias("author"),
@@ -217,7 +217,7 @@ PAGE_ARTICLES_SQL = """page_articles AS (
   SELECT page_id + 1 AS id, 'site' || (page_id % 4) AS source_name,
          regexp_extract(url, '([^/]+)/*$', 1) || '-' || page_id AS source_article_id,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-         CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) END AS summary,
+         nullif(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '') AS summary,
          regexp_extract(html, '<footer>([^<]*)</footer>', 1) AS content,
          url AS article_url, CASE WHEN page_id % 2 = 0 THEN 'author' || (page_id % 13) END AS author,
          CASE WHEN page_id % 11 <> 0 THEN make_timestamp((1704067200 + (page_id * 7919 % 1000) * 3600) * 1000000) END
@@ -228,12 +228,12 @@ PAGE_ARTICLES_SQL = """page_articles AS (
 
 
 def text_articles(spark: SparkSession, root: str) -> DataFrame:
-    """Documents as articles: the first line is the title, some have a summary."""
+    """Documents as articles: the first line is the title, the second one the summary."""
     doc = F.col("doc_id")
     return documents(spark, root).select(
         doc.alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.when(doc % 3 == 0, F.get(F.split("text", "\n"), 1)).alias("summary"),
+        F.get(F.split("text", "\n"), 1).alias("summary"),
         F.col("text").alias("content"),
         F.array("lang", "source").alias("tags"),
     )
@@ -241,7 +241,7 @@ def text_articles(spark: SparkSession, root: str) -> DataFrame:
 
 TEXT_ARTICLES_SQL = """text_articles AS (
   SELECT doc_id AS article_id, string_split(text, chr(10))[1] AS title,
-         CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[2] END AS summary,
+         string_split(text, chr(10))[2] AS summary,
          text AS content, lang || ' ' || source AS tag_text
   FROM documents
 ),

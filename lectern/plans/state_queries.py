@@ -388,7 +388,7 @@ def _memories(spark, root):
         "session_id", (F.col("ord") - 1).alias("ord"), F.col("message").alias("reply")
     )
     pairs = turns.filter(F.col("role") == "user").join(replies, ["session_id", "ord"], "left")
-    memory = sessions.extract_memory("message", F.when(F.col("session_id") % 3 != 0, F.col("reply")), fx.PREFERENCE_MARKERS, fx.INTEREST_MARKERS)
+    memory = sessions.extract_memory("message", F.col("reply"), fx.PREFERENCE_MARKERS, fx.INTEREST_MARKERS)
     return pairs.select("session_id", "ord", memory.alias("m")).filter(F.col("m").isNotNull()).select(
         sessions.memory_id("session_id", "ord").alias("memory_id"), (F.col("session_id") % 7).alias("owner_id"), "m.*",
         F.col("ord").alias("updated_at"),
@@ -403,7 +403,7 @@ MEMORY_SQL = rf"""memories AS (
   SELECT sha256(conv_id || chr(31) || turn) AS memory_id, conv_id % 7 AS owner_id,
          CASE WHEN length(c) > 240 THEN rtrim(left(c, 237)) || '...' ELSE c END AS content,
          CASE WHEN {fx.sql_any('lower(c0)', fx.INTEREST_MARKERS)} THEN 'topic_interest' ELSE 'preference' END AS memory_type,
-         CASE WHEN reply IS NOT NULL AND reply <> '' AND conv_id % 3 <> 0 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence, turn AS updated_at
+         CASE WHEN reply IS NOT NULL AND reply <> '' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence, turn AS updated_at
   FROM (
     SELECT u.conv_id, u.turn, a.text AS reply, regexp_replace(u.text, '^{WS}+|{WS}+$', '', 'g') AS c0,
            trim(regexp_replace(u.text, '{WS}+', ' ', 'g')) AS c
