@@ -80,21 +80,56 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[new, ["arrival", "skey", "article_url"]].astype({"skey": object, "article_url": object})
 
 
+def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New rows among ``(arrival, skey, article_url)``, and the rows that none of them settles.
+
+    A row is new if it arrives first among the rows of either of its keys. First arrivals are partial minima, so a key
+    of any number of rows costs one row a task; its rows are then settled at once.
+    """
+    by_url = rows.groupBy("article_url").agg(F.min("arrival").alias("_url"))
+    by_key = rows.filter("skey is not null").groupBy("skey").agg(F.min("arrival").alias("_key"))
+    judged = cut_lineage(
+        rows.join(by_url, "article_url").join(by_key, "skey", "left").withColumn(
+            "new", (F.col("arrival") == F.col("_url")) & (F.col("skey").isNull() | (F.col("arrival") == F.col("_key")))
+        ).select("arrival", "skey", "article_url", "new"),
+        "judged-articles",
+    )
+    new = judged.filter("new").drop("new")
+    left = judged.filter("not new").drop("new").join(new.select("article_url"), "article_url", "left_anti")
+    left = left.join(new.filter("skey is not null").select("skey"), "skey", "left_anti")
+    return new, cut_lineage(left.select("arrival", "skey", "article_url"), "open-articles")
+
+
 def _new_articles(batch: DataFrame) -> DataFrame:
     """Keys of the batch rows that become new articles.
 
-    Rows arrive one after another and a row is new when no earlier new row has its source key or URL. Only rows
-    that are connected by shared keys can settle each other, so the connected groups are found first, in rounds
-    that are logarithmic in the length of a chain, and each is replayed in order of arrival. Of rows with the same
-    two keys the first settles the rest.
+    Rows arrive one after another and a row is new when no earlier new row has its source key or URL. Of rows with the
+    same two keys the first settles the rest. Rounds settle the open rows: those that arrive first for both of their
+    keys are new, what shares a key with them is settled. Each round that leaves less than half of the open rows open is
+    followed by another one. What is left after that are long chains of rows that wait for one another; their connected
+    groups are replayed in order of arrival.
     """
-    first = batch.groupBy("skey", "article_url").agg(F.min("arrival").alias("arrival"))
-    ends = first.withColumn("_url", F.xxhash64(F.lit("url"), "article_url")).withColumn(
+    rows = cut_lineage(batch.groupBy("skey", "article_url").agg(F.min("arrival").alias("arrival")), "open-articles")
+    rows = rows.select("arrival", "skey", "article_url")
+    found, count = None, rows.count()
+    while True:
+        new, rows = _round(rows)
+        found = new if found is None else found.unionByName(new)
+        left = rows.count()
+        if not left:
+            return found
+        if 2 * left > count:
+            return found.unionByName(_replayed(rows))
+        count = left
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """New rows of connected groups, each taken in order of arrival."""
+    ends = rows.withColumn("_url", F.xxhash64(F.lit("url"), "article_url")).withColumn(
         "_key", F.when(F.col("skey").isNotNull(), F.xxhash64(F.lit("key"), "skey"))
     )
-    rows = cut_lineage(ends, "open-articles")
-    groups = components(rows.filter(F.col("_key").isNotNull()), "_url", "_key")
-    grouped = rows.join(groups, F.col("_url") == F.col("node"), "left").select(
+    groups = components(ends.filter(F.col("_key").isNotNull()), "_url", "_key")
+    grouped = ends.join(groups, F.col("_url") == F.col("node"), "left").select(
         F.coalesce("component", "_url").alias("group"), "arrival", "skey", "article_url"
     )
     ordered = grouped.repartition("group").sortWithinPartitions("group", "arrival")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import vocab
@@ -34,9 +34,12 @@ def evidence_rows(judged: DataFrame, retrieved: DataFrame, chunks: DataFrame) ->
     sections = related.filter("query_type = 'section_overview'").join(
         overview_rows(chunks, SECTION_CHUNKS), F.col("asked_section") == F.col("section_code")
     )
-    whole = overview_rows(chunks, 1).withColumn("rank", F.dense_rank().over(Window.orderBy("section_code")))
-    # One row a section goes to every question of this type.
-    document = related.join(whole.withColumn("query_type", F.lit("document_overview")), "query_type")
+    # One row a section goes to every question of this type, as one short array and not by a join.
+    first = overview_rows(chunks, 1)
+    row = F.struct("section_code", *[c for c in first.columns if c not in ("section_code", "rank")])
+    listed = first.select(F.array_sort(F.collect_list(row))).scalar()
+    document = related.filter("query_type = 'document_overview'").select("query_id", F.posexplode(listed).alias("_n", "_row"))
+    document = document.select("query_id", (F.col("_n") + 1).alias("rank"), "_row.*")
     facts = related.filter("query_type = 'fact_lookup'").join(retrieved, "query_id")
     return (
         sections.withColumn("strong", F.lit(True)).select(columns)
