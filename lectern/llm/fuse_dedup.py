@@ -164,7 +164,7 @@ def deduplicate(
     """Group equal texts of a snapshot and an incoming batch; ``in_snapshot`` tells the two apart by ``doc_id``.
 
     Returns for every row ``doc_id, keep_id, group_size, kept, text_sha256``. Missing texts count as empty, and
-    empty texts are equal. A repeated id counts as often as it comes, and its rows have the same ``keep_id``; rows
+    empty texts are equal. A repeated id counts as often as it comes, each row in the group of its own text; rows
     without an id are left out. ``digest_chars`` shortens the digest, which a test uses to force collisions.
     """
     clean = id_and_text(docs, id_col, text_col).withColumn("norm", F.translate("text", SPACES, ""))
@@ -184,7 +184,8 @@ def deduplicate(
     if not clash.isEmpty():
         # Different texts under one digest: those unlike their group's row that stays get longer digests.
         longer = F.concat_ws("-", "digest", "other")
-        rows = cut_lineage(rows.join(clash, "doc_id", "left").withColumn("digest", longer).drop("other"), "digests")
+        told = rows.join(clash, ["doc_id", "text_sha256"], "left").withColumn("digest", longer).drop("other")
+        rows = cut_lineage(told, "digests")
         groups = cut_lineage(merged(rows), "groups")
     return rows.join(groups, "digest").select(
         "doc_id",
@@ -196,13 +197,18 @@ def deduplicate(
 
 
 def collisions(clean: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows whose text differs from that of the row that stays: ``doc_id`` and a digest that tells them apart."""
-    shared = rows.join(groups.filter("size > 1"), "digest").select("doc_id", "digest", "keep_id").distinct()
-    texts = cut_lineage(clean.select("doc_id", "norm").join(shared, "doc_id"), "shared-texts")
+    """Rows whose text differs from that of the row that stays: ``doc_id, text_sha256`` and a digest that tells them apart.
+
+    Rows of one id are known by their whole hash.
+    """
+    key = ["doc_id", "text_sha256"]
+    shared = rows.join(groups.filter("size > 1"), "digest").select(*key, "digest", "keep_id").distinct()
+    own = clean.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "norm")
+    texts = cut_lineage(own.join(shared, key), "shared-texts")
     stays = texts.filter("doc_id = keep_id").groupBy("digest").agg(F.min("norm").alias("kept_norm"))
     return (
         texts.join(stays, "digest")
         .filter(F.col("norm") != F.col("kept_norm"))
-        .select("doc_id", F.sha2("norm", 512).alias("other"))
+        .select(*key, F.sha2("norm", 512).alias("other"))
         .distinct()
     )
