@@ -114,8 +114,16 @@ def registers_of(column: pa.Array, width: int = REGISTERS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
+def printed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, print``: a hash of the text, which with the id stands for the row."""
+    return id_and_text(docs, id_col, text_col).withColumn("print", F.xxhash64("text"))
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, registers``; texts with equal shingle sets have equal keys."""
+    """``doc_id, print, n_shingles, set_key, registers``; texts with equal shingle sets have equal keys.
+
+    ``print`` tells the texts of one id apart.
+    """
 
     def work(batches):
         for batch in batches:
@@ -127,15 +135,16 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([row.tobytes() for row in sketches(sets)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "registers"],
+                names=["doc_id", "print", "n_shingles", "set_key", "registers"],
             )
 
-    schema = "doc_id long, n_shingles long, set_key binary, registers binary"
-    return map_batches(id_and_text(docs, id_col, text_col), work, schema)
+    schema = "doc_id long, print long, n_shingles long, set_key binary, registers binary"
+    return map_batches(printed_texts(docs, id_col, text_col), work, schema)
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -298,12 +307,14 @@ def near_duplicates(
     text_col: str = "text",
     words: int = SHINGLE_WORDS,
     percent: int = PERCENT,
+    prints: bool = False,
 ) -> DataFrame:
     """Groups of near-duplicate texts: ``doc_id, n_shingles, component_id, kept`` for every row.
 
     Texts are linked if their sets of word shingles are as similar as ``percent`` says, and grouped by links of
     links. A missing text is an empty one; texts without words are linked with nothing. Rows without an id are left
-    out; a repeated id counts as often as it comes. Bands and slacks are made for ``PERCENT``: they hold above it, but
+    out; a repeated id counts as often as it comes, each row by its own text, and ``prints`` adds the ``xxhash64`` of the
+    text, which tells such rows apart. Equal sets are known by a 128-bit hash. Bands and slacks are made for ``PERCENT``: they hold above it, but
     would lose links below, so that is an error.
     """
     if percent < PERCENT:
@@ -311,21 +322,23 @@ def near_duplicates(
     rows = cut_lineage(sketch_documents(docs, id_col, text_col, words), "sketches")
     full = rows.filter("n_shingles > 0")
     classes = cut_lineage(
-        full.groupBy("set_key").agg(
-            F.min("doc_id").alias("rep"),
+        full.groupBy("set_key")
+        .agg(
+            F.min(F.struct("doc_id", "print")).alias("least"),
             F.first("n_shingles").alias("n"),
             F.first("registers").alias("registers"),
-        ),
+        )
+        # Sets have numbers of their own, since texts of one id may differ.
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     threshold = percent / 100 - SLACK
     bands = band_rows(classes)
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
     buckets = cut_lineage(bands.join(hubs.select("key", "hub"), "key"), "buckets")
-    crowded = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut_lineage(
-        id_and_text(docs, id_col, text_col).join(crowded, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
-    )
+    crowded = buckets.select("rep").distinct().join(classes, "rep").select("least.*", "rep")
+    own = printed_texts(docs, id_col, text_col).join(crowded, ["doc_id", "print"])
+    texts = cut_lineage(own.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     buckets = buckets.select("key", "rep")
     tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
     links = cut_lineage(verified(tried, texts, words, percent), "links")
@@ -350,13 +363,17 @@ def near_duplicates(
         buckets = cut_lineage(dealt_anew(again, width), "buckets")
         tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
         links = cut_lineage(links.unionByName(verified(tried, texts, words, percent)), "links")
-    groups = components(links, "a", "b")
+    groups = components(links, "a", "b").withColumnRenamed("node", "rep")
+    named = groups.join(classes.select("rep", F.col("least.doc_id").alias("first")), "rep")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("name")), "component").select("rep", "name")
 
-    members = rows.join(classes.select("set_key", "rep"), "set_key", "left").join(
-        groups.withColumnRenamed("node", "rep"), "rep", "left"
-    )
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    component = F.coalesce(alone, "component", "rep")
+    known = classes.select("set_key", "rep", F.col("least.doc_id").alias("first")).join(named, "rep", "left")
+    members = rows.join(known.select("set_key", F.coalesce("name", "first").alias("name")), "set_key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("name"))
     return members.select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        (component == F.col("doc_id")).alias("kept"),
+        *(["print"] if prints else []),
     )
