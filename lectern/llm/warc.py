@@ -145,22 +145,19 @@ def lines_of(block: bytes) -> Iterator[tuple[str, str]]:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, refers_to``: pages with equal payloads of some size revisit that with the largest id."""
+    """``page_id, exact, digest, refers_to``: pages with equal payloads of some size revisit that with the largest id.
+
+    ``exact`` is a hash of the payload, which with the id stands for the page.
+    """
     narrow = cut_lineage(
-        pages.select(
-            "page_id",
-            F.sha1("html").alias("digest"),
-            F.sha2("html", 256).alias("exact"),
-            F.octet_length("html").alias("size"),
-        ),
-        "payloads",
+        pages.select("page_id", "exact", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")), "payloads"
     )
     large = narrow.filter(F.col("size") >= REVISIT_BYTES)
     stays = large.groupBy("exact", "size").agg(F.max("page_id").alias("response"))
     return (
         narrow.join(stays, ["exact", "size"], "left")
-        .select("page_id", "digest", F.expr("nullif(response, page_id)").alias("refers_to"))
-        .dropDuplicates(["page_id"])
+        .select("page_id", "exact", "digest", F.expr("nullif(response, page_id)").alias("refers_to"))
+        .dropDuplicates(["page_id", "exact"])
     )
 
 
@@ -175,8 +172,8 @@ def write_archives(
 ) -> DataFrame:
     """Write a record a page and return the sorted runs of index entries, as a written table of blocks.
 
-    A missing page is an empty payload, a missing URL an empty one. Rows without an id are left out, and rows that
-    repeat an id are one page. Without ``time_col`` (a timestamp) a page is captured as many seconds after the epoch
+    A missing page is an empty payload, a missing URL an empty one. Rows without an id are left out. Rows of one
+    id are records of their own, unless URL and payload are the same too. Without ``time_col`` (a timestamp) a page is captured as many seconds after the epoch
     as its id says, so that runs over the same pages agree. Only archives that the runs name are ever read.
     """
     spark = pages.sparkSession
@@ -190,9 +187,10 @@ def write_archives(
             F.coalesce(second, F.lit(0)).cast("long").alias("second"),
         )
         .filter("page_id is not null")
+        .withColumn("exact", F.sha2("html", 256))
     )
-    single = clean.dropDuplicates(["page_id"])
-    rows = single.join(revisits(clean), "page_id").select("page_id", "url", "html", "second", "digest", "refers_to")
+    single = clean.dropDuplicates(["page_id", "url", "exact"])
+    rows = single.join(revisits(clean), ["page_id", "exact"]).select("page_id", "url", "html", "second", "digest", "refers_to")
 
     def write(batches):
         part, runs, archives = TaskContext.get().partitionId(), 0, 0
