@@ -22,7 +22,7 @@ from lectern.session import cut_lineage
 ROUNDS = 4
 #: Rows of one block wherever rows are ranked.
 BLOCK_ROWS = 20_000
-#: Share of a shard that one hub may claim; larger hubs are cut by a hash.
+#: Share of a shard that a piece of a larger group may claim; a group that fits a shard is not cut.
 HUB_SHARE = 0.5
 
 
@@ -203,9 +203,9 @@ def shard_documents(
     rows = cut_lineage(rows, "numbered")
     total = rows.count()
     blocks = max(1, total // shards // BLOCK_ROWS)
-    share = max(2, int(total / shards * HUB_SHARE))
+    whole = max(2, total // shards)
     hubs = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    pieces = F.ceil(F.col("copies") / share).cast("int")
+    pieces = F.when(F.col("copies") <= whole, 1).otherwise(F.ceil(F.col("copies") / max(1, int(whole * HUB_SHARE))).cast("int"))
     piece = F.pmod(F.xxhash64("node"), pieces)
     state = cut_lineage(
         rows.join(hubs, "text_hash", "left").select(
