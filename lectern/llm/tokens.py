@@ -35,7 +35,8 @@ def chunks(text: str) -> list[str]:
 class ChunkEncoder:
     """Encode texts with a tokenizer that drops white space and merges nothing across it.
 
-    Such a tokenizer gives a text the ids of its chunks in order, so frequent chunks are encoded once.
+    Such a tokenizer gives a text the ids of its chunks in order, so frequent chunks are encoded once. Strings of special
+    tokens hold no white space, so a chunk with one has its ids in the text too.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -43,7 +44,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.entries = entries
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}

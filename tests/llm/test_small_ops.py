@@ -34,7 +34,6 @@ def word_bpe():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.WORD_BPE)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
