@@ -118,8 +118,8 @@ def grams(text, width=4):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def groups_by_hand(docs, percent=80):
-    sets = {doc: grams(text) for doc, text in docs.items()}
+def groups_by_hand(docs, percent=80, words=4):
+    sets = {doc: grams(text, words) for doc, text in docs.items()}
     top = {doc: doc for doc in docs}
 
     def find(x):
