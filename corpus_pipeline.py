@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in four stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read again as the next one's
-documents. Rows without an id pass the filters, which know documents by their ids, and end at the last stage.
+documents. Rows of one id with different texts are documents of their own. Rows without an id pass the filters, which
+know documents by id and text, and end at the last stage.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,39 +20,50 @@ from lectern.session import cut_lineage, ship_package
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FOLDS = 5
 PASS_SCORE = 0.3
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE_WORDS = 4
 END_ID = 0
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not among those of ``gone``."""
-    return docs.select(*COLUMNS).join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+def without(docs: DataFrame, gone: DataFrame, **prints: Column) -> DataFrame:
+    """Documents whose id is not among those of ``gone``; with ``prints`` by column, whose id and print are not."""
+    known = gone.select("doc_id", *prints).distinct()
+    return docs.select(*COLUMNS).withColumns(prints).join(known, ["doc_id", *prints], "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labels of the documents at hand."""
+    """Documents that the quality classifier does not reject; it learns from the labels of the documents at hand.
+
+    Rows of one id are judged by the best of them.
+    """
     ship_package(spark)
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     scored = rff_quality.score_documents(docs, labels, "quality", fold != 0, fold == 1)
-    return without(docs, scored.filter(F.col("score") < PASS_SCORE))
+    best = scored.groupBy("doc_id").agg(F.max("score").alias("score"))
+    return without(docs, best.filter(F.col("score") < PASS_SCORE))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal texts, and one row of a repeated id. The older half by id is the snapshot."""
+    """One document of equal texts. The older half by id is the snapshot."""
     ship_package(spark)
     middle = docs.agg(F.percentile_approx("doc_id", 0.5).alias("m")).first()["m"]
     groups = fuse_dedup.deduplicate(docs, F.col("doc_id") <= F.lit(middle))
-    left = without(docs, groups.filter("not kept"))
-    again = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    single = left.filter("doc_id is not null").withColumn("_copy", F.row_number().over(again)).filter("_copy = 1")
-    return single.drop("_copy").unionByName(left.filter("doc_id is null"))
+    bare = F.sha2(F.translate(F.coalesce("text", F.lit("")), fuse_dedup.SPACES, ""), 256)
+    left = without(docs, groups.filter("not kept"), text_sha256=bare)
+    # Of equal texts under one id, the row that has the most of the text.
+    again = Window.partitionBy("doc_id", "_bare").orderBy(F.length("text").desc(), F.xxhash64("text"))
+    known = left.filter("doc_id is not null").withColumn("_bare", F.xxhash64(bare))
+    single = known.withColumn("_copy", F.row_number().over(again)).filter("_copy = 1").select(*COLUMNS)
+    return single.unionByName(left.filter("doc_id is null"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
     ship_package(spark)
-    return without(docs, setsketch.near_duplicates(docs).filter("not kept"))
+    groups = setsketch.near_duplicates(docs, words=SHINGLE_WORDS, prints=True)
+    return without(docs, groups.filter("not kept"), print=F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
