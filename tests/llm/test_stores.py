@@ -308,7 +308,7 @@ def test_pipeline_stages(spark, root, word_bpe):  # noqa: F811
     assert sum(d in gone for d in good) <= 0.03 * len(good)
     assert sum(d in gone for d in labels if labels[d] == 0) >= 0.8 * sum(q == 0 for q in labels.values())
     assert set(ids[2]) == {doc for doc, keep, *_ in dedup_by_hand(ids[1].items()) if doc == keep}
-    assert set(ids[3]) == {doc for doc, (_, group) in groups_by_hand(ids[2]).items() if doc == group}
+    assert set(ids[3]) == {doc for doc, (_, group) in groups_by_hand(ids[2], words=corpus_pipeline.SHINGLE_WORDS).items() if doc == group}
     rows = steps[-1].collect()
     check_packing(rows, {d: len(word_bpe(t)) + 1 for d, t in ids[3].items()})
     assert queries.queries()["pipeline"](spark, root).count() == len(rows)
@@ -330,3 +330,17 @@ def test_pipeline_of_odd_rows(spark, folder):
     kept = {doc for doc, keep, *_ in dedup_by_hand([(r[0], r[1]) for r in rows if r[0] is not None]) if doc == keep}
     assert sorted(r["doc_id"] for r in step.filter("doc_id is not null").collect()) == sorted(kept)
     assert step.filter(F.col("doc_id").isNull()).count() == 2
+
+
+def test_pipeline_of_repeated_ids(spark, folder):
+    """Rows of one id with different texts are documents of their own."""
+    draw = np.random.default_rng(8)
+    one, two, three = (" ".join(f"{c}{i}" for i in draw.integers(0, 9999, 90)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, three), (3, two + " more"), (3, "Some other text."), (None, one)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, out, folder)
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert left == Counter([(1, one), (1, two), (2, three), (3, "Some other text."), (None, one)])
