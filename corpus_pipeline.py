@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FOLDS = 5
 PASS_SCORE = 0.3
 #: Words of a shingle of the near-duplicate stage.
-SHINGLE_WORDS = 4
+SHINGLE_WORDS = 5
 END_ID = 0
 ORACLE_SQL = None
 
