@@ -8,19 +8,22 @@ have in common.
 
 Register values are banded. In a bucket of agreeing bands every text is compared with the smallest id first, which
 settles whole groups of copies with one comparison a text. Only where texts of a bucket are still in different
-groups are they compared with each other, up to ``BLOCK`` of them. A larger bucket is dealt anew by wider bands of finer
-sketches, again star first, until no bucket is larger. Comparisons estimate similarity from both sketches by maximum
-likelihood; what comes near the threshold is verified on the full shingle sets.
+groups are they compared with each other, up to ``BLOCK`` of them. The texts of larger buckets meet by the rarest
+shingles of their sets instead, which is exact. Comparisons estimate similarity from both sketches by maximum likelihood;
+what comes near the threshold is verified on the full shingle sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import id_and_text, map_batches
+from lectern.llm.rff_quality import summed
 from lectern.llm.shingles import mix, shingle_sets
 from lectern.operators.graph import components
 from lectern.session import cut_lineage
@@ -40,12 +43,12 @@ SPARE = 0.03
 #: Registers, and slack, of the finer sketches of texts that are compared with each other; five errors again.
 FINE_REGISTERS = 1024
 FINE_SLACK = 0.05
-#: Texts of a bucket that are compared with each other; a larger one is dealt anew.
+#: Texts of a bucket that are compared with each other; those of a larger one meet by rare shingles.
 BLOCK = 512
-#: Registers of the finer sketches that a band of the first deal of a large bucket takes, and what each deal adds.
-WIDER = 8
-#: Bands of a deal: a pair at the threshold shares none of them in ``exp(-SURE)`` cases, 8 of 10**10.
-SURE = 21
+#: Counters of shingles, by some bits of their hashes; they only set an order, which may be any.
+COUNTERS = 1 << 16
+#: Pairs that one task looks at at once.
+SLAB = 1_000_000
 SHINGLE_WORDS = 4
 #: A pair is linked if 100 times its intersection reaches this many times its union.
 PERCENT = 80
@@ -194,11 +197,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return map_batches(joined, work, "a long, b long")
 
 
-def compared(group: dict[str, np.ndarray], target: float, banded: bool) -> np.ndarray:
-    """Near pairs of a group: texts of one bucket, in different components.
-
-    With ``banded`` keys a pair counts only in the first bucket that it shares.
-    """
+def compared(group: dict[str, np.ndarray], target: float) -> np.ndarray:
+    """Near pairs of a group: texts of one bucket, in different components, first together in this bucket."""
     registers, rep, comp, n = (group[c] for c in ("registers", "rep", "component", "n"))
     left, right = [], []
     for i in range(len(rep) - 1):
@@ -207,7 +207,7 @@ def compared(group: dict[str, np.ndarray], target: float, banded: bool) -> np.nd
         left.append(np.full(len(j), i))
         right.append(j)
     i, j = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
-    if len(i) and banded:
+    if len(i):
         keys = band_keys(registers)
         kept = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == group["key"][0]
         i, j = i[kept], j[kept]
@@ -217,30 +217,97 @@ def compared(group: dict[str, np.ndarray], target: float, banded: bool) -> np.nd
     return np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1).astype(np.int64)
 
 
-def subsets(width: int) -> np.ndarray:
-    """Registers of the bands of a deal, one row a band; disjoint ones as far as there are enough registers."""
-    draw = np.random.default_rng(width)
-    count = -(-int(SURE * 1000 / (PERCENT / 100) ** width) // 1000)
-    whole = FINE_REGISTERS // width
-    rounds = [draw.permutation(FINE_REGISTERS)[: whole * width].reshape(whole, width) for _ in range(-(-count // whole))]
-    return np.concatenate(rounds)[: max(count, whole)]
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur in the texts, those with equal low bits together."""
 
+    def part(batch):
+        hashes = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0), words)])
+        return np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
 
-def dealt_anew(members: DataFrame, width: int) -> DataFrame:
-    """``key, rep``: buckets of wider bands of the finer sketches of ``members(rep, fine)``."""
+    return summed(texts.select("text"), part, COUNTERS)
+
+
+def rare_shingles(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """``token, rep, n, left, indexed``: the rarest shingles of each set, and how many of it come from there on.
+
+    Two sets as similar as ``percent`` share one of the rarest shingles of the larger one, as many as that percentage
+    lets differ, and of the rarest of the smaller one, as many as a pair of equal sizes lets differ.
+    """
 
     def work(batches):
-        chosen = subsets(width)
         for batch in batches:
-            if batch.num_rows:
-                fine = registers_of(batch.column(1), FINE_REGISTERS).astype(np.uint64)
-                keys = np.broadcast_to(np.arange(1, len(chosen) + 1, dtype=np.uint64), (len(fine), len(chosen))).copy()
-                for k in range(width):
-                    keys = mix(keys * np.uint64(256) + fine[:, chosen[:, k]])
-                rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            parts = []
+            for rep, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
+                n = len(own)
+                asked = n - -(-percent * n // 100) + 1
+                held = n - -(-2 * percent * n // (100 + percent)) + 1
+                order = np.lexsort((own, counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:asked]
+                place = np.arange(len(order))
+                parts.append((own[order].view(np.int64), np.full(len(order), rep), np.full(len(order), n), n - place, place < held))
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["token", "rep", "n", "left", "indexed"]
+                )
+
+    return map_batches(texts.select("doc_id", "text"), work, "token long, rep long, n long, left long, indexed boolean")
+
+
+def rare_pairs(group: dict[str, np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """Pairs of sets in different components that may still be similar if this is their first shingle in common.
+
+    From that shingle on there must be enough of either set left. For a set that bounds the sizes of its partners, so
+    only those are looked at.
+    """
+    index = np.flatnonzero(group["indexed"])
+    index = index[np.argsort(group["n"][index], kind="stable")]
+    if not len(index) or group["component"].min() == group["component"].max():
+        return
+    sizes, n, left = group["n"][index], group["n"], group["left"]
+    low = np.searchsorted(sizes, -(-percent * n // 100), "left")
+    high = np.searchsorted(sizes, np.minimum(n, left * (100 + percent) // percent - n), "right")
+    found = np.maximum(high - low, 0)
+    edges = np.cumsum(found)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + SLAB, "right")))
+        x = np.repeat(np.arange(at, stop), found[at:stop])
+        ends = np.cumsum(found[at:stop])
+        y = index[np.repeat(low[at:stop], found[at:stop]) + np.arange(len(x)) - np.repeat(ends - found[at:stop], found[at:stop])]
+        keep = (left[y] * (100 + percent) >= percent * (n[x] + n[y])) & (group["component"][x] != group["component"][y])
+        x, y = group["rep"][x[keep]], group["rep"][y[keep]]
+        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        at = stop
+
+
+def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``(token, rep, n, left, indexed, component)`` that may be similar, each once."""
+    names = ["token", "rep", "n", "left", "indexed", "component"]
 
-    return map_batches(members.select("rep", "fine"), work, "key long, rep long")
+    def work(batches):
+        held: list[dict[str, np.ndarray]] = []
+
+        def settle():
+            group = {c: np.concatenate([h[c] for h in held]) for c in names}
+            held.clear()
+            for pairs in rare_pairs(group, percent):
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+            starts = [0, *(np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1), batch.num_rows]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if held and held[-1]["token"][-1] != rows["token"][a]:
+                    yield from settle()
+                held.append({c: column[a:b] for c, column in rows.items()})
+        if held:
+            yield from settle()
+
+    grouped = rows.select(*names).repartition("token").sortWithinPartitions("token")
+    return map_batches(grouped, work, "a long, b long").distinct()
 
 
 def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
@@ -256,7 +323,7 @@ def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts.select("doc_id", "text"), work, "rep long, fine binary")
 
 
-def cross_pairs(unsettled: DataFrame, target: float, banded: bool) -> DataFrame:
+def cross_pairs(unsettled: DataFrame, target: float) -> DataFrame:
     """Near pairs of texts of a bucket that are in different components.
 
     ``unsettled`` has ``key, rep, component, n, registers, fine``, and no more than ``BLOCK`` rows a key.
@@ -269,7 +336,7 @@ def cross_pairs(unsettled: DataFrame, target: float, banded: bool) -> DataFrame:
         def settle():
             group = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held.clear()
-            pairs = compared(group, target, banded)
+            pairs = compared(group, target)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -342,27 +409,23 @@ def near_duplicates(
     buckets = buckets.select("key", "rep")
     tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
     links = cut_lineage(verified(tried, texts, words, percent), "links")
-    width = 0
-    while True:
-        labelled = cut_lineage(with_component(buckets, links), "labelled")
-        open_keys = labelled.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
-        )
-        unsettled = cut_lineage(labelled.join(open_keys.filter("low < high").select("key", "size"), "key"), "unsettled")
-        asked = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        fine = cut_lineage(fine_sketches(asked, words), "fine")
-        small, large = unsettled.filter(F.col("size") <= BLOCK), unsettled.filter(F.col("size") > BLOCK)
-        members = small.join(classes.select("rep", "n", "registers").join(fine, "rep"), "rep")
-        crossing = cross_pairs(members, percent / 100, not width).join(tried, ["a", "b"], "left_anti")
-        more = verified(crossing, texts, words, percent)
-        links = cut_lineage(links.unionByName(more), "links")
-        if large.isEmpty():
-            break
-        width += WIDER
-        again = large.select("rep").distinct().join(fine, "rep")
-        buckets = cut_lineage(dealt_anew(again, width), "buckets")
-        tried = cut_lineage(near(star(buckets), classes, threshold), "stars")
-        links = cut_lineage(links.unionByName(verified(tried, texts, words, percent)), "links")
+    labelled = cut_lineage(with_component(buckets, links), "labelled")
+    open_keys = labelled.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    unsettled = cut_lineage(labelled.join(open_keys.filter("low < high").select("key", "size"), "key"), "unsettled")
+    small = unsettled.filter(F.col("size") <= BLOCK)
+    asked = texts.join(small.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = small.join(classes.select("rep", "n", "registers").join(fine_sketches(asked, words), "rep"), "rep")
+    crossing = cut_lineage(cross_pairs(members, percent / 100), "crossing")
+    crowd = cut_lineage(unsettled.filter(F.col("size") > BLOCK).select("rep", "component").distinct(), "crowd")
+    if not crowd.isEmpty():
+        crowded = cut_lineage(texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "crowded")
+        rare = rare_shingles(crowded, words, percent, shingle_counts(crowded, words)).join(crowd, "rep")
+        met = cut_lineage(met_by_rare_shingles(rare, percent).join(tried, ["a", "b"], "left_anti"), "met")
+        crossing = crossing.unionByName(near(met, classes, threshold)).distinct()
+    more = cut_lineage(verified(crossing.join(tried, ["a", "b"], "left_anti"), texts, words, percent), "links")
+    links = links.unionByName(more)
     groups = components(links, "a", "b").withColumnRenamed("node", "rep")
     named = groups.join(classes.select("rep", F.col("least.doc_id").alias("first")), "rep")
     named = named.join(named.groupBy("component").agg(F.min("first").alias("name")), "component").select("rep", "name")

@@ -55,11 +55,31 @@ def test_buckets_of_several_blocks(spark, monkeypatch, kept):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_by_hand(docs)
 
 
-def test_bands_of_a_deal_find_pairs_at_the_threshold():
-    for width in (8, 16):
-        chosen = setsketch.subsets(width)
-        assert chosen.shape[1] == width and chosen.max() < setsketch.FINE_REGISTERS
-        assert len(chosen) * 0.8**width >= setsketch.SURE * 0.99
+def test_rare_shingles_find_every_similar_pair():
+    """The pairs that first meet at some rare shingle hold all similar ones, whatever the order of the shingles."""
+    draw = np.random.default_rng(3)
+    for percent in (80, 90):
+        sets = [np.unique(draw.choice(60, draw.integers(1, 50), replace=False)) for _ in range(60)]
+        sets += [np.setdiff1d(s, s[: len(s) // 9]) for s in sets[:30] if len(s) > 2]
+        rows = []
+        for rep, own in enumerate(sets):
+            n = len(own)
+            asked, held = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+            rows += [(t, rep, n, n - k, k < held, rep) for k, t in enumerate((own * 37 % 61).argsort()[:asked].tolist())]
+            rows[-asked:] = [(int(own[t]), *r) for t, *r in rows[-asked:]]
+        met = set()
+        for token in range(60):
+            own = [r for r in rows if r[0] == token]
+            if own:
+                group = dict(zip(("token", "rep", "n", "left", "indexed", "component"), map(np.array, zip(*own))))
+                met |= {tuple(p) for pairs in setsketch.rare_pairs(group, percent) for p in pairs.tolist()}
+        similar = set()
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    similar.add((a, b))
+        assert similar and similar <= met and len(met) < 0.7 * len(sets) ** 2 / 2
 
 
 def test_archives_of_repeated_ids(spark):
