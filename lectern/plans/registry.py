@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from functools import wraps
 
-from lectern.plans import article_queries, chat_queries, search_queries, state_queries, stream_queries, text_queries
+from lectern.plans import (
+    article_queries,
+    chat_queries,
+    search_queries,
+    state_queries,
+    store_queries,
+    stream_queries,
+    text_queries,
+)
 from lectern.session import ship_package
 
-MODULES = [text_queries, search_queries, article_queries, state_queries, chat_queries, stream_queries]
+MODULES = [text_queries, store_queries, search_queries, article_queries, state_queries, chat_queries, stream_queries]
 
 
 def in_utc(query):

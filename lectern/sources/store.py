@@ -9,7 +9,8 @@ that ends before is in no manifest. Places of earlier versions stay, so readers
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from types import MappingProxyType
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -78,7 +79,7 @@ def changed(listed: DataFrame, known: DataFrame) -> DataFrame:
     return joined.filter(~same).select("path", "digest", "document_title")
 
 
-def pages_of(files: DataFrame, page_reader: Callable[[bytes], list[str | None]]) -> DataFrame:
+def pages_of(files: DataFrame, page_reader: Callable[[bytes], list[str | None]], boilerplate: Mapping) -> DataFrame:
     """Cleaned pages of ``(path, document_title, content)``; a file is read where it lies."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def pages_of(files: DataFrame, page_reader: Callable[[bytes], list[str | None]])
                 )
 
     pages = files.select("path", "document_title", "content").mapInPandas(work, PAGE)
-    return pages.withColumn("text", clean_text("text"))
+    return pages.withColumn("text", clean_text("text", **boilerplate))
 
 
 def ingest(
@@ -101,6 +102,7 @@ def ingest(
     buckets: int = BUCKETS,
     cap: int = vocab.CHUNK_CHARS,
     pattern: str = vocab.HEADING_PATTERN,
+    boilerplate: Mapping = MappingProxyType({}),
     **skip_rules,
 ) -> int:
     """Bring the store up to the files ``(path, content)``; the version that readers see then.
@@ -118,7 +120,7 @@ def ingest(
         return version
     version += 1
     content = files.join(todo.select("path", "document_title"), "path")
-    pages = cut_lineage(pages_of(content, page_reader), "pages")
+    pages = cut_lineage(pages_of(content, page_reader, boilerplate), "pages")
     chunks = chunking.chunk_pages(pages.withColumnRenamed("path", "source_path"), cap, pattern, **skip_rules)
     empty = F.lit(None).cast("array<float>")
     chunks = chunks.withColumn("embedding", empty)
