@@ -62,7 +62,9 @@ def ask(
     rows = evidence_rows(judged, retrieved, chunks)
     row = F.struct("rank", "chunk_id", *EVIDENCE, "heading")
     gathered = rows.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(row)).alias("evidence"), F.bool_or("strong").alias("strong")
+        F.array_sort(F.collect_list(row)).alias("evidence"),
+        # Evidence that nothing has judged is taken for strong.
+        F.coalesce(F.bool_or("strong"), F.lit(True)).alias("strong"),
     )
     best = F.get("evidence", 0)
     headings = F.array_distinct(F.array_compact(F.transform("evidence", lambda e: F.nullif(e["heading"], F.lit("")))))

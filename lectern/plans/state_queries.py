@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import vocab
 from lectern.functions import dates
 from lectern.functions import text as tx
-from lectern.operators import answers, articles, evaluation, race, routing, rules, search, sessions, vectors
+from lectern.operators import answers, articles, evaluation, questions, race, routing, rules, search, sessions, vectors
 from lectern.plans import fixtures as fx
 from lectern.plans import search_queries as sq
 from lectern.plans.text_queries import WS
@@ -476,6 +476,47 @@ SELECT session_id, context,
 FROM f"""
 
 
+def context_memory(spark, root):
+    """Request context of each conversation from what is remembered of its owner and its newest turns, and what is routed."""
+    best = search.ranked(_memories(spark, root), "owner_id", [F.desc("updated_at"), F.asc("memory_id")], 3, "place")
+    known = best.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("m"))
+    line = F.concat(sessions.speaker("role"), F.lit(": "), F.col("message"))
+    newest = sessions.recent_turns(_turns(spark, root), 2)
+    lines = newest.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
+    rows = lines.withColumn("owner_id", F.col("session_id") % 7).join(known, "owner_id", "left")
+    remembered = F.coalesce(F.transform("m", lambda x: x["content"]), F.array().cast("array<string>"))
+    message = F.lit("and then?")
+    context = sessions.render_context(message, None, remembered, F.transform("l", lambda x: x["line"]))
+    return rows.select("session_id", context.alias("context")).withColumn(
+        "routed", sessions.effective_message(message, "context", F.lit(False))
+    )
+
+
+CONTEXT_MEMORY_SQL = rf"""
+WITH {MEMORY_SQL},
+m AS (
+  SELECT owner_id, 'Long-term memory:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY n) || chr(10) || chr(10) AS listed
+  FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY updated_at DESC, memory_id) AS n FROM memories) WHERE n <= 3 GROUP BY 1
+),
+l AS (
+  SELECT conv_id AS session_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) AS recent
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 2 GROUP BY 1
+)
+SELECT session_id, coalesce(listed, '') || 'Recent turns:' || chr(10) || recent || chr(10) || chr(10) || 'Current user message:' || chr(10) || 'User: and then?' AS context,
+       CASE WHEN listed IS NOT NULL THEN listed || 'Current user message:' || chr(10) || 'User: and then?' ELSE 'and then?' END AS routed
+FROM l LEFT JOIN m ON m.owner_id = session_id % 7"""
+
+
+def rewrite_gate(spark, root):
+    """Messages that hold CJK characters, which alone are rewritten."""
+    return _messages(spark, root).select("c_custkey", questions.needs_rewrite("message").alias("rewritten"))
+
+
+REWRITE_GATE_SQL = rf"""
+WITH {MESSAGES_SQL}
+SELECT c_custkey, regexp_matches(message, '[\x{{4e00}}-\x{{9fff}}]') AS rewritten FROM messages"""
+
+
 def intent_route(spark, root):
     fallback = F.expr("CASE session_id % 3 WHEN 0 THEN 'race' WHEN 1 THEN 'news' END")
     return _turns(spark, root).select(
@@ -885,6 +926,8 @@ QUERIES = {
     "memory_extract": memory_extract,
     "memory_topk": memory_topk,
     "context_render": context_render,
+    "context_memory": context_memory,
+    "rewrite_gate": rewrite_gate,
     "intent_route": intent_route,
     "race_subroute": race_subroute,
     "guard_flags": guard_flags,
@@ -922,6 +965,8 @@ ORACLES = {
     "memory_extract": MEMORY_EXTRACT_SQL,
     "memory_topk": MEMORY_TOPK_SQL,
     "context_render": CONTEXT_SQL,
+    "context_memory": CONTEXT_MEMORY_SQL,
+    "rewrite_gate": REWRITE_GATE_SQL,
     "intent_route": INTENT_SQL,
     "race_subroute": SUBROUTE_SQL,
     "guard_flags": GUARD_SQL,
