@@ -128,7 +128,7 @@ def _season(table: DataFrame) -> Column:
 
 def _of_season(table: DataFrame, requests: DataFrame) -> DataFrame:
     """The requests with the season that they ask for, or the newest one of the table."""
-    newest = table.select(F.max(_season(table))).scalar()
+    newest = table.select(F.max("season").cast("string")).scalar() if "season" in table.columns else F.lit("")
     return requests.withColumn("_season", F.coalesce(F.col("params")["season"], newest))
 
 
