@@ -161,13 +161,13 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("rep", "registers"), work, "key long, rep long")
 
 
-def near(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` whose estimate reaches the threshold."""
+def near(pairs: DataFrame, classes: DataFrame, threshold: float, width: int = REGISTERS) -> DataFrame:
+    """Pairs ``a, b`` whose estimate reaches the threshold, from sketches of ``width`` registers."""
 
     def work(batches):
         for batch in batches:
             if batch.num_rows:
-                p, q = registers_of(batch.column(2)), registers_of(batch.column(3))
+                p, q = registers_of(batch.column(2), width), registers_of(batch.column(3), width)
                 n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5))
                 keep = likelihood_estimate(p, q, n, m) >= threshold
                 yield pa.RecordBatch.from_arrays(
@@ -275,13 +275,18 @@ def rare_pairs(group: dict[str, np.ndarray], percent: int) -> Iterator[np.ndarra
         ends = np.cumsum(found[at:stop])
         y = index[np.repeat(low[at:stop], found[at:stop]) + np.arange(len(x)) - np.repeat(ends - found[at:stop], found[at:stop])]
         keep = (left[y] * (100 + percent) >= percent * (n[x] + n[y])) & (group["component"][x] != group["component"][y])
-        x, y = group["rep"][x[keep]], group["rep"][y[keep]]
-        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        x, y = x[keep], y[keep]
+        later = group["rep"][x] > group["rep"][y]
+        x, y = np.where(later, y, x), np.where(later, x, y)
+        yield np.unique(np.stack([group[c][z] for c in ("rep", "component") for z in (x, y)], axis=1), axis=0)
         at = stop
 
 
 def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of ``(token, rep, n, left, indexed, component)`` that may be similar, each once."""
+    """Pairs ``a, b, of_a, of_b`` of ``(token, rep, n, left, indexed, component)`` that may be similar, each once.
+
+    ``of_a`` and ``of_b`` are their components.
+    """
     names = ["token", "rep", "n", "left", "indexed", "component"]
 
     def work(batches):
@@ -292,7 +297,9 @@ def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
             held.clear()
             for pairs in rare_pairs(group, percent):
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "of_a", "of_b"]
+                    )
 
         for batch in batches:
             if not batch.num_rows:
@@ -307,7 +314,14 @@ def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
             yield from settle()
 
     grouped = rows.select(*names).repartition("token").sortWithinPartitions("token")
-    return map_batches(grouped, work, "a long, b long").distinct()
+    return map_batches(grouped, work, "a long, b long, of_a long, of_b long").distinct()
+
+
+def one_a_component(pairs: DataFrame) -> DataFrame:
+    """Of the pairs ``a, b, of_a, of_b`` one for each text and component that it may be linked with."""
+    left = pairs.groupBy("a", "of_b").agg(F.min("b").alias("b")).select("a", "b")
+    right = pairs.groupBy("b", "of_a").agg(F.min("a").alias("a")).select("a", "b")
+    return left.unionByName(right).distinct()
 
 
 def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
@@ -423,7 +437,17 @@ def near_duplicates(
         crowded = cut_lineage(texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "crowded")
         rare = rare_shingles(crowded, words, percent, shingle_counts(crowded, words)).join(crowd, "rep")
         met = cut_lineage(met_by_rare_shingles(rare, percent).join(tried, ["a", "b"], "left_anti"), "met")
-        crossing = crossing.unionByName(near(met, classes, threshold)).distinct()
+        finer = classes.select("rep", "n").join(fine_sketches(crowded, words).withColumnRenamed("fine", "registers"), "rep")
+        close = near(met, finer, percent / 100 - FINE_SLACK, FINE_REGISTERS)
+        close = cut_lineage(met.join(close, ["a", "b"]), "close")
+        # One link joins a text to a component; pairs that are in one component by then need no look at their sets.
+        some = cut_lineage(one_a_component(close), "some")
+        links = links.unionByName(cut_lineage(verified(some, texts, words, percent), "links"))
+        groups = components(links, "a", "b")
+        top = {end: groups.select(F.col("node").alias(f"of_{end}"), F.col("component").alias(f"top_{end}")) for end in "ab"}
+        rest = close.join(some, ["a", "b"], "left_anti").join(top["a"], "of_a", "left").join(top["b"], "of_b", "left")
+        apart = F.coalesce("top_a", "of_a") != F.coalesce("top_b", "of_b")
+        crossing = crossing.unionByName(rest.filter(apart).select("a", "b")).distinct()
     more = cut_lineage(verified(crossing.join(tried, ["a", "b"], "left_anti"), texts, words, percent), "links")
     links = links.unionByName(more)
     groups = components(links, "a", "b").withColumnRenamed("node", "rep")
