@@ -177,6 +177,20 @@ def test_article_batches_that_run_again_change_nothing(spark, folder):
         assert [(r.id, r.source_article_id, r.title) for r in rows] == [(1, "a", "new"), (3, "b", "old")]
 
 
+def test_articles_of_one_url_are_told_apart_by_their_address(spark):
+    rows = [(i, "s", f"a{i}", "old", None, None, "u", None, None, [], None, None, False) for i in (1, 2)]
+    stored = spark.createDataFrame(rows, ARTICLE).withColumn("address", F.concat_ws("#", "article_url", "id"))
+    incoming = stored.drop("id", "fetched_at", "is_deleted").withColumns(
+        {"source_article_id": F.lit(None).cast("string"), "title": F.concat(F.lit("by "), "address")}
+    )
+    old = incoming.withColumn("arrival", F.expr("CAST(substring_index(address, '#', -1) AS BIGINT)"))
+    new = old.withColumns({"arrival": F.col("arrival") + 2, "address": F.concat(F.lit("new "), "address"), "article_url": F.lit("n")})
+    merged = merge.upsert_articles(stored, old.unionByName(new), F.timestamp_seconds(F.lit(0)), "address")
+    assert sorted((r.source_article_id or "", r.article_url, r.title) for r in merged.collect()) == [
+        ("", "n", "by u#1"), ("", "n", "by u#2"), ("a1", "u", "by u#1"), ("a2", "u", "by u#2")
+    ]
+
+
 PAGE = """<html><head><meta name="description" content=" A  summary "><meta property="article:tag" content="One">
 <meta property="article:tag" content="One"><meta property="og:author" content="Ann"></head>
 <body><main><h1>Headline of this long page</h1>A summary<p>byline is skipped here too</p><p>First paragraph of the body text.</p>
