@@ -191,6 +191,15 @@ def test_articles_of_one_url_are_told_apart_by_their_address(spark):
     ]
 
 
+def test_backfill_by_id_keeps_one_row_an_article(spark):
+    rows = [(i, "s", f"a{i}", "t", None, None, "u", None, None, [], None, None, False) for i in (1, 2)]
+    details = spark.createDataFrame(
+        [(i, None, f"body {i}", None, []) for i in (1, 2)], "id long, summary string, content string, author string, tags array<string>"
+    )
+    filled = merge.backfill(spark.createDataFrame(rows, ARTICLE), details, "id")
+    assert sorted((r.id, r.content) for r in filled.collect()) == [(1, "body 1"), (2, "body 2")]
+
+
 PAGE = """<html><head><meta name="description" content=" A  summary "><meta property="article:tag" content="One">
 <meta property="article:tag" content="One"><meta property="og:author" content="Ann"></head>
 <body><main><h1>Headline of this long page</h1>A summary<p>byline is skipped here too</p><p>First paragraph of the body text.</p>
