@@ -200,6 +200,13 @@ def test_backfill_by_id_keeps_one_row_an_article(spark):
     assert sorted((r.id, r.content) for r in filled.collect()) == [(1, "body 1"), (2, "body 2")]
 
 
+def test_only_references_with_a_semicolon_are_decoded():
+    body = "<article><h1>cut &amp;&amp &#38 &ampfoo; &copy;</h1><script>x &amp y</script></article>"
+    assert html.page_detail(body)["content"] == "cut &&amp &#38 &ampfoo; ©"
+    linked = '<script type="application/ld+json">{"@type": "NewsArticle", "description": "R&D &amp"}</script>'
+    assert html.page_detail(linked)["summary"] == "R&D &amp"
+
+
 PAGE = """<html><head><meta name="description" content=" A  summary "><meta property="article:tag" content="One">
 <meta property="article:tag" content="One"><meta property="og:author" content="Ann"></head>
 <body><main><h1>Headline of this long page</h1>A summary<p>byline is skipped here too</p><p>First paragraph of the body text.</p>
