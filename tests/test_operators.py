@@ -200,6 +200,18 @@ def test_backfill_by_id_keeps_one_row_an_article(spark):
     assert sorted((r.id, r.content) for r in filled.collect()) == [(1, "body 1"), (2, "body 2")]
 
 
+def test_streamed_articles_of_one_url_stay_apart(spark, folder):
+    stored = spark.createDataFrame([(1, "s", "a", "t", None, None, "u", None, None, [], None, None, False)], ARTICLE)
+    stored = stored.withColumn("address", F.lit("u#1"))
+    path = ingest.versions(folder)
+    stored.write.parquet(path(0))
+    merge_batch = ingest.article_merger(folder, lambda: F.timestamp_seconds(F.lit(0)), "address")
+    batch = stored.drop("id", "fetched_at", "is_deleted").withColumn("arrival", F.lit(2).cast("long"))
+    for number, key in enumerate(("b", "c")):
+        merge_batch(batch.withColumns({"source_article_id": F.lit(key), "address": F.lit(f"u#{key}")}), number)
+    assert sorted(r.source_article_id for r in spark.read.parquet(path(2)).collect()) == ["a", "b", "c"]
+
+
 def test_only_references_with_a_semicolon_are_decoded():
     body = "<article><h1>cut &amp;&amp &#38 &ampfoo; &copy;</h1><script>x &amp y</script></article>"
     assert html.page_detail(body)["content"] == "cut &&amp &#38 &ampfoo; ©"
