@@ -44,9 +44,9 @@ def fold_turn(
             f"{'User' if r == 'user' else 'Assistant'}: {' '.join(m.split())}"
             for r, m in zip(roles[:excess], messages[:excess])
         ]
-        text = "\n".join(filter(None, [summary.strip() if summary else None, *folded]))
+        text = "\n".join(filter(None, [summary, *folded]))
         chars = max(limits["summary_tokens"] * 4, 200)
-        summary = text if len(text) <= chars else text[-chars:].lstrip()
+        summary = text if len(text) <= chars else text[-chars:].lstrip(" ")
     return roles[excess:], messages[excess:], summary, compacted + excess
 
 

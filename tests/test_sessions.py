@@ -86,6 +86,13 @@ def test_a_cut_between_two_lines_leaves_the_break(spark):
     assert compact_history(turns, **FOLD).first().summary == "\nUser: " + "b" * 393
 
 
+def test_streamed_summaries_leave_the_break():
+    state = ([], [], None, 0)
+    for _, _, role, message in CUT:
+        state = sessions.fold_turn(state, role, message, FOLD)
+    assert state[2] == "\nUser: " + "b" * 393
+
+
 def test_contexts_take_summaries_as_they_are(spark):
     rows = spark.createDataFrame([("\nUser: x ", "\t" + "y" * 750)], "summary string, long string")
     context = rows.select(render_context(F.lit("m"), "summary").alias("c"), fit_budget("long", 1).alias("f")).first()
