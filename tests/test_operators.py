@@ -365,3 +365,31 @@ def test_bad_numbers_spoil_one_value_only(spark):
     race_json = '{"MRData":{"RaceTable":{"Races":[{"season":"2026","round":"%s","raceName":"R"}]}}}'
     docs = spark.createDataFrame([(1, race_json % "x"), (2, race_json % "7")], "id long, body string")
     assert [r.round_number for r in race.parse_calendar(docs, "body", ["id"]).orderBy("id").collect()] == [None, 7]
+
+
+def test_pairs_score_as_their_rows_do(spark):
+    corpus = spark.createDataFrame([*CHUNKS, (5, 5, None, None, None, None)], CHUNK_SCHEMA)
+    asked = [
+        (1, ["red flag", "plank"], ["plank", "required", "b3", "release"], ["Section B"]),
+        (2, [], ["c1"], ["Section C"]),
+        (3, ["absent"], ["absent"], ["Section A"]),
+    ]
+    parsed = spark.createDataFrame(asked, "query_id long, phrases array<string>, keywords array<string>, sections array<string>")
+    pairs = corpus.select("chunk_id", F.lit(0.5).alias("hybrid"), F.col("ord").alias("hybrid_rank")).crossJoin(parsed.select("query_id"))
+    found = retrieval.scored_pairs(pairs, corpus, parsed)
+    score = retrieval.score_chunk("content", "document_title", "article", F.col("phrases"), F.col("keywords"), F.col("sections"))
+    rows = corpus.crossJoin(parsed).select("query_id", "chunk_id", search.phrase_matches("content", F.col("phrases")).alias("p"), score.alias("s"))
+    expected = sorted(tuple(r) for r in rows.collect())
+    assert sorted((r.query_id, r.chunk_id, r.phrase_matches, r.heuristic) for r in found.collect()) == expected
+
+
+def test_rows_of_a_question_are_cut_as_a_full_order_cuts_them():
+    rng = np.random.default_rng(3)
+    best, rows = search.Best(7, 3), []
+    for chunk in range(900):
+        score, preferred = rng.integers(0, 6, 7).astype(float), rng.random(7) < 0.1
+        best.add(900 - chunk, chunk, dict.fromkeys(search.EVIDENCE[1:], score) | {"preferred": preferred})
+        rows += [(q, not preferred[q], -score[q], 900 - chunk) for q in range(7) if score[q] > 0]
+    question, _, order, *_ = best.taken()
+    expected = [(r[0], r[3]) for q in range(7) for r in sorted(r for r in rows if r[0] == q)[:3]]
+    assert list(zip(question.tolist(), order.tolist())) == expected
