@@ -17,6 +17,9 @@ from lectern.session import ship_package
 
 MODULES = [text_queries, store_queries, search_queries, article_queries, state_queries, chat_queries, stream_queries]
 
+#: Rows that a Python worker holds of its input at once: whole texts, and what is derived from them.
+BATCH_ROWS = "2048"
+
 
 def in_utc(query):
     """Times of the tables carry no zone; the queries and their SQL read them as UTC."""
@@ -24,6 +27,7 @@ def in_utc(query):
     @wraps(query)
     def run(spark, root):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         ship_package(spark)
         return query(spark, root)
 

@@ -393,3 +393,11 @@ def test_rows_of_a_question_are_cut_as_a_full_order_cuts_them():
     question, _, order, *_ = best.taken()
     expected = [(r[0], r[3]) for q in range(7) for r in sorted(r for r in rows if r[0] == q)[:3]]
     assert list(zip(question.tolist(), order.tolist())) == expected
+
+
+def test_postings_leave_a_task_some_at_a_time():
+    import pandas as pd
+
+    tokens = [[f"t{i}" for i in range(n, n + 1000)] for n in range(50)]
+    frames = list(search._count_tokens(iter([pd.DataFrame({"chunk_id": range(50), "tokens": tokens})])))
+    assert sum(map(len, frames)) == 50_000 and max(map(len, frames)) <= search.ROWS_OUT + 1000
