@@ -8,6 +8,10 @@ The text of a folded run is that of all its elements, so runs are compared betwe
 merge like the trees they are made of, so every task makes one for each host it meets, and those are merged in two
 steps.
 
+A template node of very many children forgets those that cannot be on most pages, by lossy counting: what is on most
+pages is never forgotten, whatever the order of the pages. The pages of hosts whose templates forgot something are then
+read once more and counted against the nodes that are left, so counts and constant texts are exact there too.
+
 A page is then aligned with its host's template and its nodes take the roles of the nodes they match. Constant text
 goes at any depth, but a block's own text only if the inline elements in it are constant too, and inside article and
 main elements inline ones only with their block. Pages of equal text count as one page, so copies do not make their
@@ -23,6 +27,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -76,7 +81,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WORD = re.compile(r"[a-z]+")
-#: Children of a template node; beyond, those that the fewest pages have are forgotten. A page's own nodes stay.
+#: Children of a template node from which on those that cannot be on most pages are forgotten; the others all stay.
 MOST_CHILDREN = 256
 #: Pages from which a template is believed, and the share of them that a template node needs.
 LEAST_PAGES = 3
@@ -86,7 +91,9 @@ SHARE = 0.6
 #: Calls that a level of a tree takes at most; pages may be nested as deep as they are long.
 FRAMES = 12
 
-#: ``[label, pages, hash of a constant text or None, some pages by their texts, children]``
+#: ``[label, pages, hash of a constant text or None, some pages by their texts, children, before, gone, loose]``: at most
+#: ``before`` more pages had the node and were forgotten, at most ``gone`` pages had any one forgotten child, and
+#: ``loose`` says that an inline child was forgotten.
 Template = list
 
 
@@ -267,7 +274,7 @@ def folded(node: Node, page: int = 0) -> Template:
             children[-1] = merged(children[-1], child, True)
         else:
             children.append(child)
-    node.fold = [node.label, 1, zlib.crc32(" ".join(own).encode()), [page], children]
+    node.fold = [node.label, 1, zlib.crc32(" ".join(own).encode()), [page], children, 0, 0, False]
     return node.fold
 
 
@@ -280,16 +287,11 @@ def matching(left: list[Template], right: list[Template], known: dict | None = N
     if rows == columns and all(a[0] == b[0] for a, b in zip(left, right)) and len({a[0] for a in left}) == rows:
         return [(i, i) for i in range(rows)]
     known = {} if known is None else known
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    weights = {}
-    for i in range(rows):
-        for j in range(columns):
-            weight = weight_of(left[i], right[j], known)
-            weights[i, j] = weight
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight)
+    weights: dict[tuple[int, int], int] = {}
+    best = heaviest(left, right, known, weights)
     pairs, i, j = [], rows, columns
     while i and j:
-        weight = weights[i - 1, j - 1]
+        weight = weights.get((i - 1, j - 1), 0)
         if weight and best[i][j] == best[i - 1][j - 1] + weight:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
@@ -300,8 +302,29 @@ def matching(left: list[Template], right: list[Template], known: dict | None = N
     return pairs[::-1]
 
 
-def weight_of(a: Template, b: Template, known: dict) -> int:
+def heaviest(left: list[Template], right: list[Template], known: dict, weights: dict | None = None) -> list[list[int]]:
+    """Weights of the heaviest alignments of the beginnings of two sequences of siblings, those of like labels looked at."""
+    places: dict[str, list[int]] = {}
+    for j, node in enumerate(right):
+        places.setdefault(node[0], []).append(j)
+    best = [[0] * (len(right) + 1)]
+    for i, node in enumerate(left):
+        above = best[-1]
+        if node[0] in places:
+            row = above[:]
+            for j in places[node[0]]:
+                weight = weight_of(node, right[j], known)
+                row[j + 1] = max(row[j + 1], above[j] + weight)
+                if weights is not None:
+                    weights[i, j] = weight
+            above = list(accumulate(row, max))
+        best.append(above)
+    return best
+
+
+def weight_of(a: Template, b: Template, known: dict | None = None) -> int:
     """Nodes that two trees have in common; roots of unlike labels have none."""
+    known = {} if known is None else known
     if a[0] != b[0]:
         return 0
     if not a[4] or not b[4]:
@@ -312,17 +335,14 @@ def weight_of(a: Template, b: Template, known: dict) -> int:
         if [c[0] for c in a[4]] == [c[0] for c in b[4]] and not any(c[4] for c in a[4]):
             weight = 1 + len(a[4])
         else:
-            best = [0] * (len(b[4]) + 1)
-            for x in a[4]:
-                above = best[:]
-                for j, y in enumerate(b[4]):
-                    best[j + 1] = max(above[j + 1], best[j], above[j] + weight_of(x, y, known))
-            weight = 1 + best[-1]
+            weight = 1 + heaviest(a[4], b[4], known)[-1][-1]
         known[pair] = weight
     return weight
 
 
-def merged(a: Template, b: Template, siblings: bool = False, known: dict | None = None) -> Template:
+def merged(
+    a: Template, b: Template, siblings: bool = False, known: dict | None = None, depth: int = 0
+) -> Template:
     """Two aligned templates as one: those of different pages, or of like siblings of one page."""
     known = {} if known is None else known
     if siblings:
@@ -334,14 +354,36 @@ def merged(a: Template, b: Template, siblings: bool = False, known: dict | None
     pairs = matching(a[4], b[4], known)
     children, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[4]), len(b[4]))]:
-        children += a[4][i:x] + b[4][j:y]
+        children += missed_by(a[4][i:x], b[6]) + missed_by(b[4][j:y], a[6])
         if x < len(a[4]):
-            children.append(merged(a[4][x], b[4][y], siblings, known))
+            children.append(merged(a[4][x], b[4][y], siblings, known, depth + 1))
         i, j = x + 1, y + 1
+    both = [a[0], pages, text, some, children, a[5] + b[5], a[6] + b[6], a[7] or b[7]]
     if not siblings and len(children) > MOST_CHILDREN:
-        frequent = sorted(range(len(children)), key=lambda k: (-children[k][1], k))[:MOST_CHILDREN]
-        children = [children[k] for k in sorted(frequent)]
-    return [a[0], pages, text, some, children]
+        forget(both, depth)
+    return both
+
+
+def missed_by(children: list[Template], gone: int) -> list[Template]:
+    """Children that another template has not, whose pages may have had them before it forgot them."""
+    return [[*child[:5], child[5] + gone, *child[6:]] for child in children] if gone else children
+
+
+def forget(node: Template, depth: int) -> None:
+    """Forget the children that had too few of the node's pages so far, at most ``SHARE / ((depth + 1) * (depth + 2))``.
+
+    These shares sum up to less than ``SHARE`` from the root down, so a node that is on as many pages is in the end
+    still there. No more children stay than so many pages have at a time.
+    """
+    least = SHARE * node[1] / ((depth + 1) * (depth + 2))
+    kept = []
+    for child in node[4]:
+        if child[1] + child[5] > least:
+            kept.append(child)
+        else:
+            node[6] = max(node[6], child[1] + child[5])
+            node[7] = node[7] or tag_of(child[0]) not in BLOCK
+    node[4] = kept
 
 
 def packed(template: Template) -> str:
@@ -350,14 +392,14 @@ def packed(template: Template) -> str:
     while waiting:
         node, parent = waiting.pop()
         waiting += [(child, len(nodes)) for child in reversed(node[4])]
-        nodes.append([parent, *node[:4]])
+        nodes.append([parent, *node[:4], *node[5:]])
     return json.dumps(nodes)
 
 
 def unpacked(raw: str) -> Template:
     nodes: list[Template] = []
     for parent, *own in json.loads(raw):
-        nodes.append([*own, []])
+        nodes.append([*own[:4], [], *own[4:]])
         if parent >= 0:
             nodes[parent][4].append(nodes[-1])
     if len(nodes) * FRAMES > sys.getrecursionlimit():
@@ -414,16 +456,124 @@ def induce(pages: DataFrame) -> DataFrame:
     def again(part: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, Template] = {}
         grouped(((h, unpacked(t)) for h, t in zip(part["host"], part["template"])), known)
-        rows = [(int(part["task"].min()), h, packed(t)) for h, t in known.items()]
-        return pd.DataFrame(rows, columns=["task", "host", "template"])
+        rows = [(int(part["task"].min()), h, packed(t), has_gaps(t)) for h, t in known.items()]
+        return pd.DataFrame(rows, columns=["task", "host", "template", "gaps"])
 
-    schema = "task int, host string, template string"
-    partial = cut_lineage(map_batches(pages.select("host", "html"), first, schema), "templates")
+    schema = "task int, host string, template string, gaps boolean"
+    partial = map_batches(pages.select("host", "html"), first, "task int, host string, template string")
+    partial = cut_lineage(partial, "templates")
     tasks = partial.agg(F.max("task").alias("n")).first()["n"] or 0
     width = max(1, round((tasks + 1) ** 0.5))
     some = partial.groupBy("host", F.floor(F.col("task") / width)).applyInPandas(again, schema)
     whole = some.groupBy("host").applyInPandas(again, schema)
-    return cut_lineage(whole.select("host", "template"), "templates")
+    known = cut_lineage(whole.select("host", "template", "gaps"), "templates")
+    if known.filter("gaps").isEmpty():
+        return known.select("host", "template")
+    counted = recounted(pages.join(known.filter("gaps"), "host").select("host", "html", "template"))
+    return known.filter("not gaps").select("host", "template").unionByName(cut_lineage(counted, "templates"))
+
+
+def has_gaps(template: Template) -> bool:
+    """Whether a template forgot something."""
+    waiting = [template]
+    while waiting:
+        node = waiting.pop()
+        if node[6]:
+            return True
+        waiting += node[4]
+    return False
+
+
+def count_page(page: Node, template: Template, key: int) -> None:
+    """Add a page to the counts of the template nodes that match its nodes."""
+    waiting = [(folded(page, key), template)]
+    while waiting:
+        own, role = waiting.pop()
+        role[2] = own[2] if not role[1] or role[2] == own[2] else None
+        role[1] += 1
+        if len(role[3]) < LEAST_PAGES and key not in role[3]:
+            role[3].append(key)
+        waiting += [(own[4][i], role[4][j]) for i, j in matching(own[4], role[4])]
+
+
+def recounted(pages: DataFrame) -> DataFrame:
+    """``host, template`` of ``host, html, template`` rows: the nodes of the templates with the counts of all pages.
+
+    Counts of tasks meet node by node, so no task holds more than one page and the templates of the hosts it meets.
+    """
+    schema = "host string, node int, nodes string, pages long, same long, text long, some array<long>"
+    names = ["host", "node", "nodes", "pages", "same", "text", "some"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def work(batches):
+        held: dict[str, tuple[str, Template]] = {}
+        seen: set[int] = set()
+
+        def out():
+            rows = []
+            for host, (raw, template) in held.items():
+                for k, (_, _, n, text, some, *_) in enumerate(json.loads(packed(template))):
+                    # Where the text differs within the task, it is no text at all.
+                    rows.append((host, k, raw if k == 0 else None, n, int(n > 0 and text is not None), text, some))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
+            for host, source, raw in zip(*(column.to_pylist() for column in batch.columns)):
+                if not source:
+                    continue
+                tree = parse(source)
+                page = page_key(written(tree, set()))
+                key = hash((host, page))
+                if key in seen:
+                    continue
+                seen.add(key)
+                if host not in held:
+                    if len(held) > 2000:
+                        yield out()
+                        held.clear(), seen.clear()
+                        seen.add(key)
+                    held[host] = raw, emptied(unpacked(raw))
+                count_page(tree, held[host][1], page)
+        if held:
+            yield out()
+
+    parts = map_batches(pages, work, schema)
+    met = F.col("pages") > 0
+    nodes = parts.groupBy("host", "node").agg(
+        F.max("nodes").alias("nodes"),
+        F.sum("pages").alias("pages"),
+        F.when(
+            F.bool_and(F.when(met, F.col("same") > 0)) & (F.min(F.when(met, F.col("text"))) == F.max(F.when(met, F.col("text")))),
+            F.max("text"),
+        ).alias("text"),
+        F.slice(F.array_distinct(F.flatten(F.collect_list("some"))), 1, LEAST_PAGES).alias("some"),
+    )
+    whole = nodes.groupBy("host").agg(
+        F.max("nodes").alias("nodes"), F.sort_array(F.collect_list(F.struct("node", "pages", "text", "some"))).alias("counts")
+    )
+
+    def join(batches):
+        for batch in batches:
+            rows = []
+            for host, raw, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                nodes = json.loads(raw)
+                for node, own in zip(nodes, counts):
+                    node[2:5] = own["pages"], own["text"], own["some"]
+                rows.append((host, json.dumps(nodes)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["host", "template"])
+
+    return map_batches(whole, join, "host string, template string")
+
+
+def emptied(template: Template) -> Template:
+    """A template without its counts."""
+    waiting = [template]
+    while waiting:
+        node = waiting.pop()
+        node[1:4] = 0, None, []
+        waiting += node[4]
+    return template
 
 
 def tag_of(label: str) -> str:
@@ -474,7 +624,7 @@ def constant_block(template: Template, pages: int) -> bool:
     waiting = [template]
     while waiting:
         node = waiting.pop()
-        if not constant(node, pages):
+        if not constant(node, pages) or node[7]:
             return False
         waiting += [child for child in node[4] if tag_of(child[0]) not in BLOCK]
     return True

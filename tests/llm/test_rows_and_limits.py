@@ -144,3 +144,22 @@ def test_generated_class_names_keep_templates_small():
     template = wrappers.unpacked(wrappers.packed(known["h"]))
     assert wrappers.packed(template) == wrappers.packed(known["h"])
     assert wrappers.extract("<body><h1>Site</h1><div class=c0>own text</div>", template) == "own text"
+
+
+def test_no_constant_node_is_forgotten(spark):
+    """Hundreds of constant blocks of one parent, behind as many that only the first pages have."""
+    constant = "".join(f'<div class="k{k}">line {k}</div>' for k in range(400))
+    rows = []
+    for page in range(30):
+        own = "".join(f'<div class="r{page}x{k}">part {page}.{k}</div>' for k in range(40))
+        shown = constant if page >= 9 else ""
+        rows.append((page, "http://h.org/", f"<body>{own}{shown}<p>End {page}</p></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    for page in range(30):
+        assert found[page] == "\n\n".join([*(f"part {page}.{k}" for k in range(40)), f"End {page}"])
+
+
+def test_weights_without_a_table():
+    leaf = lambda label: [label, 1, 0, [], []]
+    assert wrappers.weight_of(["div", 1, 0, [], [leaf("p"), leaf("ul")]], ["div", 1, 0, [], [leaf("ul")]]) == 2
