@@ -161,6 +161,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     )
 
 
+def judged(clean: DataFrame) -> DataFrame:
+    """Pages, each once, with their digests and what they revisit. Whole pages are dealt once, for both steps."""
+    single = clean.repartition("page_id", "exact").dropDuplicates(["page_id", "url", "exact"])
+    return single.join(revisits(clean), ["page_id", "exact"])
+
+
 def write_archives(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -189,8 +195,7 @@ def write_archives(
         .filter("page_id is not null")
         .withColumn("exact", F.sha2("html", 256))
     )
-    single = clean.dropDuplicates(["page_id", "url", "exact"])
-    rows = single.join(revisits(clean), ["page_id", "exact"]).select("page_id", "url", "html", "second", "digest", "refers_to")
+    rows = judged(clean).select("page_id", "url", "html", "second", "digest", "refers_to")
 
     def write(batches):
         part, runs, archives = TaskContext.get().partitionId(), 0, 0

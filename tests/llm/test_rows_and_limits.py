@@ -163,3 +163,14 @@ def test_no_constant_node_is_forgotten(spark):
 def test_weights_without_a_table():
     leaf = lambda label: [label, 1, 0, [], []]
     assert wrappers.weight_of(["div", 1, 0, [], [leaf("p"), leaf("ul")]], ["div", 1, 0, [], [leaf("ul")]]) == 2
+
+
+def test_whole_pages_are_dealt_once(spark):
+    pages = spark.createDataFrame([(i, "http://h.org/", "x" * i, 0) for i in range(20)], "page_id long, url string, html string, second long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.judged(pages.withColumn("exact", F.sha2("html", 256)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line]
+    assert len(dealt) == 2 and not any("url" in line for line in dealt), plan
