@@ -47,8 +47,11 @@ FINE_SLACK = 0.05
 BLOCK = 512
 #: Counters of shingles, by some bits of their hashes; they only set an order, which may be any.
 COUNTERS = 1 << 16
-#: Pairs that one task looks at at once.
+#: Pairs that one task looks at at once, and those of them whose sketches it compares at once.
 SLAB = 1_000_000
+SOME_PAIRS = 4096
+#: Texts with a rare shingle that one task holds; those of a more frequent one meet in pairs of so large blocks.
+CELL = 2048
 SHINGLE_WORDS = 4
 #: A pair is linked if 100 times its intersection reaches this many times its union.
 PERCENT = 80
@@ -161,13 +164,13 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("rep", "registers"), work, "key long, rep long")
 
 
-def near(pairs: DataFrame, classes: DataFrame, threshold: float, width: int = REGISTERS) -> DataFrame:
-    """Pairs ``a, b`` whose estimate reaches the threshold, from sketches of ``width`` registers."""
+def near(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` whose estimate reaches the threshold."""
 
     def work(batches):
         for batch in batches:
             if batch.num_rows:
-                p, q = registers_of(batch.column(2), width), registers_of(batch.column(3), width)
+                p, q = registers_of(batch.column(2)), registers_of(batch.column(3))
                 n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5))
                 keep = likelihood_estimate(p, q, n, m) >= threshold
                 yield pa.RecordBatch.from_arrays(
@@ -257,7 +260,8 @@ def rare_pairs(group: dict[str, np.ndarray], percent: int) -> Iterator[np.ndarra
     """Pairs of sets in different components that may still be similar if this is their first shingle in common.
 
     From that shingle on there must be enough of either set left. For a set that bounds the sizes of its partners, so
-    only those are looked at.
+    only those are looked at. If the group has sketches, the pairs' estimates reach the threshold; if it has blocks, the
+    pairs are of different ones.
     """
     index = np.flatnonzero(group["indexed"])
     index = index[np.argsort(group["n"][index], kind="stable")]
@@ -275,26 +279,65 @@ def rare_pairs(group: dict[str, np.ndarray], percent: int) -> Iterator[np.ndarra
         ends = np.cumsum(found[at:stop])
         y = index[np.repeat(low[at:stop], found[at:stop]) + np.arange(len(x)) - np.repeat(ends - found[at:stop], found[at:stop])]
         keep = (left[y] * (100 + percent) >= percent * (n[x] + n[y])) & (group["component"][x] != group["component"][y])
+        if "block" in group:
+            keep &= group["block"][x] != group["block"][y]
         x, y = x[keep], y[keep]
+        if "fine" in group:
+            x, y = near_fine(group, x, y, percent / 100)
         later = group["rep"][x] > group["rep"][y]
         x, y = np.where(later, y, x), np.where(later, x, y)
         yield np.unique(np.stack([group[c][z] for c in ("rep", "component") for z in (x, y)], axis=1), axis=0)
         at = stop
 
 
+def near_fine(group: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``x`` and ``y`` whose finer sketches are near the threshold, each once."""
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    near_xy = np.zeros(len(pairs), bool)
+    for at in range(0, len(pairs), SOME_PAIRS):
+        i, j = pairs[at : at + SOME_PAIRS].T
+        p, q = group["fine"][i], group["fine"][j]
+        rough = np.flatnonzero((p == q).sum(axis=1) >= (target - FINE_SLACK - SPARE) * FINE_REGISTERS)
+        if len(rough):
+            n = group["n"].astype(float)
+            likely = likelihood_estimate(p[rough], q[rough], n[i[rough]], n[j[rough]])
+            near_xy[at + rough] = likely >= target - FINE_SLACK
+    return pairs[near_xy, 0], pairs[near_xy, 1]
+
+
+def dealt_shingles(rare: DataFrame, sketched: DataFrame) -> DataFrame:
+    """``(token, rep, n, left, indexed, component)`` of shingles in several components, with ``low, high, block, fine``.
+
+    ``low`` and ``high`` are the blocks of a shingle's texts that meet; ``sketched`` has ``rep, fine``.
+    """
+    shared = rare.groupBy("token").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("indexed").alias("any"), F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    shared = shared.filter("any and first < last").select("token", F.ceil(F.col("rows") / CELL).alias("blocks"))
+    placed = rare.join(shared, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = placed.withColumn("other", other).select(
+        *rare.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block"
+    )
+    return cells.join(sketched, "rep")
+
+
 def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, of_a, of_b`` of ``(token, rep, n, left, indexed, component)`` that may be similar, each once.
+    """Pairs ``a, b, of_a, of_b`` of ``dealt_shingles`` rows that are near the threshold, each once.
 
     ``of_a`` and ``of_b`` are their components.
     """
-    names = ["token", "rep", "n", "left", "indexed", "component"]
+    names = ["token", "low", "high", "block", "rep", "n", "left", "indexed", "component"]
+    cell = names[:3]
 
     def work(batches):
         held: list[dict[str, np.ndarray]] = []
 
         def settle():
-            group = {c: np.concatenate([h[c] for h in held]) for c in names}
+            group = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held.clear()
+            if group["low"][0] == group["high"][0]:
+                del group["block"]
             for pairs in rare_pairs(group, percent):
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays(
@@ -305,15 +348,17 @@ def met_by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
-            starts = [0, *(np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1), batch.num_rows]
+            rows["fine"] = registers_of(batch.column(len(names)), FINE_REGISTERS)
+            changes = np.any([rows[c][1:] != rows[c][:-1] for c in cell], axis=0)
+            starts = [0, *(np.flatnonzero(changes) + 1), batch.num_rows]
             for a, b in zip(starts[:-1], starts[1:]):
-                if held and held[-1]["token"][-1] != rows["token"][a]:
+                if held and any(held[-1][c][-1] != rows[c][a] for c in cell):
                     yield from settle()
                 held.append({c: column[a:b] for c, column in rows.items()})
         if held:
             yield from settle()
 
-    grouped = rows.select(*names).repartition("token").sortWithinPartitions("token")
+    grouped = rows.select(*names, "fine").repartition(*cell).sortWithinPartitions(*cell)
     return map_batches(grouped, work, "a long, b long, of_a long, of_b long").distinct()
 
 
@@ -436,10 +481,8 @@ def near_duplicates(
     if not crowd.isEmpty():
         crowded = cut_lineage(texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "crowded")
         rare = rare_shingles(crowded, words, percent, shingle_counts(crowded, words)).join(crowd, "rep")
-        met = cut_lineage(met_by_rare_shingles(rare, percent).join(tried, ["a", "b"], "left_anti"), "met")
-        finer = classes.select("rep", "n").join(fine_sketches(crowded, words).withColumnRenamed("fine", "registers"), "rep")
-        close = near(met, finer, percent / 100 - FINE_SLACK, FINE_REGISTERS)
-        close = cut_lineage(met.join(close, ["a", "b"]), "close")
+        dealt = dealt_shingles(cut_lineage(rare, "rare"), fine_sketches(crowded, words))
+        close = cut_lineage(met_by_rare_shingles(dealt, percent).join(tried, ["a", "b"], "left_anti"), "close")
         # One link joins a text to a component; pairs that are in one component by then need no look at their sets.
         some = cut_lineage(one_a_component(close), "some")
         links = links.unionByName(cut_lineage(verified(some, texts, words, percent), "links"))

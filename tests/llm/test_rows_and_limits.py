@@ -174,3 +174,25 @@ def test_whole_pages_are_dealt_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line]
     assert len(dealt) == 2 and not any("url" in line for line in dealt), plan
+
+
+@pytest.mark.parametrize("cell", [8, 2048])
+def test_pairs_of_rare_shingles_leave_a_task_estimated(spark, monkeypatch, cell):
+    """Only pairs near the threshold leave the cells of a shingle that all texts have, however it is cut."""
+    monkeypatch.setattr(setsketch, "CELL", cell)
+    draw = np.random.default_rng(5)
+    texts = {}
+    for n in range(60):
+        own = [f"w{i}" for i in range(100)]
+        for at in draw.integers(0, 100, 2 if n < 20 else 6):
+            own[at] = f"x{n}.{at}"
+        texts[n] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), TEXTS)
+    rare = setsketch.rare_shingles(docs, 4, 80, setsketch.shingle_counts(docs, 4)).withColumn("component", F.col("rep"))
+    dealt = setsketch.dealt_shingles(rare, setsketch.fine_sketches(docs, 4))
+    assert max(r["count"] for r in dealt.groupBy("token", "low", "high").count().collect()) <= (60 if cell > 60 else 40)
+    met = {(r["a"], r["b"]) for r in setsketch.met_by_rare_shingles(dealt, 80).collect()}
+    sets = {n: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for n, w in ((n, t.split()) for n, t in texts.items())}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b}
+    assert {pair for pair, x in like.items() if x >= 0.8} <= met
+    assert met and min(like[pair] for pair in met) > 0.65
