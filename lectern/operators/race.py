@@ -115,9 +115,12 @@ def previous_events(events: DataFrame, now: Column, keys: Sequence[str] = (), co
 
 def pick_position(standings: Column, position: Column) -> Column:
     """Entry of a standings array with the position, else the entry at that place."""
-    return F.coalesce(
-        F.get(F.filter(standings, lambda e: e["position"] == position), 0),
-        F.when(position > 0, F.get(standings, (position - 1).cast("int"))),
+    return tx.let(
+        position,
+        lambda p: F.coalesce(
+            F.get(F.filter(standings, lambda e: e["position"] == p), 0),
+            F.when(p > 0, F.get(standings, (p - 1).cast("int"))),
+        ),
     )
 
 

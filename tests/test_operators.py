@@ -401,3 +401,13 @@ def test_postings_leave_a_task_some_at_a_time():
     tokens = [[f"t{i}" for i in range(n, n + 1000)] for n in range(50)]
     frames = list(search._count_tokens(iter([pd.DataFrame({"chunk_id": range(50), "tokens": tokens})])))
     assert sum(map(len, frames)) == 50_000 and max(map(len, frames)) <= search.ROWS_OUT + 1000
+
+
+def test_position_is_read_once_a_row(spark):
+    """The position asked for is not read from the message again for every entry of the standings."""
+    entries = "array(named_struct('position', 2, 'name', 'b'), named_struct('position', 1, 'name', 'a'), null)"
+    rows = spark.sql(f"SELECT message, {entries} AS standings FROM VALUES ('the 1st'), ('the 2nd'), ('the 3rd'), ('the 0th'), ('x') t(message)")
+    picked = rows.select("message", race.pick_position(F.col("standings"), race.requested_position("message"))["name"].alias("name"))
+    assert {r["message"]: r["name"] for r in picked.collect()} == {"the 1st": "a", "the 2nd": "b", "the 3rd": None, "the 0th": None, "x": "a"}
+    plan = picked._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(st|nd|rd|th)") == 1, plan
