@@ -1,9 +1,10 @@
 """A store of chunks that only changes where its files do.
 
-Chunks lie in buckets by document. A manifest names, for each version, the files that were read with their digests, and
-the place of every bucket. Ingestion compares digests, reads new and changed files, rewrites the buckets of their
-documents in places of their own and then writes the manifest, which makes the version visible. What a run leaves behind
-that ends before is in no manifest. Places of earlier versions stay, so readers of those are not disturbed.
+Chunks lie in buckets by document. A manifest names, for each version, the place of every bucket and that of the list of
+files that were read, with their digests. Ingestion compares digests, reads new and changed files, rewrites the buckets of
+their documents and the list in places of their own and then writes the manifest, one small file, which makes the version
+visible. What a run leaves behind that ends before is in no manifest. Places of earlier versions stay, so readers of those
+are not disturbed.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ def manifest(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
             raise
         return 0, spark.createDataFrame([], MANIFEST)
     newest = rows.agg(F.max("version")).first()[0] or 0
-    return newest, rows.filter(F.col("version") == newest).drop("version")
+    named = rows.filter(F.col("version") == newest).drop("version")
+    # The files of older manifests lie in the manifest itself.
+    lists = [r["place"] for r in named.filter("kind = 'files'").select("place").collect()]
+    if lists:
+        named = named.filter("kind <> 'files'").unionByName(spark.read.schema(MANIFEST).parquet(*lists))
+    return newest, named
 
 
 def places(named: DataFrame) -> dict[int, str]:
@@ -152,12 +158,17 @@ def ingest(
         F.lit(version).cast("long").alias("read_in"),
     )
     before = known.filter("kind = 'file'").join(titles, "document_title", "left_anti")
+    # The list is as long as there are files: its tasks write it where they join it. The manifest has a row a bucket.
+    list_place = os.path.join(folder, "files", f"version={version:012d}")
+    listing = before.unionByName(read_now, allowMissingColumns=True).select(*known.columns)
+    listing.hint("rebalance").write.mode("overwrite").parquet(list_place)
     named = (
-        before.unionByName(read_now, allowMissingColumns=True)
-        .unionByName(all_places.withColumn("kind", F.lit("bucket")), allowMissingColumns=True)
+        all_places.withColumn("kind", F.lit("bucket"))
+        .unionByName(spark.createDataFrame([("files", list_place)], "kind string, place string"), allowMissingColumns=True)
+        .unionByName(spark.createDataFrame([], MANIFEST), allowMissingColumns=True)
         .select(*known.columns)
     )
-    named.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "manifest", f"version={version:012d}"))
+    named.repartition(1).write.mode("overwrite").parquet(os.path.join(folder, "manifest", f"version={version:012d}"))
     return version
 
 

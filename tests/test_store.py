@@ -80,3 +80,25 @@ def test_nothing_and_one_title_twice(spark, place):
     assert run(spark, place, {"a/Same.txt": "Article 1 first.", "b/Same.txt": "Article 1 second."}) == 1
     assert [content for content, _ in held(spark, place).values()] == ["Article 1 second."]
     assert run(spark, place, {"a/Same.txt": "Article 1 first.", "b/Same.txt": "Article 1 second."}) == 1
+
+
+def test_the_manifest_is_as_long_as_there_are_buckets_not_files(spark, place):
+    files = {f"Rules {k} Section A.txt": f"Article {k} says a thing." for k in range(30)}
+    assert run(spark, place, files) == 1
+    manifest = os.path.join(place, "manifest", "version=000000000001")
+    assert [n.endswith(".parquet") for n in os.listdir(manifest) if n.startswith("part-")] == [True]
+    assert spark.read.parquet(manifest).count() <= 4 + 1
+    assert store.documents(spark, place).count() == 30
+
+
+def test_a_manifest_with_its_files_in_it_is_read_on(spark, place):
+    files = {f"Rules {k} Section A.txt": f"Article {k} says a thing." for k in range(5)}
+    run(spark, place, files)
+    version, named = store.manifest(spark, place)
+    rows = spark.createDataFrame(named.collect(), store.MANIFEST)
+    rows.coalesce(1).write.mode("overwrite").parquet(os.path.join(place, "manifest", f"version={version:012d}"))
+    assert run(spark, place, files) == 1
+    files["Rules 2 Section A.txt"] = "Article 2 says another thing."
+    assert run(spark, place, files) == 2
+    told = {r["document_title"]: r["read_in"] for r in store.documents(spark, place).collect()}
+    assert told == {f"Rules {k} Section A": 2 if k == 2 else 1 for k in range(5)}
