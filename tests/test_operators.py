@@ -395,6 +395,69 @@ def test_rows_of_a_question_are_cut_as_a_full_order_cuts_them():
     assert list(zip(question.tolist(), order.tolist())) == expected
 
 
+def test_only_pairs_that_may_be_among_the_best_are_scored_in_full(monkeypatch):
+    """The best rows are those of all pairs; few pairs are scored in full, also with more questions than a slice."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(400)]
+    draw = lambda n: [words[i] for i in np.minimum(rng.zipf(1.4, n), 400) - 1]
+    chunks = pd.DataFrame({"chunk_id": range(2000), "ord": rng.permutation(2000)})
+    chunks["document_title"] = chunks["lowered_title"] = [f"rules section {'abc'[i % 3]}" for i in range(2000)]
+    chunks["section"] = chunks["lowered_section"] = [f"section {'abc'[i % 7 % 3]}" for i in range(2000)]
+    chunks["lowered_article"] = [None if i % 2 else f"{words[i % 9]} {words[i % 11]}" for i in range(2000)]
+    chunks["lowered"] = [None if i % 100 == 7 else " ".join(draw(rng.integers(5, 80))) for i in range(2000)]
+    rules = [([f"{words[0]} {words[1]}"], f"{words[0]} {words[1]}")]
+    rows = [
+        {"query_id": q, "keywords": list(dict.fromkeys(draw(12))) + ["absent", "wa"][: q % 3], "sections": ["Section B"][: q % 4 == 0],
+         "phrases": [rules[0][1]][: q % 2]}
+        for q in range(90)
+    ]
+    monkeypatch.setattr(search, "QUESTION_SLICE", 32)
+    block = search.QuestionBlock(rows, rules)
+    matches = np.array([sum(k in (text or "") for text in chunks["lowered"]) for k in block.keywords])
+    block.matches, block.idf = matches, np.log(1 + (2000 - matches + 0.5) / (matches + 0.5))
+    full, scored = [], search.Scored.evidence
+    monkeypatch.setattr(search.Scored, "evidence", lambda self, row, question: full.append(len(row)) or scored(self, row, question))
+    order = ["query_id", "preferred", "score", "ord"]
+    everything = pd.concat(search._scan(block, None)(iter([chunks]))).sort_values(order, ascending=[True, False, False, True])
+    full.clear()
+    best = pd.concat(search._scan(block, 5)(chunks[i : i + 500] for i in range(0, 2000, 500)))
+    best = best.sort_values(order, ascending=[True, False, False, True]).reset_index(drop=True)
+    assert best.equals(everything.groupby("query_id").head(5).reset_index(drop=True))
+    assert sum(full) < 0.4 * len(everything), (sum(full), len(everything))
+
+
+def test_a_text_meets_many_candidates_at_once(spark):
+    """Candidates of one chunk come to its text in groups; many terms are looked up in an index of its words."""
+    long, spaced = "x" * 40 + "yz", "two words"
+    text = " ".join(f"word{i}a" for i in range(300)) + f" {long} {spaced}"
+    within, terms = retrieval.Within(text), [f"rd{i}" for i in range(900)] + [long, long[5:], "xyz", "xzy", spaced, "o w", "a w"]
+    assert [t in within for t in terms] == [t in text for t in terms] and within.runs
+    corpus = spark.createDataFrame([(1, 1, None, None, None, text), (2, 2, "T", None, "word1a", None)], CHUNK_SCHEMA)
+    asked = [(q, ["rd1"] if q % 2 else None, [f"rd{q}", f"d{q}a", "T"], ["t"]) for q in range(200)]
+    parsed = spark.createDataFrame(asked, "query_id long, phrases array<string>, keywords array<string>, sections array<string>")
+    pairs = corpus.select("chunk_id", F.lit(0.5).alias("hybrid"), F.col("ord").alias("hybrid_rank")).crossJoin(parsed.select("query_id"))
+    found = retrieval.scored_pairs(pairs, corpus, parsed)
+    score = retrieval.score_chunk("content", "document_title", "article", F.col("phrases"), F.col("keywords"), F.col("sections"))
+    matches = F.coalesce(search.phrase_matches("content", F.col("phrases")), F.lit(0))
+    rows = corpus.fillna("", ["content"]).crossJoin(parsed).select("query_id", "chunk_id", matches.alias("p"), score.alias("s"))
+    # A null list matches nothing, as an empty one does.
+    expected = [(q, c, max(p, 0), s) for q, c, p, s in rows.collect() if q % 2]
+    assert sorted((r.query_id, r.chunk_id, r.phrase_matches, r.heuristic) for r in found.filter("query_id % 2 = 1").collect()) == sorted(expected)
+    groups = found._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" in groups and retrieval.PAIRS_AT_ONCE < 200
+
+
+def test_probes_keep_the_columns_that_name_them(spark):
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    parsed = spark.createDataFrame([("a question", ["x", "y"])], "query_id string, retrieval_queries array<string>")
+    probes = spark.createDataFrame([("a question", n, [float(n), 1.0]) for n in range(3)], "query_id string, query_no int, probe array<float>")
+    leg = retrieval.vector_leg(parsed, vecs.withColumnRenamed("vec_id", "chunk_id"), probes)
+    assert "to_json" not in leg._jdf.queryExecution().analyzed().toString()
+    assert [r.chunk_id for r in leg.orderBy("vector_rank").limit(2).collect()] == [0, 1]
+
+
 def test_postings_leave_a_task_some_at_a_time():
     import pandas as pd
 
