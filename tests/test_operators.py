@@ -492,6 +492,17 @@ def test_probes_keep_the_columns_that_name_them(spark):
     assert [r.chunk_id for r in leg.orderBy("vector_rank").limit(2).collect()] == [0, 1]
 
 
+def test_many_blocks_of_probes_stay_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TASKS_PER_CORE", 1)
+    rows = [(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    probes = spark.createDataFrame(rows, "query_id long, probe array<float>")
+    found = vectors.nearest_many(vecs, probes, 2, probe_block=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "hashpartitioning(query_id" in plan
+    assert [r.vec_id for r in found.filter("vector_rank = 1").orderBy("query_id").collect()] == list(range(40))
+
+
 def test_postings_leave_a_task_some_at_a_time():
     import pandas as pd
 
